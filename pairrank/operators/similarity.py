@@ -25,14 +25,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairrank.runtime import measure
+
 CANDIDATE = ("candidate_id", "candidate_position")
 JOB = ("job_id", "job_position")
+BAR = ("bar", "bar_job_position")
 
 SMALL_SIDE_BYTES = 32 << 20
 CELL_BYTES = 128 << 20
 TILE_CANDIDATES = 4096
 TILE_JOBS = 1024
 ROWS_PER_BATCH = 1 << 16
+# From this many pairs on, a streamed side that sits in few tasks is spread first.
+SPREAD_FROM_PAIRS = 1 << 20
 
 
 def as_candidates(df: DataFrame, id: str, position: str | Column, embedding: str = "embedding") -> DataFrame:
@@ -67,12 +72,15 @@ def pairs_above(candidates: DataFrame, jobs: DataFrame, threshold: float = 0.5,
     return _score(candidates, jobs, lambda *a: _PairsAbove(threshold, *a), **options)
 
 
-def best_per_job(candidates: DataFrame, jobs: DataFrame, k: int, **options) -> DataFrame:
+def best_per_job(candidates: DataFrame, jobs: DataFrame, k: int, positive: bool = False, **options) -> DataFrame:
     """A superset of each job's ``k`` best pairs, at most ``k`` per job from each task.
 
     Feed it to :func:`pairrank.operators.ranking.rank_candidates` for the final cut.
+    ``positive`` leaves out scores that are not above 0. If candidates carry ``bar`` and
+    ``bar_job_position``, a pair must also score above its candidate's bar, or as high
+    with a job position that is not higher.
     """
-    return _score(candidates, jobs, lambda *a: _BestPerJob(k, *a), **options)
+    return _score(candidates, jobs, lambda *a: _BestPerJob(k, positive, *a), **options)
 
 
 def threshold_mask(pairs: DataFrame, threshold: float = 0.5, score: str = "similarity") -> DataFrame:
@@ -122,21 +130,28 @@ def _score(candidates: DataFrame, jobs: DataFrame, collector: Callable, decimals
         + [T.StructField(f.name, f.dataType) for f in jobs.schema if f.name in JOB]
         + [T.StructField("similarity", T.DoubleType())]
     )
-    candidates = candidates.select(*CANDIDATE, "embedding")
+    bars = [c for c in BAR if c in candidates.columns]
+    candidates = candidates.select(*CANDIDATE, "embedding", *bars)
     jobs = jobs.select(*JOB, "embedding")
-    n_candidates, n_jobs = candidates.count(), jobs.count()
+    (n_candidates, candidate_tasks), (n_jobs, job_tasks) = measure(candidates), measure(jobs)
     if n_candidates == 0 or n_jobs == 0:
         return candidates.sparkSession.createDataFrame([], schema)
+    slots = candidates.sparkSession.sparkContext.defaultParallelism
+    many = n_candidates * n_jobs >= SPREAD_FROM_PAIRS
 
     if n_jobs <= n_candidates:
-        if _bytes_if_small(jobs, n_jobs, small_side_bytes):
+        if _is_small(jobs, n_jobs, small_side_bytes):
+            if many and candidate_tasks < slots:
+                candidates = candidates.repartition(slots, CANDIDATE[1])
             return _past_broadcast_jobs(candidates, jobs, collector, decimals, schema)
-    elif _bytes_if_small(candidates, n_candidates, small_side_bytes):
+    elif _is_small(candidates, n_candidates, small_side_bytes):
+        if many and job_tasks < slots:
+            jobs = jobs.repartition(slots, JOB[1])
         return _past_broadcast_candidates(candidates, jobs, collector, decimals, schema)
     return _by_cells(candidates, jobs, n_candidates, n_jobs, collector, decimals, schema, cell_bytes)
 
 
-def _bytes_if_small(side: DataFrame, rows: int, limit: int) -> bool:
+def _is_small(side: DataFrame, rows: int, limit: int) -> bool:
     """Whether the whole side, measured exactly, stays within ``limit`` bytes."""
     if rows * 8 > limit:
         return False
@@ -192,7 +207,7 @@ def _by_cells(candidates, jobs, n_candidates, n_jobs, collector, decimals, schem
         # The input of a cell is bounded by cell_bytes; its output is streamed.
         cell = pa.Table.from_batches(list(batches))
         is_job = pc.is_valid(cell.column(JOB[1]))
-        left = cell.filter(pc.invert(is_job)).select([*CANDIDATE, "embedding"])
+        left = cell.filter(pc.invert(is_job)).drop_columns([*JOB, "down", "across"])
         right = cell.filter(is_job).select([*JOB, "embedding"])
         if left.num_rows and right.num_rows:
             out = collector(_Vectors(right), decimals)
@@ -235,6 +250,11 @@ class _Vectors:
         norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
         norms[norms == 0.0] = 1.0
         self.unit = matrix / norms[:, None]
+        self.bar = None
+        if BAR[0] in names:
+            bar, job = (_flat(table.column(names.index(c))) for c in BAR)
+            self.bar = pc.fill_null(bar, -np.inf).to_numpy(zero_copy_only=False)
+            self.bar_job = pc.fill_null(job, 0).to_numpy(zero_copy_only=False)
 
     def __len__(self):
         return len(self.positions)
@@ -306,11 +326,13 @@ class _BestPerJob(_Tiles):
     ``k``-th entry by (score, then lower position); NaN ranks last.
     """
 
-    def __init__(self, k: int, jobs: _Vectors, decimals: int | None):
+    def __init__(self, k: int, positive: bool, jobs: _Vectors, decimals: int | None):
         super().__init__(jobs, decimals)
         self.k = k
-        self.last_score = np.full(len(jobs), -np.inf)
-        self.last_position = np.full(len(jobs), np.iinfo(np.int64).max)
+        # What an entry must beat. No position is below -1, so a score of 0 never enters
+        # where only positive ones may.
+        self.last_score = np.full(len(jobs), 0.0 if positive else -np.inf)
+        self.last_position = np.full(len(jobs), -1 if positive else np.iinfo(np.int64).max)
         self.job = np.empty(0, np.int64)
         self.value = np.empty(0)
         self.position = np.empty(0, np.int64)
@@ -327,6 +349,11 @@ class _BestPerJob(_Tiles):
             ties = key == score
             if ties.any():
                 enters |= ties & (candidates.positions[start:start + height, None] < position)
+            if candidates.bar is not None:
+                bar = candidates.bar[start:start + height, None]
+                not_later = self.jobs.positions[here] <= candidates.bar_job[start:start + height, None]
+                enters &= (key > bar) | ((key == bar) & not_later)
+                key = np.where(enters, key, -np.inf)
             if height > self.k and np.count_nonzero(enters) > 4 * self.k * width:
                 cut = np.partition(key, height - self.k, axis=0)[height - self.k]
                 enters &= key >= cut

@@ -1,4 +1,4 @@
-"""Cutting lineage safely.
+"""Work that concerns the session: shipping the package and cutting lineage.
 
 Intermediate results that must not be recomputed (model calls, loop state) are
 written as Parquet below the folder the cluster names in ``spark.checkpoint.dir``
@@ -7,10 +7,26 @@ so that they survive the loss of any executor.
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+_shipped_to: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, for where it is not installed on them."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped_to:
+        package = Path(__file__).parent
+        archive = f"{tempfile.mkdtemp(prefix='pairrank-')}/pairrank"
+        sc.addPyFile(shutil.make_archive(archive, "zip", package.parent, package.name))
+        _shipped_to.add(sc.applicationId)
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -31,3 +47,19 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{checkpoint_folder(spark).rstrip('/')}/pairrank/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def measure(df: DataFrame) -> tuple[int, int]:
+    """Rows of a table, and how many tasks hold any of them."""
+    placed = df.select(F.spark_partition_id().alias("part"))
+    row = placed.agg(F.count("*"), F.count_distinct("part")).head()
+    return row[0], row[1]
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a table that would keep only some of the session's task slots busy.
+
+    For work that is heavy per row. A table with enough input splits is left where it is.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, *keys) if measure(df)[1] < slots else df
