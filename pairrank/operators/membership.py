@@ -36,7 +36,10 @@ def count_members(df: DataFrame, flag: str = S.CONTINGENT) -> DataFrame:
 
 
 def attach_status(pairs: DataFrame, candidates: DataFrame, status: str = S.CONTINGENT,
-                  candidate_id: str = "candidate_id", **options) -> DataFrame:
-    """Carry a candidate's status along with its scores; null for an unknown candidate."""
-    statuses = candidates.select(quoted(candidate_id), quoted(status))
-    return lookup(pairs, statuses, [candidate_id], **options)
+                  candidate_id: str = "candidate_id") -> DataFrame:
+    """Carry a candidate's status along with its scores; null for an unknown candidate.
+
+    A plain join: pairs are dear to compute, so their keys are not counted beforehand, and
+    a candidate with very many pairs is left to Spark's adaptive skew join.
+    """
+    return pairs.join(candidates.select(quoted(candidate_id), quoted(status)), candidate_id, "left")

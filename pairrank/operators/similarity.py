@@ -141,12 +141,12 @@ def _score(candidates: DataFrame, jobs: DataFrame, collector: Callable, decimals
 
     if n_jobs <= n_candidates:
         if _is_small(jobs, n_jobs, small_side_bytes):
-            if many and candidate_tasks < slots:
-                candidates = candidates.repartition(slots, CANDIDATE[1])
+            if many and candidate_tasks < 2 * slots:
+                candidates = candidates.repartition(4 * slots, CANDIDATE[1])
             return _past_broadcast_jobs(candidates, jobs, collector, decimals, schema)
     elif _is_small(candidates, n_candidates, small_side_bytes):
-        if many and job_tasks < slots:
-            jobs = jobs.repartition(slots, JOB[1])
+        if many and job_tasks < 2 * slots:
+            jobs = jobs.repartition(4 * slots, JOB[1])
         return _past_broadcast_candidates(candidates, jobs, collector, decimals, schema)
     return _by_cells(candidates, jobs, n_candidates, n_jobs, collector, decimals, schema, cell_bytes)
 
@@ -228,12 +228,12 @@ def _by_cells(candidates, jobs, n_candidates, n_jobs, collector, decimals, schem
 
 
 class _Vectors:
-    """Ids, positions and unit vectors of one Arrow batch or table."""
+    """Ids, positions and unit vectors of one Arrow batch or table, by rising position."""
 
     def __init__(self, data):
         table = pa.Table.from_batches([data]) if isinstance(data, pa.RecordBatch) else data
-        table = table.combine_chunks()
         names = table.column_names
+        table = table.take(pc.sort_indices(table.column(1))).combine_chunks()
         self.ids = _flat(table.column(0))
         self.positions = _flat(table.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
         vectors = _flat(table.column(names.index("embedding")))
@@ -250,6 +250,7 @@ class _Vectors:
         norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
         norms[norms == 0.0] = 1.0
         self.unit = matrix / norms[:, None]
+        self.has_nan = not np.isfinite(norms).all()
         self.bar = None
         if BAR[0] in names:
             bar, job = (_flat(table.column(names.index(c))) for c in BAR)
@@ -274,25 +275,26 @@ class _Tiles:
         self.decimals = decimals
 
     def scores(self, candidates: _Vectors):
+        """Yields (first job, first candidate, scores), one row of scores per job."""
         if candidates.unit.shape[1] != self.jobs.unit.shape[1]:
             raise ValueError(
                 f"vectors of different size: {candidates.unit.shape[1]} and {self.jobs.unit.shape[1]}"
             )
         for job_start in range(0, len(self.jobs), TILE_JOBS):
-            columns = self.jobs.unit[job_start:job_start + TILE_JOBS].T
+            jobs = self.jobs.unit[job_start:job_start + TILE_JOBS]
             for start in range(0, len(candidates), TILE_CANDIDATES):
-                tile = candidates.unit[start:start + TILE_CANDIDATES] @ columns
+                tile = jobs @ candidates.unit[start:start + TILE_CANDIDATES].T
                 if self.decimals is not None:
                     np.round(tile, self.decimals, out=tile)
                     tile += 0.0  # no negative zero
-                yield start, job_start, tile
+                yield job_start, start, tile
 
-    def batches(self, candidates: _Vectors, rows: np.ndarray, columns: np.ndarray, values: np.ndarray):
-        for start in range(0, len(rows), ROWS_PER_BATCH):
-            r, c = rows[start:start + ROWS_PER_BATCH], columns[start:start + ROWS_PER_BATCH]
+    def batches(self, candidates: _Vectors, jobs: np.ndarray, rows: np.ndarray, values: np.ndarray):
+        for start in range(0, len(jobs), ROWS_PER_BATCH):
+            j, r = jobs[start:start + ROWS_PER_BATCH], rows[start:start + ROWS_PER_BATCH]
             yield _batch(
                 candidates.ids.take(pa.array(r)), candidates.positions[r],
-                self.jobs.ids.take(pa.array(c)), self.jobs.positions[c], values[start:start + ROWS_PER_BATCH],
+                self.jobs.ids.take(pa.array(j)), self.jobs.positions[j], values[start:start + ROWS_PER_BATCH],
             )
 
     def finish(self):
@@ -301,11 +303,11 @@ class _Tiles:
 
 class _AllPairs(_Tiles):
     def add(self, candidates: _Vectors):
-        for start, job_start, tile in self.scores(candidates):
+        for job_start, start, tile in self.scores(candidates):
             height, width = tile.shape
-            rows = np.repeat(np.arange(start, start + height), width)
-            columns = np.tile(np.arange(job_start, job_start + width), height)
-            yield from self.batches(candidates, rows, columns, tile.ravel())
+            jobs = np.repeat(np.arange(job_start, job_start + height), width)
+            rows = np.tile(np.arange(start, start + width), height)
+            yield from self.batches(candidates, jobs, rows, tile.ravel())
 
 
 class _PairsAbove(_Tiles):
@@ -314,16 +316,16 @@ class _PairsAbove(_Tiles):
         self.threshold = threshold
 
     def add(self, candidates: _Vectors):
-        for start, job_start, tile in self.scores(candidates):
-            rows, columns = np.nonzero(tile >= self.threshold)
-            yield from self.batches(candidates, rows + start, columns + job_start, tile[rows, columns])
+        for job_start, start, tile in self.scores(candidates):
+            jobs, rows = _places(tile >= self.threshold)
+            yield from self.batches(candidates, jobs + job_start, rows + start, tile[jobs, rows])
 
 
 class _BestPerJob(_Tiles):
     """Running best ``k`` of each job over all candidates a task sees.
 
-    Memory is ``k`` entries per job. An entry is kept if it beats the job's present
-    ``k``-th entry by (score, then lower position); NaN ranks last.
+    An entry is kept if it beats the job's present ``k``-th entry by (score, then lower
+    position); NaN ranks last. Memory is ``k`` entries per job.
     """
 
     def __init__(self, k: int, positive: bool, jobs: _Vectors, decimals: int | None):
@@ -333,65 +335,71 @@ class _BestPerJob(_Tiles):
         # where only positive ones may.
         self.last_score = np.full(len(jobs), 0.0 if positive else -np.inf)
         self.last_position = np.full(len(jobs), -1 if positive else np.iinfo(np.int64).max)
-        self.job = np.empty(0, np.int64)
-        self.value = np.empty(0)
-        self.position = np.empty(0, np.int64)
-        self.ids = jobs.ids.slice(0, 0)
+        # First job of a tile -> kept entries of its jobs: job, score, position, candidate id.
+        self.kept: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = {}
 
     def add(self, candidates: _Vectors):
-        found = []
-        for start, job_start, tile in self.scores(candidates):
+        for job_start, start, tile in self.scores(candidates):
             height, width = tile.shape
-            here = slice(job_start, job_start + width)
-            key = np.where(np.isnan(tile), -np.inf, tile)
-            score, position = self.last_score[here], self.last_position[here]
-            enters = key > score
-            ties = key == score
-            if ties.any():
-                enters |= ties & (candidates.positions[start:start + height, None] < position)
+            here, there = slice(job_start, job_start + height), slice(start, start + width)
+            key = _nan_last(tile) if candidates.has_nan or self.jobs.has_nan else tile
+            # Candidates come by rising position: where even the first one here would lose
+            # a tie, only a higher score can enter.
+            score = self.last_score[here]
+            loses_ties = self.last_position[here] <= candidates.positions[start]
+            enters = key >= np.where(loses_ties, np.nextafter(score, np.inf), score)[:, None]
             if candidates.bar is not None:
-                bar = candidates.bar[start:start + height, None]
-                not_later = self.jobs.positions[here] <= candidates.bar_job[start:start + height, None]
-                enters &= (key > bar) | ((key == bar) & not_later)
-                key = np.where(enters, key, -np.inf)
-            if height > self.k and np.count_nonzero(enters) > 4 * self.k * width:
-                cut = np.partition(key, height - self.k, axis=0)[height - self.k]
-                enters &= key >= cut
-            rows, columns = np.nonzero(enters)
-            if len(rows):
-                found.append((rows + start, columns + job_start, tile[rows, columns]))
-        if found:
-            self._keep(candidates, *(np.concatenate(part) for part in zip(*found)))
+                not_later = self.jobs.positions[here, None] <= candidates.bar_job[there]
+                enters &= (key > candidates.bar[there]) | ((key == candidates.bar[there]) & not_later)
+            if width > self.k and np.count_nonzero(enters) > 4 * self.k * height:
+                eligible = key if candidates.bar is None else np.where(enters, key, -np.inf)
+                cut = np.partition(eligible, width - self.k, axis=1)[:, width - self.k, None]
+                level = eligible == cut
+                if np.count_nonzero(level) > self.k * height:
+                    # Many copies at the cut: a job needs only the first k of them.
+                    level &= np.cumsum(level, axis=1, dtype=np.int32) <= self.k
+                enters &= (eligible > cut) | level
+            jobs, rows = _places(enters)
+            values, positions = key[jobs, rows], candidates.positions[rows + start]
+            at = jobs + job_start
+            ahead = (values > self.last_score[at]) | (positions < self.last_position[at])
+            if ahead.any():
+                ids = candidates.ids.take(pa.array(rows[ahead] + start))
+                self._keep(job_start, at[ahead], tile[jobs, rows][ahead], positions[ahead], ids)
         return iter(())
 
-    def _keep(self, candidates: _Vectors, rows, columns, values):
-        job = np.concatenate([self.job, columns])
-        value = np.concatenate([self.value, values])
-        position = np.concatenate([self.position, candidates.positions[rows]])
-        key = np.where(np.isnan(value), -np.inf, value)
+    def _keep(self, tile, job, value, position, ids):
+        if tile in self.kept:
+            had = self.kept[tile]
+            job, value, position = (np.concatenate(p) for p in zip(had[:3], (job, value, position)))
+            ids = pa.concat_arrays([had[3], ids])
+        key = _nan_last(value)
         order = np.lexsort((position, -key, job))
         grouped = job[order]
         first = np.flatnonzero(np.r_[True, grouped[1:] != grouped[:-1]])
         place = np.arange(len(grouped)) - np.repeat(first, np.diff(np.r_[first, len(grouped)]))
-        kept = order[place < self.k]
-        full = order[place == self.k - 1]
+        best, full = order[place < self.k], order[place == self.k - 1]
         self.last_score[job[full]] = key[full]
         self.last_position[job[full]] = position[full]
-
-        fresh = candidates.ids.take(pa.array(rows))
-        # Jobs and candidates may have ids of different types; the first kept ids set the type.
-        ids = fresh if len(self.ids) == 0 else pa.concat_arrays([self.ids, fresh])
-        self.ids = ids.take(pa.array(kept))
-        self.job, self.value, self.position = job[kept], value[kept], position[kept]
+        self.kept[tile] = job[best], value[best], position[best], ids.take(pa.array(best))
 
     def finish(self):
-        for start in range(0, len(self.job), ROWS_PER_BATCH):
-            part = slice(start, start + ROWS_PER_BATCH)
-            job = self.job[part]
-            yield _batch(
-                self.ids.slice(start, len(job)), self.position[part],
-                self.jobs.ids.take(pa.array(job)), self.jobs.positions[job], self.value[part],
-            )
+        for job, value, position, ids in self.kept.values():
+            for start in range(0, len(job), ROWS_PER_BATCH):
+                part = slice(start, start + ROWS_PER_BATCH)
+                yield _batch(
+                    ids.slice(start, ROWS_PER_BATCH), position[part],
+                    self.jobs.ids.take(pa.array(job[part])), self.jobs.positions[job[part]], value[part],
+                )
+
+
+def _places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns where the mask holds; much faster than ``nonzero`` on two dimensions."""
+    return np.divmod(np.flatnonzero(mask.ravel()), mask.shape[1])
+
+
+def _nan_last(values: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(values), -np.inf, values)
 
 
 def _batch(candidate_ids, candidate_positions, job_ids, job_positions, values) -> pa.RecordBatch:
