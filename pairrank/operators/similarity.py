@@ -33,9 +33,11 @@ BAR = ("bar", "bar_job_position")
 
 SMALL_SIDE_BYTES = 32 << 20
 CELL_BYTES = 128 << 20
-TILE_CANDIDATES = 4096
-TILE_JOBS = 1024
+TILE_CANDIDATES = 2048
+TILE_JOBS = 512
 ROWS_PER_BATCH = 1 << 16
+# The single-precision product pays where at most one pair in this many survives it.
+SINGLE_PRECISION_BELOW = 16
 # From this many pairs on, a streamed side that sits in few tasks is spread first.
 SPREAD_FROM_PAIRS = 1 << 20
 
@@ -142,11 +144,11 @@ def _score(candidates: DataFrame, jobs: DataFrame, collector: Callable, decimals
     if n_jobs <= n_candidates:
         if _is_small(jobs, n_jobs, small_side_bytes):
             if many and candidate_tasks < 2 * slots:
-                candidates = candidates.repartition(4 * slots, CANDIDATE[1])
+                candidates = candidates.repartition(2 * slots, CANDIDATE[1])
             return _past_broadcast_jobs(candidates, jobs, collector, decimals, schema)
     elif _is_small(candidates, n_candidates, small_side_bytes):
         if many and job_tasks < 2 * slots:
-            jobs = jobs.repartition(4 * slots, JOB[1])
+            jobs = jobs.repartition(2 * slots, JOB[1])
         return _past_broadcast_candidates(candidates, jobs, collector, decimals, schema)
     return _by_cells(candidates, jobs, n_candidates, n_jobs, collector, decimals, schema, cell_bytes)
 
@@ -250,6 +252,7 @@ class _Vectors:
         norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
         norms[norms == 0.0] = 1.0
         self.unit = matrix / norms[:, None]
+        self.single = self.unit.astype(np.float32)
         self.has_nan = not np.isfinite(norms).all()
         self.bar = None
         if BAR[0] in names:
@@ -273,21 +276,53 @@ class _Tiles:
     def __init__(self, jobs: _Vectors, decimals: int | None):
         self.jobs = jobs
         self.decimals = decimals
+        # Bound on the error of a single-precision score of two unit vectors, with room to
+        # spare, plus what rounding may add.
+        self.slack = (jobs.unit.shape[1] + 16) * 2.0**-22 + (0 if decimals is None else 0.5 * 10.0**-decimals)
 
-    def scores(self, candidates: _Vectors):
-        """Yields (first job, first candidate, scores), one row of scores per job."""
+    def tiles(self, candidates: _Vectors):
+        """Yields slices of jobs and of candidates."""
         if candidates.unit.shape[1] != self.jobs.unit.shape[1]:
             raise ValueError(
                 f"vectors of different size: {candidates.unit.shape[1]} and {self.jobs.unit.shape[1]}"
             )
         for job_start in range(0, len(self.jobs), TILE_JOBS):
-            jobs = self.jobs.unit[job_start:job_start + TILE_JOBS]
-            for start in range(0, len(candidates), TILE_CANDIDATES):
-                tile = jobs @ candidates.unit[start:start + TILE_CANDIDATES].T
-                if self.decimals is not None:
-                    np.round(tile, self.decimals, out=tile)
-                    tile += 0.0  # no negative zero
-                yield job_start, start, tile
+            here = slice(job_start, min(job_start + TILE_JOBS, len(self.jobs)))
+            start, width = 0, self.first_width(here)
+            while start < len(candidates):
+                yield here, slice(start, min(start + width, len(candidates)))
+                start, width = start + width, min(width * 4, TILE_CANDIDATES)
+
+    def first_width(self, here: slice) -> int:
+        return TILE_CANDIDATES
+
+    def scores(self, candidates: _Vectors, here: slice, there: slice) -> np.ndarray:
+        """Scores of one tile, a row per job."""
+        return self._rounded(self.jobs.unit[here] @ candidates.unit[there].T)
+
+    def reaching(self, candidates: _Vectors, here: slice, there: slice, floor: np.ndarray):
+        """Places and scores of the pairs that reach each job's ``floor``, or ``None``.
+
+        A single-precision product, which is faster, rules out nearly all pairs; the rest
+        are scored exactly. ``None`` where that would not pay.
+        """
+        if candidates.has_nan or self.jobs.has_nan:
+            return None
+        lowest = np.nextafter(np.maximum(floor - self.slack, -2.0).astype(np.float32), np.float32(-np.inf))
+        maybe = (self.jobs.single[here] @ candidates.single[there].T) >= lowest[:, None]
+        if np.count_nonzero(maybe) * SINGLE_PRECISION_BELOW > maybe.size:
+            return None
+        jobs, rows = _places(maybe)
+        exact = np.einsum("ij,ij->i", self.jobs.unit[here][jobs], candidates.unit[there][rows])
+        exact = self._rounded(exact)
+        kept = exact >= floor[jobs]
+        return jobs[kept], rows[kept], exact[kept]
+
+    def _rounded(self, scores: np.ndarray) -> np.ndarray:
+        if self.decimals is not None:
+            np.round(scores, self.decimals, out=scores)
+            scores += 0.0  # no negative zero
+        return scores
 
     def batches(self, candidates: _Vectors, jobs: np.ndarray, rows: np.ndarray, values: np.ndarray):
         for start in range(0, len(jobs), ROWS_PER_BATCH):
@@ -303,22 +338,28 @@ class _Tiles:
 
 class _AllPairs(_Tiles):
     def add(self, candidates: _Vectors):
-        for job_start, start, tile in self.scores(candidates):
+        for here, there in self.tiles(candidates):
+            tile = self.scores(candidates, here, there)
             height, width = tile.shape
-            jobs = np.repeat(np.arange(job_start, job_start + height), width)
-            rows = np.tile(np.arange(start, start + width), height)
+            jobs = np.repeat(np.arange(here.start, here.stop), width)
+            rows = np.tile(np.arange(there.start, there.stop), height)
             yield from self.batches(candidates, jobs, rows, tile.ravel())
 
 
 class _PairsAbove(_Tiles):
     def __init__(self, threshold: float, jobs: _Vectors, decimals: int | None):
         super().__init__(jobs, decimals)
-        self.threshold = threshold
+        self.floor = np.full(len(jobs), float(threshold))
 
     def add(self, candidates: _Vectors):
-        for job_start, start, tile in self.scores(candidates):
-            jobs, rows = _places(tile >= self.threshold)
-            yield from self.batches(candidates, jobs + job_start, rows + start, tile[jobs, rows])
+        for here, there in self.tiles(candidates):
+            found = self.reaching(candidates, here, there, self.floor[here])
+            if found is None:
+                tile = self.scores(candidates, here, there)
+                jobs, rows = _places(tile >= self.floor[here, None])
+                found = jobs, rows, tile[jobs, rows]
+            jobs, rows, values = found
+            yield from self.batches(candidates, jobs + here.start, rows + there.start, values)
 
 
 class _BestPerJob(_Tiles):
@@ -339,35 +380,51 @@ class _BestPerJob(_Tiles):
         self.kept: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = {}
 
     def add(self, candidates: _Vectors):
-        for job_start, start, tile in self.scores(candidates):
-            height, width = tile.shape
-            here, there = slice(job_start, job_start + height), slice(start, start + width)
-            key = _nan_last(tile) if candidates.has_nan or self.jobs.has_nan else tile
+        for here, there in self.tiles(candidates):
             # Candidates come by rising position: where even the first one here would lose
             # a tie, only a higher score can enter.
             score = self.last_score[here]
-            loses_ties = self.last_position[here] <= candidates.positions[start]
-            enters = key >= np.where(loses_ties, np.nextafter(score, np.inf), score)[:, None]
+            loses_ties = self.last_position[here] <= candidates.positions[there.start]
+            floor = np.where(loses_ties, np.nextafter(score, np.inf), score)
+            found = self.reaching(candidates, here, there, floor)
+            if found is None:
+                found = self._best_of_tile(candidates, here, there, floor)
+            jobs, rows, values = found
+            jobs, rows, key = jobs + here.start, rows + there.start, _nan_last(values)
+            positions = candidates.positions[rows]
+            ahead = (key > self.last_score[jobs]) | (positions < self.last_position[jobs])
             if candidates.bar is not None:
-                not_later = self.jobs.positions[here, None] <= candidates.bar_job[there]
-                enters &= (key > candidates.bar[there]) | ((key == candidates.bar[there]) & not_later)
-            if width > self.k and np.count_nonzero(enters) > 4 * self.k * height:
-                eligible = key if candidates.bar is None else np.where(enters, key, -np.inf)
-                cut = np.partition(eligible, width - self.k, axis=1)[:, width - self.k, None]
-                level = eligible == cut
-                if np.count_nonzero(level) > self.k * height:
-                    # Many copies at the cut: a job needs only the first k of them.
-                    level &= np.cumsum(level, axis=1, dtype=np.int32) <= self.k
-                enters &= (eligible > cut) | level
-            jobs, rows = _places(enters)
-            values, positions = key[jobs, rows], candidates.positions[rows + start]
-            at = jobs + job_start
-            ahead = (values > self.last_score[at]) | (positions < self.last_position[at])
+                bar = candidates.bar[rows]
+                not_later = self.jobs.positions[jobs] <= candidates.bar_job[rows]
+                ahead &= (key > bar) | ((key == bar) & not_later)
             if ahead.any():
-                ids = candidates.ids.take(pa.array(rows[ahead] + start))
-                self._keep(job_start, at[ahead], tile[jobs, rows][ahead], positions[ahead], ids)
+                ids = candidates.ids.take(pa.array(rows[ahead]))
+                self._keep(here.start, jobs[ahead], values[ahead], positions[ahead], ids)
         return iter(())
 
+    def first_width(self, here: slice) -> int:
+        # A few candidates first: they set the bar that rules out most of the others.
+        return TILE_CANDIDATES if here.start in self.kept else TILE_CANDIDATES // 8
+
+    def _best_of_tile(self, candidates, here, there, floor):
+        tile = self.scores(candidates, here, there)
+        height, width = tile.shape
+        key = _nan_last(tile) if candidates.has_nan or self.jobs.has_nan else tile
+        enters = key >= floor[:, None]
+        if candidates.bar is not None:
+            not_later = self.jobs.positions[here, None] <= candidates.bar_job[there]
+            enters &= (key > candidates.bar[there]) | ((key == candidates.bar[there]) & not_later)
+        if width > self.k and np.count_nonzero(enters) > 4 * self.k * height:
+            eligible = key if candidates.bar is None else np.where(enters, key, -np.inf)
+            cut = np.partition(eligible, width - self.k, axis=1)[:, width - self.k, None]
+            level = eligible == cut
+            if np.count_nonzero(level) > self.k * height:
+                # Many copies at the cut: a job needs only the first k of them.
+                level &= np.cumsum(level, axis=1, dtype=np.int32) <= self.k
+            enters &= (eligible > cut) | level
+        jobs, rows = _places(enters)
+        return jobs, rows, tile[jobs, rows]
+
     def _keep(self, tile, job, value, position, ids):
         if tile in self.kept:
             had = self.kept[tile]

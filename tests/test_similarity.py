@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -155,9 +155,15 @@ def vectors(values, first=0):
 small = st.lists(st.lists(st.sampled_from([-1.0, 0.0, 1.0, 2.0, float("nan")]), min_size=2, max_size=2), min_size=1, max_size=25)
 
 
-@settings(max_examples=150, deadline=None)
+@pytest.fixture(params=[64, 0], ids=["exact", "single"])
+def precision(request, monkeypatch):
+    """At 0 every tile goes through the single-precision product first."""
+    monkeypatch.setattr(sim, "SINGLE_PRECISION_BELOW", request.param)
+
+
+@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(small, small, st.integers(1, 4), st.booleans(), st.integers(1, 9))
-def test_running_best_equals_sorting(candidates, jobs, k, positive, batch):
+def test_running_best_equals_sorting(precision, candidates, jobs, k, positive, batch):
     out = sim._BestPerJob(k, positive, vectors(jobs), 6)
     for start in range(0, len(candidates), batch):
         list(out.add(vectors(candidates[start:start + batch], start)))
@@ -173,7 +179,7 @@ def test_running_best_equals_sorting(candidates, jobs, k, positive, batch):
     assert got == sorted(want)
 
 
-def test_tiles_are_merged(monkeypatch):
+def test_tiles_are_merged(precision, monkeypatch):
     monkeypatch.setattr(sim, "TILE_JOBS", 3)
     monkeypatch.setattr(sim, "TILE_CANDIDATES", 4)
     a, b = random_vectors(7, 50, copies=20), random_vectors(8, 10)
@@ -181,3 +187,20 @@ def test_tiles_are_merged(monkeypatch):
     list(out.add(vectors(a)))
     got = sorted((j, p) for x in out.finish() for j, p in zip(x["job_position"].to_pylist(), x["candidate_position"].to_pylist()))
     assert got == sorted((j, c) for j, c, _ in best(brute(a, b), 10, 3))
+
+
+def test_single_precision_loses_no_pair(precision):
+    rng = np.random.default_rng(5)
+    a, b = rng.standard_normal((3000, 64)), rng.standard_normal((40, 64))
+    whole, target = vectors(a.tolist()), vectors(b.tolist())
+    scores = target.unit @ whole.unit.T
+    # Thresholds right at, and one step above, a score that occurs.
+    for threshold in (float(np.partition(scores.ravel(), -50)[-50]), 0.25):
+        out = sim._PairsAbove(threshold, target, 9)
+        got = sum(x.num_rows for x in out.add(whole))
+        assert got == np.count_nonzero(np.round(scores, 9) >= threshold)
+    out = sim._BestPerJob(5, False, target, None)
+    for start in range(0, 3000, 500):
+        list(out.add(vectors(a[start:start + 500].tolist(), start)))
+    got = sorted((j, p) for x in out.finish() for j, p in zip(x["job_position"].to_pylist(), x["candidate_position"].to_pylist()))
+    assert got == sorted((j, int(p)) for j in range(40) for p in np.argsort(-scores[j])[:5])
