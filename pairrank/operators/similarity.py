@@ -32,14 +32,14 @@ JOB = ("job_id", "job_position")
 BAR = ("bar", "bar_job_position")
 
 SMALL_SIDE_BYTES = 32 << 20
-CELL_BYTES = 128 << 20
+CELL_BYTES = 64 << 20
 TILE_CANDIDATES = 2048
 TILE_JOBS = 512
 ROWS_PER_BATCH = 1 << 16
 # The single-precision product pays where at most one pair in this many survives it.
 SINGLE_PRECISION_BELOW = 16
 # From this many pairs on, a streamed side that sits in few tasks is spread first.
-SPREAD_FROM_PAIRS = 1 << 20
+SPREAD_FROM_PAIRS = 1 << 24
 
 
 def as_candidates(df: DataFrame, id: str, position: str | Column, embedding: str = "embedding") -> DataFrame:
@@ -135,7 +135,7 @@ def _score(candidates: DataFrame, jobs: DataFrame, collector: Callable, decimals
     bars = [c for c in BAR if c in candidates.columns]
     candidates = candidates.select(*CANDIDATE, "embedding", *bars)
     jobs = jobs.select(*JOB, "embedding")
-    (n_candidates, candidate_tasks), (n_jobs, job_tasks) = measure(candidates), measure(jobs)
+    (n_candidates, candidate_tasks), (n_jobs, job_tasks) = measure(candidates, jobs)
     if n_candidates == 0 or n_jobs == 0:
         return candidates.sparkSession.createDataFrame([], schema)
     slots = candidates.sparkSession.sparkContext.defaultParallelism

@@ -10,6 +10,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,11 +50,13 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def measure(df: DataFrame) -> tuple[int, int]:
-    """Rows of a table, and how many tasks hold any of them."""
-    placed = df.select(F.spark_partition_id().alias("part"))
-    row = placed.agg(F.count("*"), F.count_distinct("part")).head()
-    return row[0], row[1]
+def measure(*tables: DataFrame) -> list[tuple[int, int]]:
+    """For each table, its rows and how many tasks hold any of them, in one job."""
+    placed = [t.select(F.lit(i).alias("table"), F.spark_partition_id().alias("part")) for i, t in enumerate(tables)]
+    # One row per partition comes back, which the driver keeps track of anyway.
+    counted = reduce(DataFrame.unionAll, placed).groupBy("table", "part").count().collect()
+    sizes = [[r["count"] for r in counted if r.table == i] for i in range(len(tables))]
+    return [(sum(s), len(s)) for s in sizes]
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -62,4 +65,4 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     For work that is heavy per row. A table with enough input splits is left where it is.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, *keys) if measure(df)[1] < slots else df
+    return df.repartition(slots, *keys) if measure(df)[0][1] < slots else df
