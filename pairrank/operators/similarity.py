@@ -404,7 +404,7 @@ class _BestPerJob(_Tiles):
 
     def first_width(self, here: slice) -> int:
         # A few candidates first: they set the bar that rules out most of the others.
-        return TILE_CANDIDATES if here.start in self.kept else TILE_CANDIDATES // 8
+        return TILE_CANDIDATES if here.start in self.kept else max(1, TILE_CANDIDATES // 8)
 
     def _best_of_tile(self, candidates, here, there, floor):
         tile = self.scores(candidates, here, there)
