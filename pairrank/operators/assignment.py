@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pairrank.operators.ranking import rank_candidates
 from pairrank.operators.similarity import CANDIDATE, JOB, best_per_job, positive_pairs
-from pairrank.runtime import materialise
+from pairrank.runtime import materialise, measure
 
 Refill = Callable[[DataFrame, DataFrame], DataFrame]
 # Rounds after which the pairs still alive are written out, so that later rounds read less.
@@ -52,7 +52,11 @@ def assign_best(candidates: DataFrame, jobs: DataFrame, max_jobs_per_candidate:
     Each job starts with its ``depth`` best candidates. A job that runs out gets the next
     ones, searched only among pairs that beat the candidates' bars, so nothing is cut off.
     Scores are rounded so that a pair scored again in another block compares equal.
+    Where there are few candidates the lists hold them all from the start.
     """
+    everyone = measure(candidates)[0][0]
+    whole = everyone < 4 * depth
+    depth = max(everyone, 1) if whole else depth
 
     def fill(side: DataFrame, wanted: DataFrame) -> DataFrame:
         best = best_per_job(side, wanted, depth, positive=True, decimals=decimals, **options)
@@ -61,7 +65,8 @@ def assign_best(candidates: DataFrame, jobs: DataFrame, max_jobs_per_candidate:
     def refill(exhausted: DataFrame, bars: DataFrame) -> DataFrame:
         return fill(candidates.join(bars, CANDIDATE[1], "left"), jobs.join(exhausted, JOB[1], "left_semi"))
 
-    return _rounds(fill(candidates, jobs), max_jobs_per_candidate, max_rounds, refill, depth)
+    lists = fill(candidates, jobs)
+    return _rounds(lists, max_jobs_per_candidate, max_rounds, None if whole else refill, depth)
 
 
 def in_pick_order(assignments: DataFrame) -> DataFrame:
