@@ -30,6 +30,18 @@ from pairrank.sources.documents import with_text
 from pairrank.sources.files import latest_file, list_files
 from pairrank.sources.tables import rows_as_text
 
+# The training-data operators and their pipeline are one removable part of the library.
+try:
+    import corpus_pipeline
+    from pairrank.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "pairrank.llm"):
+        raise
+    LLM_QUERIES, LLM_SQL = {}, {}
+else:
+    LLM_QUERIES = {**llm.QUERIES, "pipeline": corpus_pipeline.run}
+    LLM_SQL = llm.SQL if corpus_pipeline.ORACLE_SQL is None else {**llm.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Scores are rounded before they are ranked, so that the order of summation cannot
@@ -401,6 +413,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        **LLM_QUERIES,
         "combine_columns": combine_columns,
         "candidate_text": candidate_text,
         "job_text": job_text,
@@ -529,6 +542,7 @@ def oracle_sql() -> dict[str, str]:
     people = text_of("quality", "lang", "text")
     jobs = text_of("p_name", "p_type", "p_brand", "p_size") + " || '  '"
     return {
+        **LLM_SQL,
         "combine_columns": f"""SELECT p_partkey, trim(regexp_replace({text_of('p_name', "''", 'p_brand', 'p_type', 'p_size')}, '{WS}+', ' ', 'g')) AS combined FROM part""",
         "candidate_text": f"SELECT doc_id, md5({people}) AS text_md5 FROM documents LEFT JOIN labels USING (doc_id)",
         "job_text": f"""SELECT p_partkey, coalesce(p_name, 'nan') || ' ' || coalesce(p_type, 'nan') || ' ' || coalesce(p_brand, 'nan')
