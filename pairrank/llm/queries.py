@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairrank.llm import mixing
+from pairrank.llm import mixing, quality
 from pairrank.llm.expressions import table
 
 # Production targets of the mixture, in percent of the characters, and the block size.
@@ -50,9 +50,44 @@ FROM placed JOIN shares USING (stream) JOIN sched ON sched.stream = placed.strea
 """
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.filter_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_RATE = quality.MAX_FALSE / len(quality.RULES)
+_QUALITY_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'none') AS stratum, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+wins AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+found AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM wins),
+reps AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM found WHERE n > 1) GROUP BY doc_id),
+dups AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+    WHERE regexp_matches(l, '{_WORD}') GROUP BY doc_id),
+m AS (SELECT d.doc_id, stratum, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        len(regexp_extract_all(t, '{quality.SYMBOLS}'))::BIGINT AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+        coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(reps.n, 0)::BIGINT AS n_repeat_words
+    FROM d LEFT JOIN dups USING (doc_id) LEFT JOIN reps USING (doc_id)),
+b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
+s AS ({" UNION ALL ".join(f"SELECT *, '{r}' AS rule, CASE WHEN {den} > 0 THEN 1000 * {num} // {den} ELSE 0 END AS score FROM b" for r, (num, den, _) in quality.RULES.items())}),
+good AS (SELECT stratum, rule, score FROM s WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+ladders AS ({" UNION ALL ".join(f"SELECT '{r}' AS rule, unnest(range({c.start}, {c.stop}, {c.step})) AS cutoff" for r, (_, _, c) in quality.RULES.items())}),
+tried AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (score > cutoff) AS k FROM good JOIN ladders USING (rule) GROUP BY ALL),
+tails AS (SELECT stratum, rule, cutoff, list_sum(list_transform(range(0, k + 1), lambda i:
+        exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({_RATE}) + (n - i) * ln(1 - {_RATE})))) AS p FROM tried WHERE k < n * {_RATE}),
+c AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM tails
+    WHERE p <= {1 - quality.CONFIDENCE} / ((SELECT count(DISTINCT stratum) FROM good) * {len(quality.RULES)}) GROUP BY ALL),
+v AS (SELECT s.doc_id, bool_or(coalesce(score > cutoff, false)) AS bad FROM s LEFT JOIN c USING (stratum, rule) GROUP BY s.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM b JOIN v USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op5_quality_rules": op5_quality_rules,
 }
 SQL = {
     "op1_mix_sources": _MIX_SQL,
+    "op5_quality_rules": _QUALITY_SQL,
 }
