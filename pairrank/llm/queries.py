@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairrank.llm import mixing, quality
+from pairrank.llm import decontamination, mixing, quality
 from pairrank.llm.expressions import table
 
 # Production targets of the mixture, in percent of the characters, and the block size.
@@ -83,11 +83,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.sort_array(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id", "n_words",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"))
+
+
+def _terms(text: str) -> str:
+    lowered = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+_DECONTAMINATION_SQL = f"""
+WITH items AS (SELECT item_id, w, least(len(w), {decontamination.WINDOW}) AS n FROM (
+        SELECT item_id, {_terms("text")} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, w[i:i + n - 1] AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
+docs AS (SELECT doc_id, {_terms("text")} AS w FROM documents),
+grams AS (SELECT doc_id, n, i, w[i:i + n - 1] AS g FROM (
+    SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows))),
+found AS (SELECT doc_id, item_id, i, n FROM grams JOIN windows USING (n, g)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op5_quality_rules": op5_quality_rules,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 SQL = {
     "op1_mix_sources": _MIX_SQL,
     "op5_quality_rules": _QUALITY_SQL,
+    "op10_benchmark_decontamination": _DECONTAMINATION_SQL,
 }
