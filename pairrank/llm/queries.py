@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairrank.llm import decontamination, mixing, quality
+from pairrank.llm import decontamination, line_dedup, mixing, quality
 from pairrank.llm.expressions import table
 
 # Production targets of the mixture, in percent of the characters, and the block size.
@@ -83,6 +83,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_kept", F.md5("text").alias("kept_md5"))
+
+
+_BLANK = r"[^\x20\x09-\x0D]"
+_LINES_SQL = f"""
+WITH l AS (SELECT doc_id, unnest(range(len(a))) AS n, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+words AS (SELECT * FROM l WHERE regexp_matches(line, '{_BLANK}')),
+firsts AS (SELECT line, length(line) AS len, doc_id, n, row_number() OVER (ORDER BY doc_id, n) AS pos FROM words
+    QUALIFY row_number() OVER (PARTITION BY line ORDER BY doc_id, n) = 1),
+halves AS (SELECT line, len, pos, len - d AS m, side, CASE WHEN side = 0 THEN left(line, (len - d) // 2) ELSE right(line, (len - d) - (len - d) // 2) END AS half
+    FROM firsts, range(2) a(d), range(2) b(side) WHERE len - d >= {line_dedup.MIN_CHARS}),
+pairs AS (SELECT DISTINCT x.line AS line, y.line AS earlier FROM halves x JOIN halves y USING (m, side, half) WHERE y.pos < x.pos AND least(x.len, y.len) = m),
+near AS (SELECT DISTINCT line FROM (SELECT line, string_split(line, '') AS x, string_split(earlier, '') AS y FROM pairs) WHERE CASE
+    WHEN len(x) = len(y) THEN list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] <> y[i])::INT)) <= 1
+    WHEN len(x) > len(y) THEN list_contains(list_transform(range(len(x)), lambda i: x[:i] || x[i + 2:]), y)
+    ELSE list_contains(list_transform(range(len(y)), lambda i: y[:i] || y[i + 2:]), x) END),
+stay AS (SELECT doc_id, n FROM firsts WHERE line NOT IN (SELECT line FROM near)),
+kept AS (SELECT doc_id, count(*) FILTER (regexp_matches(line, '{_BLANK}')) AS n_lines, count(stay.n) AS n_kept,
+    coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (stay.n IS NOT NULL OR NOT regexp_matches(line, '{_BLANK}')), '') AS t
+    FROM l LEFT JOIN stay USING (doc_id, n) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept, CASE WHEN text IS NOT NULL THEN md5(t) END AS kept_md5
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.sort_array(F.transform("items", lambda i: i.cast("string")))
@@ -118,10 +145,12 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op5_quality_rules": op5_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 SQL = {
     "op1_mix_sources": _MIX_SQL,
     "op5_quality_rules": _QUALITY_SQL,
+    "op7_line_dedup": _LINES_SQL,
     "op10_benchmark_decontamination": _DECONTAMINATION_SQL,
 }
