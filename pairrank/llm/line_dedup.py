@@ -9,8 +9,9 @@ hashed keys, equal keys are joined, and the edit distance of what met is verifie
 A line of n characters has n variants of n characters each, so two things keep this
 linear. First a screen: cut at fixed places into blocks, all blocks of such a pair but
 the one with the edit are equal, so only lines that share a whole line but one block with
-a different line emit variants at all. Second, variants are made within that block only
-and carry the hash of the rest.
+a different line emit variants at all. The screen runs twice, over all lines with few
+blocks each, then over what is left with short blocks. Second, variants are made within
+that block only and carry the hash of the rest.
 
 In a group of equal variants all lines are within the bound of one another (same place
 removed), or of the one line that equals the variant, so each line meets only the earliest
@@ -28,8 +29,9 @@ from pairrank.runtime import materialise
 
 # Lines with fewer characters are only compared exactly: one edit makes another word of a short line.
 MIN_CHARS = 20
-# Lines up to twice this length are cut into two blocks, longer ones into blocks of at least this length.
-BLOCK = 256
+# Block lengths of the two screens. Shorter lines are cut into two blocks all the same, and
+# very long ones into blocks of the square root of their length.
+COARSE, FINE = 256, 32
 # A table with more rows is not broadcast; the join then shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -43,13 +45,13 @@ def lines_of(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).alias("id"))
 
 
-def blocks(line: Column, length: Column, m: Column) -> Column:
+def blocks(line: Column, length: Column, m: Column, block: int) -> Column:
     """The cuts of a line for partners of which the shorter has ``m`` characters.
 
     One struct per block: m, its number j, the hash ``key`` of all that lies outside it
     (from the left end before it, from the right end after it), and its text ``middle``.
     """
-    width = F.when(m <= 2 * BLOCK, F.ceil(m / 2)).otherwise(F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(m)))).cast("int")
+    width = F.when(m <= 2 * block, F.ceil(m / 2)).otherwise(F.greatest(F.lit(block), F.ceil(F.sqrt(m)))).cast("int")
 
     def cut(j: Column) -> Column:
         before = j * width
@@ -60,33 +62,28 @@ def blocks(line: Column, length: Column, m: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.ceil(m / width).cast("int") - 1), cut)
 
 
-def with_blocks(lines: DataFrame, min_chars: int) -> DataFrame:
+def with_blocks(lines: DataFrame, min_chars: int, block: int) -> DataFrame:
     """Each line with each of its blocks, as the shorter or equal partner (m = n) and as the longer (m = n - 1)."""
-    length = F.length("line")
-    long_enough = lines.where(length >= min_chars).withColumn("n", length)
-    both = F.concat(blocks(F.col("line"), F.col("n"), F.col("n")), F.when(
-        F.col("n") > min_chars, blocks(F.col("line"), F.col("n"), F.col("n") - 1)).otherwise(
-        F.slice(blocks(F.col("line"), F.col("n"), F.col("n")), 1, 0)))
-    return long_enough.withColumn("block", F.explode(both))
-
-
-def suspects(lines: DataFrame, min_chars: int) -> DataFrame:
-    """Different lines that share all but one block with another line: id, first place, line and those blocks."""
-    cut = with_blocks(lines, min_chars)
-    shared = (
-        cut.select(F.col("block.key").alias("key"), F.col("id.a").alias("a"))
-        .groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low != high").select("key")
-    )
+    line, n = F.col("line"), F.col("n")
+    own = blocks(line, n, n, block)
+    both = F.when(n > min_chars, F.concat(own, blocks(line, n, n - 1, block))).otherwise(own)
+    return lines.withColumn("n", F.length("line")).where(n >= min_chars).withColumn("block", F.explode(both))
+
+
+def suspects(lines: DataFrame, min_chars: int, block: int) -> DataFrame:
+    """Lines that share all but one block with a different line: id, first place, line, length and those blocks."""
+    cut = with_blocks(lines, min_chars, block).withColumn("key", F.col("block.key"))
+    shared = cut.groupBy("key").agg(F.min("id.a").alias("low"), F.max("id.a").alias("high")).where("low != high").select("key")
     shared = materialise(shared, "shared-blocks")
-    few = shared.count() <= BROADCAST_ROWS
-    met = cut.withColumn("key", F.col("block.key")).join(F.broadcast(shared) if few else shared, "key", "left_semi")
-    return met.groupBy("id", F.col("block.m").alias("m"), F.col("block.j").alias("j")).agg(
+    met = cut.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "key", "left_semi")
+    once = met.groupBy("id", "key").agg(
         F.min("at").alias("at"), F.first("line").alias("line"), F.first("n").alias("n"), F.first("block").alias("block"))
+    return materialise(once, "line-suspects")
 
 
 def near_pairs(found: DataFrame) -> DataFrame:
     """id of a line and id of an earlier line that share a variant."""
-    middle, m, n = F.col("block.middle"), F.col("m"), F.col("n")
+    middle, m, n = F.col("block.middle"), F.col("block.m"), F.col("n")
     shorter = F.transform(F.sequence(F.lit(0), F.length(middle) - 1), lambda i: F.struct(
         i.alias("i"), F.concat(F.substring(middle, F.lit(1), i), F.substring(middle, i + 2, F.length(middle))).alias("rest")))
 
@@ -112,7 +109,8 @@ def near_pairs(found: DataFrame) -> DataFrame:
 
 def near_copies(lines: DataFrame, min_chars: int) -> DataFrame:
     """Lines of which an earlier line is one edit away: id, ``other`` and the verified distance."""
-    found = materialise(suspects(lines, min_chars), "line-suspects")
+    once = suspects(lines, min_chars, COARSE).groupBy("id").agg(F.min("at").alias("at"), F.first("line").alias("line"))
+    found = suspects(once, min_chars, FINE)
     text = found.groupBy("id").agg(F.first("line").alias("line"))
     pairs = materialise(near_pairs(found), "line-pairs")
     both = pairs.join(text, "id").join(text.select(F.col("id").alias("other"), F.col("line").alias("earlier")), "other")
