@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairrank.llm import decontamination, line_dedup, mixing, quality
+from pairrank.llm import decontamination, language, line_dedup, mixing, quality
 from pairrank.llm.expressions import table
 
 # Production targets of the mixture, in percent of the characters, and the block size.
@@ -50,6 +50,18 @@ FROM placed JOIN shares USING (stream) JOIN sched ON sched.stream = placed.strea
 """
 
 
+def learned_language(documents: DataFrame) -> tuple[language.Model, DataFrame]:
+    """A model of the documents outside the holdout, and the documents with ``held_out``."""
+    marked = documents.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
+    return language.train(marked.where(~F.col("held_out"))), marked
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, marked = learned_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    held_out = F.coalesce("held_out", F.lit(False)).alias("held_out")
+    return language.identify(marked.select("doc_id", "text", held_out), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.filter_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -144,6 +156,7 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op7_line_dedup": op7_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
