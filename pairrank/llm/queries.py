@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairrank.llm import decontamination, language, line_dedup, mixing, quality
+from pairrank.llm import decontamination, html_text, language, line_dedup, mixing, quality
 from pairrank.llm.expressions import table
 
 # Production targets of the mixture, in percent of the characters, and the block size.
@@ -50,6 +50,10 @@ FROM placed JOIN shares USING (stream) JOIN sched ON sched.stream = placed.strea
 """
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def learned_language(documents: DataFrame) -> tuple[language.Model, DataFrame]:
     """A model of the documents outside the holdout, and the documents with ``held_out``."""
     marked = documents.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
@@ -156,6 +160,7 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_html_extraction": op2_html_extraction,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op7_line_dedup": op7_line_dedup,
