@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairrank.llm import decontamination, html_text, language, line_dedup, mixing, quality
+from pairrank.llm import decontamination, html_text, language, line_dedup, mixing, quality, warc
 from pairrank.llm.expressions import table
 
 # Production targets of the mixture, in percent of the characters, and the block size.
@@ -54,6 +54,23 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op3_warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.convert_archives(warc.archives(table(spark, sf_dir, "pages")))
+    records = warc.with_referred_key(warc.read_warc(spark, folder).drop("payload"))
+    return records.select(
+        F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
+        F.col("refers_to_key").alias("refers_to"))
+
+
+_WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(strlen(html), 0)::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= {warc.REVISIT_BYTES} AND page_id <> top THEN top END AS refers_to FROM t
+"""
+
+
 def learned_language(documents: DataFrame) -> tuple[language.Model, DataFrame]:
     """A model of the documents outside the holdout, and the documents with ``held_out``."""
     marked = documents.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
@@ -161,6 +178,7 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_html_extraction": op2_html_extraction,
+    "op3_warc_conversion": op3_warc_conversion,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op7_line_dedup": op7_line_dedup,
@@ -168,6 +186,7 @@ QUERIES = {
 }
 SQL = {
     "op1_mix_sources": _MIX_SQL,
+    "op3_warc_conversion": _WARC_SQL,
     "op5_quality_rules": _QUALITY_SQL,
     "op7_line_dedup": _LINES_SQL,
     "op10_benchmark_decontamination": _DECONTAMINATION_SQL,
