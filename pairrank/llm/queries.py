@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairrank.llm import decontamination, html_text, language, line_dedup, mixing, quality, warc
+from pairrank.llm import decontamination, html_text, language, line_dedup, minhash, mixing, quality, warc
 from pairrank.llm.expressions import table
 
 # Production targets of the mixture, in percent of the characters, and the block size.
@@ -116,6 +116,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_kept", F.md5("text").alias("kept_md5"))
@@ -181,6 +185,7 @@ QUERIES = {
     "op3_warc_conversion": op3_warc_conversion,
     "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
