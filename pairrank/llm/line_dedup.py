@@ -9,9 +9,9 @@ hashed keys, equal keys are joined, and the edit distance of what met is verifie
 A line of n characters has n variants of n characters each, so two things keep this
 linear. First a screen: cut at fixed places into blocks, all blocks of such a pair but
 the one with the edit are equal, so only lines that share a whole line but one block with
-a different line emit variants at all. The screen runs twice, over all lines with few
-blocks each, then over what is left with short blocks. Second, variants are made within
-that block only and carry the hash of the rest.
+a different line emit variants at all. The screen runs twice, over the halves of all
+lines, then over short blocks of what is left. Second, variants are made within that
+block only and carry the hash of the rest.
 
 In a group of equal variants all lines are within the bound of one another (same place
 removed), or of the one line that equals the variant, so each line meets only the earliest
@@ -29,9 +29,9 @@ from pairrank.runtime import materialise
 
 # Lines with fewer characters are only compared exactly: one edit makes another word of a short line.
 MIN_CHARS = 20
-# Block lengths of the two screens. Shorter lines are cut into two blocks all the same, and
-# very long ones into blocks of the square root of their length.
-COARSE, FINE = 256, 32
+# Length of a block. Shorter lines are cut into two blocks all the same, and very long ones
+# into blocks of the square root of their length.
+BLOCK = 32
 # A table with more rows is not broadcast; the join then shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -45,40 +45,51 @@ def lines_of(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")).alias("id"))
 
 
-def blocks(line: Column, length: Column, m: Column, block: int) -> Column:
+def halves(line: Column, n: Column, m: Column) -> list[Column]:
+    """Hashes of the two halves of a line for partners of which the shorter has ``m`` characters."""
+    half = F.shiftright(m, 1)
+    return [F.xxhash64(m, F.lit(0), F.substring(line, F.lit(1), half)),
+            F.xxhash64(m, F.lit(1), F.substring(line, n - (m - half) + 1, m - half))]
+
+
+def blocks(line: Column, n: Column, m: Column) -> Column:
     """The cuts of a line for partners of which the shorter has ``m`` characters.
 
-    One struct per block: m, its number j, the hash ``key`` of all that lies outside it
+    One struct per block: m, the hash ``key`` of its number and of all that lies outside it
     (from the left end before it, from the right end after it), and its text ``middle``.
     """
-    width = F.when(m <= 2 * block, F.ceil(m / 2)).otherwise(F.greatest(F.lit(block), F.ceil(F.sqrt(m)))).cast("int")
+    width = F.when(m <= 2 * BLOCK, F.ceil(m / 2)).otherwise(F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(m)))).cast("int")
 
     def cut(j: Column) -> Column:
         before = j * width
         after = F.greatest(m - before - width, F.lit(0))
-        rest = F.xxhash64(m, j, F.substring(line, F.lit(1), before), F.substring(line, length - after + 1, after))
-        return F.struct(m.alias("m"), j.alias("j"), rest.alias("key"), F.substring(line, before + 1, length - before - after).alias("middle"))
+        rest = F.xxhash64(m, j, F.substring(line, F.lit(1), before), F.substring(line, n - after + 1, after))
+        return F.struct(m.alias("m"), rest.alias("key"), F.substring(line, before + 1, n - before - after).alias("middle"))
 
     return F.transform(F.sequence(F.lit(0), F.ceil(m / width).cast("int") - 1), cut)
 
 
-def with_blocks(lines: DataFrame, min_chars: int, block: int) -> DataFrame:
-    """Each line with each of its blocks, as the shorter or equal partner (m = n) and as the longer (m = n - 1)."""
-    line, n = F.col("line"), F.col("n")
-    own = blocks(line, n, n, block)
-    both = F.when(n > min_chars, F.concat(own, blocks(line, n, n - 1, block))).otherwise(own)
-    return lines.withColumn("n", F.length("line")).where(n >= min_chars).withColumn("block", F.explode(both))
+def sharing(rows: DataFrame) -> DataFrame:
+    """The rows whose key a different line has too."""
+    shared = rows.groupBy("key").agg(F.min("id.a").alias("low"), F.max("id.a").alias("high")).where("low != high").select("key")
+    shared = materialise(shared, "shared-keys")
+    return rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "key", "left_semi")
 
 
-def suspects(lines: DataFrame, min_chars: int, block: int) -> DataFrame:
-    """Lines that share all but one block with a different line: id, first place, line, length and those blocks."""
-    cut = with_blocks(lines, min_chars, block).withColumn("key", F.col("block.key"))
-    shared = cut.groupBy("key").agg(F.min("id.a").alias("low"), F.max("id.a").alias("high")).where("low != high").select("key")
-    shared = materialise(shared, "shared-blocks")
-    met = cut.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "key", "left_semi")
-    once = met.groupBy("id", "key").agg(
-        F.min("at").alias("at"), F.first("line").alias("line"), F.first("n").alias("n"), F.first("block").alias("block"))
-    return materialise(once, "line-suspects")
+def suspects(lines: DataFrame, min_chars: int) -> DataFrame:
+    """Lines that share all but one block with a different line: id, first place, line, length n and those blocks.
+
+    Every line is looked at as the shorter or equal partner (m = n) and as the longer (m = n - 1).
+    """
+    line, n = F.col("line"), F.col("n")
+    long_enough = lines.withColumn("n", F.length("line")).where(n >= min_chars)
+    own = halves(line, n, n)
+    keys = F.when(n > min_chars, F.array(*own, *halves(line, n, n - 1))).otherwise(F.array(*own))
+    some = sharing(long_enough.withColumn("key", F.explode(keys)))
+    some = materialise(some.groupBy("id").agg(F.min("at").alias("at"), F.first("line").alias("line"), F.first("n").alias("n")), "line-suspects")
+    cuts = F.when(n > min_chars, F.concat(blocks(line, n, n), blocks(line, n, n - 1))).otherwise(blocks(line, n, n))
+    cut = some.withColumn("block", F.explode(cuts)).withColumn("key", F.col("block.key"))
+    return materialise(sharing(cut).drop("key"), "line-suspects")
 
 
 def near_pairs(found: DataFrame) -> DataFrame:
@@ -109,8 +120,7 @@ def near_pairs(found: DataFrame) -> DataFrame:
 
 def near_copies(lines: DataFrame, min_chars: int) -> DataFrame:
     """Lines of which an earlier line is one edit away: id, ``other`` and the verified distance."""
-    once = suspects(lines, min_chars, COARSE).groupBy("id").agg(F.min("at").alias("at"), F.first("line").alias("line"))
-    found = suspects(once, min_chars, FINE)
+    found = suspects(lines, min_chars)
     text = found.groupBy("id").agg(F.first("line").alias("line"))
     pairs = materialise(near_pairs(found), "line-pairs")
     both = pairs.join(text, "id").join(text.select(F.col("id").alias("other"), F.col("line").alias("earlier")), "other")
