@@ -11,8 +11,9 @@ full sets.
 Documents with equal sets are one class, and only classes are compared. In a bucket every
 class is compared with one centre, so a group of copies makes a star and not all its
 pairs. Only where a member fails against the centre can a link between two others be
-missing; the members of these buckets are then compared among themselves, in blocks of
-bounded size and with the sets at hand, and a block gives back at most a spanning forest.
+missing, and only if the first links have not joined them anyway. The members of such
+buckets are then compared among themselves: pair by pair where they are a handful, else in
+blocks of bounded size, of which each gives back at most a spanning forest.
 
 With 32 bands of 4 registers a pair at the bound of 0.85 shares no band with a probability
 below 1e-10. Short sets leave registers empty; bands of empty registers are no candidates.
@@ -39,8 +40,10 @@ REGISTERS, ROWS = 1 << REGISTER_BITS, 4
 BANDS = REGISTERS // ROWS
 # Standard deviations by which an estimate may fall below the bound before a candidate is dropped.
 SLACK = 6
-# A block of an unresolved bucket: members, and bytes of their sets.
-BLOCK_ROWS, BLOCK_BYTES = 512, 32 << 20
+# Members up to which an open bucket is compared pair by pair.
+PAIRS_UP_TO = 8
+# A block of a larger bucket: members, and bytes of their sets.
+BLOCK_ROWS, BLOCK_BYTES = 2048, 32 << 20
 # A table of keys with more rows is not broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -136,6 +139,10 @@ def sketched(text: Column) -> Column:
     return sketch(text)
 
 
+def small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 # --- candidates and links ---------------------------------------------------------
 
 
@@ -149,26 +156,13 @@ def buckets(classes: DataFrame) -> DataFrame:
         i.alias("band"), F.expr("registers").substr(i * 4 * ROWS + 1, F.lit(4 * ROWS)).alias("part")))
     banded = classes.select("node", "n", F.explode(cut).alias("b")).where(F.col("b.part") != F.lit(bytes(4 * ROWS))).select(
         "node", "n", "b.band", F.xxhash64("b.band", "b.part").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("elements"), F.min("node").alias("centre"))
-    return materialise(banded.join(shared.where("members > 1"), "key"), "buckets")
-
+    shared = banded.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("elements"), F.min("node").alias("centre"))
+    shared = materialise(shared.where("size > 1"), "shared-bands")
+    return materialise(banded.join(small(shared), "key"), "buckets")
 
-def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose estimate does not rule them out."""
 
-    @F.pandas_udf("boolean")
-    def passes(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        both = [np.frombuffer(b"".join(s), np.uint32).reshape(-1, REGISTERS) for s in (x, y)]
-        found, spread = estimate(*both, n.to_numpy(), m.to_numpy())
-        return pd.Series(found >= PERCENT / 100 - SLACK * spread)
-
-    sides = [classes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}")) for c in "ab"]
-    joined = pairs.join(sides[0], "a").join(sides[1], "b")
-    return joined.where(passes("r_a", "r_b", "n_a", "n_b")).select("a", "b")
-
-
-def sets_of(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its full set (ordered hashes) for the given nodes, from one document of each."""
+def with_sets(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n, registers and the full set (ordered hashes) of the given nodes, from one document of each."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -176,38 +170,46 @@ def sets_of(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataF
             yield pd.DataFrame({
                 "print": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "members": [s.tobytes() for s in sets]})
 
-    wanted = materialise(classes.join(nodes, "node", "left_semi").select("node", "print", "row"), "wanted")
+    wanted = materialise(classes.join(small(nodes), "node", "left_semi").drop("smallest"), "wanted")
     texts = documents.join(small(wanted.select("row").distinct()), "row", "left_semi").select("text")
     found = texts.mapInPandas(read, "print binary, members binary")
     # Rows that repeat id and text come up once each.
-    return materialise(found.join(wanted.select("node", "print"), "print").dropDuplicates(["node"]).select("node", "members"), "sets")
+    once = found.join(wanted.drop("row"), "print").dropDuplicates(["node"])
+    return materialise(once.select("node", "n", "registers", "members"), "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that reach the bound: those that the estimate does not rule out, verified on their full sets."""
+
     @F.pandas_udf("boolean")
-    def holds(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(x, y)], dtype=bool)
+    def holds(rx: pd.Series, ry: pd.Series, n: pd.Series, m: pd.Series, sx: pd.Series, sy: pd.Series) -> pd.Series:
+        both = [np.frombuffer(b"".join(r), np.uint32).reshape(-1, REGISTERS) for r in (rx, ry)]
+        found, spread = estimate(*both, n.to_numpy(), m.to_numpy())
+        near = found >= PERCENT / 100 - SLACK * spread
+        return pd.Series([ok and similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for ok, x, y in zip(near, sx, sy)], dtype=bool)
 
-    sides = [sets.select(F.col("node").alias(c), F.col("members").alias(f"s_{c}")) for c in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").where(holds("s_a", "s_b")).select("a", "b")
+    names = ["registers", "n", "members"]
+    sides = [sets.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in names)) for c in "ab"]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b")
+    return joined.where(holds(*(f"{x}_{c}" for x in names for c in "ab"))).select("a", "b")
 
 
 def links_within(rows: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the links among the members of one pair of blocks of an unresolved bucket."""
+    """A spanning forest of the links among the members of one pair of blocks of an open bucket."""
     rows = rows.sort_values("node").reset_index(drop=True)
     nodes, band, blocks = rows["node"].to_numpy(), int(rows["band"].iloc[0]), rows["block"].to_numpy()
     sketches = np.frombuffer(b"".join(rows["registers"]), np.uint32).reshape(-1, REGISTERS)
     sizes, sets = rows["n"].to_numpy(), [np.frombuffer(s, np.uint64) for s in rows["members"]]
-    # What is linked to the centre is one component already.
-    root = np.where(rows["linked"], -1, np.arange(len(rows)))
-    found = []
+    root, found = rows["root"].to_numpy().copy(), []
     across = len(set(blocks)) > 1
     for i in range(len(rows) - 1):
-        near, spread = estimate(sketches[i], sketches[i + 1 :], np.float64(sizes[i]), sizes[i + 1 :])
-        hit = near >= PERCENT / 100 - SLACK * spread
+        low, high = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
+        open_pairs = (root[i + 1 :] != root[i]) & (100 * low >= PERCENT * high)
         if across:
-            hit &= blocks[i + 1 :] != blocks[i]
-        for j in np.flatnonzero(hit) + i + 1:
+            open_pairs &= blocks[i + 1 :] != blocks[i]
+        others = np.flatnonzero(open_pairs) + i + 1
+        near, spread = estimate(sketches[i], sketches[others], np.float64(sizes[i]), sizes[others])
+        for j in others[near >= PERCENT / 100 - SLACK * spread]:
             if root[i] == root[j]:
                 continue
             x, y = (sketches[k].reshape(BANDS, ROWS) for k in (i, j))
@@ -221,32 +223,31 @@ def links_within(rows: pd.DataFrame) -> pd.DataFrame:
 def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges (a, b) between classes that connect whatever the similarity connects."""
     members = buckets(classes)
+    sets = with_sets(documents, classes, members.select("node").distinct())
     stars = members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialise(likely(stars, classes), "pairs")
-    in_pairs = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = sets_of(documents, classes, in_pairs)
-    linked = materialise(verified(pairs, sets), "linked")
-
-    flagged = members.join(linked.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(True).alias("link")), ["centre", "node"], "left")
-    flagged = flagged.withColumn("linked", F.coalesce("link", F.col("node") == F.col("centre")))
-    failing = flagged.where("members > 2").groupBy("key").agg(F.count_if(~F.col("linked")).alias("failed")).where("failed > 0").select("key")
-    # In a bucket the failing members may have links to any other member but the centre.
-    open_members = materialise(flagged.join(failing, "key", "left_semi").where("node != centre").select(
-        "key", "band", "node", "n", "linked", F.col("members").alias("size"), "elements"), "open-buckets")
-    more = open_members.select("node").distinct().join(sets, "node", "left_anti")
-    all_sets = sets.unionByName(sets_of(documents, classes, more))
+    linked = materialise(confirmed(stars, sets), "linked")
+
+    # Pairs with a centre are settled. A bucket is open if its other members lie in different components.
+    others = members.where("node != centre AND size > 2").join(components(linked), "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))
+    parts = others.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    open_members = materialise(others.join(small(materialise(parts, "open-keys")), "key", "left_semi"), "open-buckets")
+
+    listed = open_members.where(F.col("size") <= PAIRS_UP_TO).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("list"))
+    each = F.flatten(F.transform("list", lambda x: F.transform(
+        F.filter("list", lambda y: (x["node"] < y["node"]) & (x["root"] != y["root"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    few = confirmed(listed.select(F.explode(each).alias("p")).select("p.a", "p.b").distinct(), sets)
+
+    large = open_members.where(F.col("size") > PAIRS_UP_TO)
     count = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("elements") * 8 / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # A block meets itself and every other block once.
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(
         F.least("block", other).alias("low"), F.greatest("block", other).alias("high")))
-    dealt = (
-        open_members.withColumn("blocks", count).withColumn("block", own).withColumn("pair", F.explode(met))
-        .join(classes.select("node", "registers"), "node").join(all_sets, "node")
-        .select("key", "pair", "band", "node", "n", "linked", "block", "registers", "members")
-    )
-    extra = dealt.groupBy("key", "pair").applyInPandas(links_within, "a long, b long")
-    return linked.unionByName(extra)
+    dealt = large.drop("n").withColumn("blocks", count).withColumn("block", own).withColumn("pair", F.explode(met)).join(sets, "node").select(
+        "key", "pair", "band", "node", "n", "root", "block", "registers", "members")
+    many = dealt.groupBy("key", "pair").applyInPandas(links_within, "a long, b long")
+    return linked.unionByName(few).unionByName(many)
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
