@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairrank.llm import decontamination, html_text, language, line_dedup, minhash, mixing, quality, warc
+from pairrank.llm import decontamination, html_text, language, line_dedup, minhash, mixing, passages, quality, warc
 from pairrank.llm.expressions import table
 
 # Production targets of the mixture, in percent of the characters, and the block size.
@@ -157,6 +157,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         (F.size("spans") > 0).alias("contaminated"))
 
 
+def op9_passage_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = passages.remove_passages(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _terms(text: str) -> str:
     lowered = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -187,6 +192,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op9_passage_removal": op9_passage_removal,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 SQL = {
