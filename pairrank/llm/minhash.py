@@ -64,16 +64,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The distinct hashes of a text's word shingles, in order.
-
-    Words are runs without ASCII white space, A-Z in lower case. A text with fewer words
-    than a shingle has one shingle, all its words; one without words has none.
-    """
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
-    inside = ~_SPACE[data]
+def hashed_words(data: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of every run of bytes that ``word`` (a flag for each byte value) marks."""
+    inside = word[data]
     if not inside.any():
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = int(inside.argmax())
     data, inside = data[first:], inside[first:]
     starts = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1])))
@@ -83,6 +78,18 @@ def shingles(text: str | None) -> np.ndarray:
     place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
     terms = np.where(inside, _BYTE[data] * powers[np.minimum(place, len(powers) - 1)], np.uint64(0))
     words = mixed(np.add.reduceat(terms, starts) + (ends - starts).astype(np.uint64))
+    return words, starts + first, ends + first
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order.
+
+    Words are runs without ASCII white space, A-Z in lower case. A text with fewer words
+    than a shingle has one shingle, all its words; one without words has none.
+    """
+    words, _, _ = hashed_words(np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8), ~_SPACE)
+    if not len(words):
+        return words
     size = min(SHINGLE, len(words))
     joined = np.full(len(words) - size + 1, np.uint64(size))
     for j in range(size):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairrank.llm import decontamination, html_text, language, line_dedup, minhash, mixing, passages, quality, warc
+from pairrank.llm import decontamination, html_text, language, licenses, line_dedup, minhash, mixing, passages, quality, warc
 from pairrank.llm.expressions import table
 
 # Production targets of the mixture, in percent of the characters, and the block size.
@@ -157,6 +157,15 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         (F.size("spans") > 0).alias("contaminated"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"),
+        F.array_join(F.transform("matches", lambda m: F.concat_ws(
+            ":", m["license"], F.round(100 * m["coverage"]).cast("int"), m["start"], m["end"])), ",").alias("spans"))
+
+
 def op9_passage_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = passages.remove_passages(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -192,6 +201,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_passage_removal": op9_passage_removal,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
