@@ -1,15 +1,73 @@
-"""A training-data pipeline over ``documents``, built from the operators in pairrank/llm."""
+"""A training-data pipeline over ``documents``: language, lines, near copies, benchmark, mixture.
+
+Each stage takes what the one before kept, as a written table, and returns the columns of
+``documents`` (the last one adds the places of the mixture, and puts rows in its order).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairrank.llm import mixing
+from pairrank.llm import decontamination, language, line_dedup, minhash, mixing
 from pairrank.llm import queries as Q
+from pairrank.llm.expressions import table
+from pairrank.runtime import materialise
+
+# Language ID rejects a text without letters, and one whose best language has a lower score.
+LEAST_SCORE = 0.5
+NEAR_PERCENT = 80
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is among ``ids``, null included."""
+    gone = ids.select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone["__gone"]), "left_anti")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a recognisable language. The model learns outside the holdout, as in op4."""
+    model, _ = Q.learned_language(docs)
+    found = language.identify(docs, model)
+    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated lines, n_chars counted anew; a document of which no line stays goes."""
+    cut = line_dedup.dedup_lines(docs).where("n_kept > 0")
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest doc_id."""
+    return without(docs, minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("NOT kept"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    found = decontamination.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, found.where(F.size("spans") > 0))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mixture, with their places in it."""
+    return mixing.in_order(mixing.mix(docs, Q.TARGETS, Q.REST, Q.BLOCK_CHARS, size=F.length("text")))
+
 
-STAGES = []
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("MinHash near-dedup", dedup_documents),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mix_sources),
+]
+# A model's predictions have no SQL form; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; each one's rows are written before the next reads them."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,8 +15,8 @@ missing, and only if the first links have not joined them anyway. The members of
 buckets are then compared among themselves: pair by pair where they are a handful, else in
 blocks of bounded size, of which each gives back at most a spanning forest.
 
-With 32 bands of 4 registers a pair at the bound of 0.85 shares no band with a probability
-below 1e-10. Short sets leave registers empty; bands of empty registers are no candidates.
+With 32 bands of 4 registers a pair of similarity 0.8 shares no band with a probability
+below 1e-7, one of 0.85 below 1e-10. Short sets leave registers empty; bands of empty registers are no candidates.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ from pairrank.llm.expressions import pick
 from pairrank.runtime import materialise
 
 SHINGLE = 5
-PERCENT = 85
+# Shared percentage of the union from which documents are linked.
+PERCENT = 80
 REGISTER_BITS, MANTISSA = 7, 26
 REGISTERS, ROWS = 1 << REGISTER_BITS, 4
 BANDS = REGISTERS // ROWS
@@ -111,8 +112,8 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated similarity of sketches (row by row) and its standard deviation at the bound.
+def plausible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sketches (row by row) have an estimated similarity not clearly below the bound.
 
     From the equal registers those are taken that sets of n and m elements would share by
     chance, by the approximation 0.169919 * 2^(p - r) * 4 (n/m) / (1 + n/m)^2.
@@ -121,16 +122,16 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tupl
     equal = ((x == y) & (x != 0)).sum(-1)
     ratio = n / np.maximum(m, 1)
     chance = 0.169919 * 2.0 ** (REGISTER_BITS - MANTISSA) * 4 * ratio / (1 + ratio) ** 2
-    bound = PERCENT / 100
-    return (equal - chance) / np.maximum(used, 1), np.sqrt(bound * (1 - bound) / np.maximum(used, 1))
+    bound, used = percent / 100, np.maximum(used, 1)
+    return (equal - chance) / used >= bound - SLACK * np.sqrt(bound * (1 - bound) / used)
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two ordered sets reach the bound."""
-    if min(len(x), len(y)) * 100 < PERCENT * max(len(x), len(y)):
+    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
         return False
     shared = len(x) + len(y) - len(np.union1d(x, y))
-    return 100 * shared >= PERCENT * (len(x) + len(y) - shared)
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def sketched(text: Column) -> Column:
@@ -185,15 +186,15 @@ def with_sets(documents: DataFrame, classes: DataFrame, nodes: DataFrame) -> Dat
     return materialise(once.select("node", "n", "registers", "members"), "sets")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the bound: those that the estimate does not rule out, verified on their full sets."""
 
     @F.pandas_udf("boolean")
     def holds(rx: pd.Series, ry: pd.Series, n: pd.Series, m: pd.Series, sx: pd.Series, sy: pd.Series) -> pd.Series:
         both = [np.frombuffer(b"".join(r), np.uint32).reshape(-1, REGISTERS) for r in (rx, ry)]
-        found, spread = estimate(*both, n.to_numpy(), m.to_numpy())
-        near = found >= PERCENT / 100 - SLACK * spread
-        return pd.Series([ok and similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for ok, x, y in zip(near, sx, sy)], dtype=bool)
+        near = plausible(*both, n.to_numpy(), m.to_numpy(), percent)
+        return pd.Series([
+            ok and similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for ok, x, y in zip(near, sx, sy)], dtype=bool)
 
     names = ["registers", "n", "members"]
     sides = [sets.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in names)) for c in "ab"]
@@ -201,7 +202,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.where(holds(*(f"{x}_{c}" for x in names for c in "ab"))).select("a", "b")
 
 
-def links_within(rows: pd.DataFrame) -> pd.DataFrame:
+def links_within(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """A spanning forest of the links among the members of one pair of blocks of an open bucket."""
     rows = rows.sort_values("node").reset_index(drop=True)
     nodes, band, blocks = rows["node"].to_numpy(), int(rows["band"].iloc[0]), rows["block"].to_numpy()
@@ -211,28 +212,27 @@ def links_within(rows: pd.DataFrame) -> pd.DataFrame:
     across = len(set(blocks)) > 1
     for i in range(len(rows) - 1):
         low, high = np.minimum(sizes[i], sizes[i + 1 :]), np.maximum(sizes[i], sizes[i + 1 :])
-        open_pairs = (root[i + 1 :] != root[i]) & (100 * low >= PERCENT * high)
+        open_pairs = (root[i + 1 :] != root[i]) & (100 * low >= percent * high)
         if across:
             open_pairs &= blocks[i + 1 :] != blocks[i]
         others = np.flatnonzero(open_pairs) + i + 1
-        near, spread = estimate(sketches[i], sketches[others], np.float64(sizes[i]), sizes[others])
-        for j in others[near >= PERCENT / 100 - SLACK * spread]:
+        for j in others[plausible(sketches[i], sketches[others], np.float64(sizes[i]), sizes[others], percent)]:
             if root[i] == root[j]:
                 continue
             x, y = (sketches[k].reshape(BANDS, ROWS) for k in (i, j))
             # A pair that shares several bands is settled in the first.
-            if np.flatnonzero((x == y).all(1) & (x != 0).any(1))[0] == band and similar(sets[i], sets[j]):
+            if np.flatnonzero((x == y).all(1) & (x != 0).any(1))[0] == band and similar(sets[i], sets[j], percent):
                 found.append((nodes[i], nodes[j]))
                 root[root == root[j]] = root[i]
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
+def links(documents: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between classes that connect whatever the similarity connects."""
     members = buckets(classes)
     sets = with_sets(documents, classes, members.select("node").distinct())
     stars = members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    linked = materialise(confirmed(stars, sets), "linked")
+    linked = materialise(confirmed(stars, sets, percent), "linked")
 
     # Pairs with a centre are settled. A bucket is open if its other members lie in different components.
     others = members.where("node != centre AND size > 2").join(components(linked), "node", "left").withColumn(
@@ -243,7 +243,7 @@ def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
     listed = open_members.where(F.col("size") <= PAIRS_UP_TO).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("list"))
     each = F.flatten(F.transform("list", lambda x: F.transform(
         F.filter("list", lambda y: (x["node"] < y["node"]) & (x["root"] != y["root"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-    few = confirmed(listed.select(F.explode(each).alias("p")).select("p.a", "p.b").distinct(), sets)
+    few = confirmed(listed.select(F.explode(each).alias("p")).select("p.a", "p.b").distinct(), sets, percent)
 
     large = open_members.where(F.col("size") > PAIRS_UP_TO)
     count = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("elements") * 8 / BLOCK_BYTES)).cast("int")
@@ -253,26 +253,28 @@ def links(documents: DataFrame, classes: DataFrame) -> DataFrame:
         F.least("block", other).alias("low"), F.greatest("block", other).alias("high")))
     dealt = large.drop("n").withColumn("blocks", count).withColumn("block", own).withColumn("pair", F.explode(met)).join(sets, "node").select(
         "key", "pair", "band", "node", "n", "root", "block", "registers", "members")
-    many = dealt.groupBy("key", "pair").applyInPandas(links_within, "a long, b long")
+    many = dealt.groupBy("key", "pair").applyInPandas(lambda part: links_within(part, percent), "a long, b long")
     return linked.unionByName(few).unionByName(many)
 
 
-def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(documents: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id and kept.
 
-    Documents whose shingle sets share at least ``PERCENT`` percent of their union are
+    Documents whose shingle sets share at least ``percent`` percent of their union are
     linked; component_id is the smallest doc_id that links reach, the row's own included,
     and kept marks the row that carries it. A null text, or one without words, has an empty
     set and is linked with nothing. Ids that are null count only where a component has no
     other; rows that repeat an id are kept or not together.
     """
+    if not 0 < percent <= 100:
+        raise ValueError("percent is above 0 and at most 100")
     rows = pick(documents, doc_id=doc_id, text=text).withColumn("row", F.xxhash64("doc_id", "text"))
     sketches = materialise(rows.select("doc_id", "row", sketched(F.col("text")).alias("s")).select("doc_id", "row", "s.*"), "sketches")
     grouped = sketches.where("n > 0").groupBy("print").agg(
         F.min("doc_id").alias("smallest"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("registers").alias("registers"))
     # Written before it is used, so the number of a class never changes.
     classes = materialise(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    roots = components(links(rows, classes))
+    roots = components(links(rows, classes, percent))
     rooted = classes.select("node", "print", "smallest").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     found = rooted.join(named, "root").select("print", "component_id")
