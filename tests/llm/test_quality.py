@@ -1,0 +1,96 @@
+import random
+import re
+from fractions import Fraction
+from math import comb
+
+import pytest
+from cases import documents, edge_documents, empty_documents, prose
+from pyspark.sql import functions as F
+
+from pairrank.llm import quality
+
+
+def plain_measures(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    covered = {j for i, w in enumerate(windows) if windows.count(w) > 1 for j in (i, i + 1, i + 2)}
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines), len(lines) - len(set(lines)), len(covered), failed)
+
+
+NAMES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def test_measures(spark):
+    draw = random.Random(1)
+    texts = [" ".join(draw.choice(["a", "b", "c#", "dd\n", "é\t", "\n\n", "|"]) for _ in range(draw.randint(0, 90))) for _ in range(60)]
+    texts += ["a b c a b c", "a a a a", None, "", " ", "x" * 9, "é" * 60, prose(3, 3000) + "\n" + prose(3, 20)]
+    got = quality.measures(documents(spark, texts)).orderBy("doc_id").collect()
+    for r, text in zip(got, texts, strict=True):
+        assert [r[n] for n in NAMES] == list(plain_measures(text)), text
+
+
+@pytest.mark.parametrize("n, k, rate", [(1, 0, 0.3), (10, 2, 0.5), (500, 3, 0.02), (2000, 30, 0.02), (2000, 39, 0.02), (100, 0, 0.005)])
+def test_binomial_tail(spark, n, k, rate):
+    p = Fraction(rate)
+    exact = float(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
+    got = spark.range(1).select(F.exp(quality.log_tail(F.lit(n), F.lit(k), rate)).alias("p")).first().p
+    assert got == pytest.approx(exact, rel=1e-9)
+
+
+def test_long_tails_are_bounded_from_above(spark, monkeypatch):
+    exact = spark.range(1).select(quality.log_tail(F.lit(20_000), F.lit(350), 0.02)).first()[0]
+    monkeypatch.setattr(quality, "TERMS", 20)
+    assert exact <= spark.range(1).select(quality.log_tail(F.lit(20_000), F.lit(350), 0.02)).first()[0] < exact + 1
+
+
+def plain_cutoffs(measured, good, max_false, confidence):
+    held = [m for m in measured if m.doc_id in good and not m.base_failed]
+    strata = {m.stratum for m in held}
+    level, rate = (1 - confidence) / (len(strata) * len(quality.RULES)), Fraction(max_false) / len(quality.RULES)
+    found = {}
+    for s in strata:
+        for rule, (above, below, ladder) in quality.RULES.items():
+            scores = [1000 * m[above] // m[below] if m[below] else 0 for m in held if m.stratum == s]
+            found[s, rule] = None
+            for cutoff in ladder:
+                k = sum(x > cutoff for x in scores)
+                if float(sum(comb(len(scores), i) * rate**i * (1 - rate) ** (len(scores) - i) for i in range(k + 1))) <= level:
+                    found[s, rule] = cutoff
+                    break
+    return found
+
+
+def test_cutoffs_and_verdicts(spark):
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice(["word", "longer", "a#", "b"]) + str(draw.randint(0, 10**6)) for _ in range(60)) + "##" * draw.randint(0, 9)
+             for _ in range(700)]
+    docs = documents(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 7 == 0, None).otherwise("en"))
+    labels = spark.createDataFrame([(i, i % 5 != 0) for i in range(700)] + [(1, False), (2, None), (None, True)], "doc_id long, q boolean").select(
+        "doc_id", F.col("q").cast("int").alias("quality"))
+    measured = quality.measures(docs)
+    rows = measured.collect()
+    limits = {r.stratum: r for r in quality.cutoffs(measured, labels, max_false=0.1).collect()}
+    want = plain_cutoffs(rows, {i for i in range(700) if i % 5}, 0.1, 0.95)
+    assert {(s, r): limits[s][f"max_{r}"] for s in limits for r in quality.RULES} == want
+    assert want["en", "symbols"] is not None and want["none", "symbols"] is None
+    judged = quality.filter_quality(docs, labels, max_false=0.1).collect()
+    for r in judged:
+        bad = r.base_failed
+        for rule, (above, below, _) in quality.RULES.items():
+            cutoff = want[r.stratum, rule]
+            bad = bad or cutoff is not None and 1000 * r[above] // r[below] > cutoff
+        assert r.kept == (not bad)
+    assert 0 < sum(not r.kept for r in judged) < 100
+
+
+def test_edges(spark):
+    docs = edge_documents(spark)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    got = quality.filter_quality(docs, none)
+    assert got.count() == docs.count()
+    assert got.where("n_words < 50 AND kept").count() == 0
+    assert got.where("NOT base_failed AND NOT kept").count() == 0
+    assert quality.filter_quality(empty_documents(spark), none).count() == 0
