@@ -185,7 +185,8 @@ def remove_passages(documents: DataFrame, window: int = WINDOW, doc_id: str = "d
         raise ValueError(f"windows have at least {GRAM} bytes")
     rows = pick(documents, doc_id=doc_id, text=text).withColumn("row", F.xxhash64("doc_id", "text"))
     found = materialise(segments_of(rows, window), "segments")
-    hits = found.join(repeats(rows, found, window), ["hash", "print"]).select("doc_id", "row", F.transform(
+    repeated = materialise(repeats(rows, found, window), "repeated-windows")
+    hits = found.join(repeated, ["hash", "print"]).select("doc_id", "row", F.transform(
         "runs", lambda r: F.struct((F.col("start") + r["first"]).alias("start"), (F.col("start") + r["last"] + window).alias("end"))).alias("spans"))
     per_row = hits.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     same = rows.row.eqNullSafe(per_row.row) & rows.doc_id.eqNullSafe(per_row.doc_id)
@@ -193,13 +194,12 @@ def remove_passages(documents: DataFrame, window: int = WINDOW, doc_id: str = "d
 
     @F.pandas_udf("struct<kept: binary, n_spans: long, n_removed: long>")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        done = [cut_out(t.encode("utf-8", "surrogatepass"), [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)]
+        done = [cut_out(t.encode("utf-8", "surrogatepass"), [(x["start"], x["end"]) for x in s]) if s is not None else (None, 0, 0)
+                for t, s in zip(texts, spans)]
         return pd.DataFrame(done, columns=["kept", "n_spans", "n_removed"])
 
-    some, none = joined.where("spans IS NOT NULL"), joined.where("spans IS NULL")
-    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    cut_rows = some.select("doc_id", n_bytes, cut("text", "spans").alias("c")).select(
-        "doc_id", "n_bytes", "c.n_removed", "c.n_spans", "c.kept")
-    whole = none.select("doc_id", n_bytes, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
-                        F.coalesce("text", F.lit("")).cast("binary").alias("kept"))
-    return cut_rows.unionByName(whole)
+    # Texts that stay whole need not pass through Python.
+    some = F.when(F.col("spans").isNotNull(), F.col("text"))
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    return joined.withColumn("cut", cut(some, "spans")).select(
+        "doc_id", F.octet_length(data).cast("long").alias("n_bytes"), "cut.n_removed", "cut.n_spans", F.coalesce("cut.kept", data).alias("kept"))
