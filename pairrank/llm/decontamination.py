@@ -140,8 +140,8 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, window: int = WIN
 
     ``spans`` are the maximal runs [start, end) of word positions that lie in an occurrence
     of a window, ``items`` the ids of the items with occurring windows, ``near_items`` those
-    of items of which two rare terms occur within ``slack`` words of their place in the item
-    without any window of it occurring. Windows have ``window`` words; an item with fewer is
+    of items of which two rare terms occur, their distance in the item kept to within ``slack``
+    words, without any window of it occurring. Windows have ``window`` words; an item with fewer is
     one window.
 
     A null text has no words. Items without an id or without words are passed over. Items
@@ -172,7 +172,7 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, window: int = WIN
     exact = F.filter("aligned", lambda a: F.size(a["spans"]) > 0)
     spans = merged_spans(F.array_distinct(F.flatten(F.transform(exact, lambda a: a["spans"]))))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform(exact, lambda a: a["items"]))))
-    near = F.flatten(F.transform(F.filter("aligned", lambda a: a["near"].isNotNull()), lambda a: a["items"]))
+    near = F.flatten(F.transform("aligned", lambda a: a["items"]))
     results = checked.select("doc_id", "doc", "n_words", spans.alias("spans"), items.alias("items"), near.alias("near")).withColumn(
         "near_items", F.array_sort(F.array_except("near", "items"))).drop("near").dropDuplicates(["doc", "doc_id", "n_words"])
     rows = corpus.select("doc_id", "doc", F.size("words").alias("n_words"))

@@ -52,11 +52,15 @@ def halves(line: Column, n: Column, m: Column) -> list[Column]:
             F.xxhash64(m, F.lit(1), F.substring(line, n - (m - half) + 1, m - half))]
 
 
+def middle_of(line: Column, before: Column, after: Column) -> Column:
+    return F.substring(line, before + 1, F.length(line) - before - after)
+
+
 def blocks(line: Column, n: Column, m: Column) -> Column:
     """The cuts of a line for partners of which the shorter has ``m`` characters.
 
-    One struct per block: m, the hash ``key`` of its number and of all that lies outside it
-    (from the left end before it, from the right end after it), and its text ``middle``.
+    One struct per block: m, the characters ``before`` it (from the left end) and ``after`` it
+    (from the right end), the hash ``key`` of these and of its number, and its text ``middle``.
     """
     width = F.when(m <= 2 * BLOCK, F.ceil(m / 2)).otherwise(F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(m)))).cast("int")
 
@@ -64,7 +68,7 @@ def blocks(line: Column, n: Column, m: Column) -> Column:
         before = j * width
         after = F.greatest(m - before - width, F.lit(0))
         rest = F.xxhash64(m, j, F.substring(line, F.lit(1), before), F.substring(line, n - after + 1, after))
-        return F.struct(m.alias("m"), rest.alias("key"), F.substring(line, before + 1, n - before - after).alias("middle"))
+        return F.struct(m.alias("m"), before.alias("before"), after.alias("after"), rest.alias("key"), middle_of(line, before, after).alias("middle"))
 
     return F.transform(F.sequence(F.lit(0), F.ceil(m / width).cast("int") - 1), cut)
 
@@ -76,9 +80,10 @@ def sharing(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "key", "left_semi")
 
 
-def suspects(lines: DataFrame, min_chars: int) -> DataFrame:
-    """Lines that share all but one block with a different line: id, first place, line, length n and those blocks.
+def suspects(lines: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Lines that share a half with a different line, and their blocks outside which they equal a different line.
 
+    The lines have id, first place, line and length n, the blocks id, place, n and block.
     Every line is looked at as the shorter or equal partner (m = n) and as the longer (m = n - 1).
     """
     line, n = F.col("line"), F.col("n")
@@ -88,12 +93,13 @@ def suspects(lines: DataFrame, min_chars: int) -> DataFrame:
     some = sharing(long_enough.withColumn("key", F.explode(keys)))
     some = materialise(some.groupBy("id").agg(F.min("at").alias("at"), F.first("line").alias("line"), F.first("n").alias("n")), "line-suspects")
     cuts = F.when(n > min_chars, F.concat(blocks(line, n, n), blocks(line, n, n - 1))).otherwise(blocks(line, n, n))
-    cut = some.withColumn("block", F.explode(cuts)).withColumn("key", F.col("block.key"))
-    return materialise(sharing(cut).drop("key"), "line-suspects")
+    # A line has many blocks, which must not each carry the line.
+    cut = some.select("id", "at", "n", F.explode(cuts).alias("block")).withColumn("key", F.col("block.key"))
+    return some, materialise(sharing(cut).drop("key"), "line-blocks")
 
 
 def near_pairs(found: DataFrame) -> DataFrame:
-    """id of a line and id of an earlier line that share a variant."""
+    """id of a line, id of an earlier line that shares a variant, and the block outside which they should be equal."""
     middle, m, n = F.col("block.middle"), F.col("block.m"), F.col("n")
     shorter = F.transform(F.sequence(F.lit(0), F.length(middle) - 1), lambda i: F.struct(
         i.alias("i"), F.concat(F.substring(middle, F.lit(1), i), F.substring(middle, i + 2, F.length(middle))).alias("rest")))
@@ -109,22 +115,27 @@ def near_pairs(found: DataFrame) -> DataFrame:
     deleted = F.array_distinct(F.transform(shorter, lambda v: entry("less", key("less", v["rest"]))))
     variants = F.when(m == n, F.concat(F.coalesce(substituted, F.array().cast(
         "array<struct<role: string, variant: bigint>>")), whole)).otherwise(deleted)
-    emitted = found.where(F.length(middle) > 0).select("id", "at", F.explode(variants).alias("v")).select(
-        F.struct("at", "id").alias("me"), "v.role", "v.variant")
+    emitted = found.where(F.length(middle) > 0).select(
+        "id", "at", "block.before", "block.after", F.explode(variants).alias("v")).select(
+        F.struct("at", "id").alias("me"), "before", "after", "v.role", "v.variant")
     group = Window.partitionBy("variant")
     earliest = {r: F.min(F.when(F.col("role") == r, F.col("me"))).over(group) for r in ("same", "whole", "less")}
     other = F.when(F.col("role") == "same", earliest["same"]).when(F.col("role") == "whole", earliest["less"]).otherwise(earliest["whole"])
     met = emitted.withColumn("other", other).where(F.col("other.at") < F.col("me.at"))
-    return met.select(F.col("me.id").alias("id"), F.col("other.id").alias("other")).distinct()
+    return met.select(F.col("me.id").alias("id"), F.col("other.id").alias("other"), "before", "after").distinct()
 
 
 def near_copies(lines: DataFrame, min_chars: int) -> DataFrame:
     """Lines of which an earlier line is one edit away: id, ``other`` and the verified distance."""
-    found = suspects(lines, min_chars)
-    text = found.groupBy("id").agg(F.first("line").alias("line"))
+    some, found = suspects(lines, min_chars)
+    text = some.select("id", "line")
     pairs = materialise(near_pairs(found), "line-pairs")
     both = pairs.join(text, "id").join(text.select(F.col("id").alias("other"), F.col("line").alias("earlier")), "other")
-    verified = both.withColumn("edits", F.levenshtein("line", "earlier", 1)).where("edits = 1")
+    before, after = F.col("before"), F.col("after")
+    same = [F.substring(x, F.lit(1), before) for x in ("line", "earlier")], [F.substring(x, F.length(x) - after + 1, after) for x in ("line", "earlier")]
+    # Outside the block the lines are equal, so the distance of the blocks is that of the lines.
+    edits = F.levenshtein(middle_of(F.col("line"), before, after), middle_of(F.col("earlier"), before, after), 1)
+    verified = both.where((same[0][0] == same[0][1]) & (same[1][0] == same[1][1])).withColumn("edits", edits).where("edits = 1")
     return verified.groupBy("id").agg(F.min("other").alias("other"), F.min("edits").alias("edits"))
 
 

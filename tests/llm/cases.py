@@ -18,7 +18,7 @@ def prose(seed: int, n: int) -> str:
 
 
 def edge_rows():
-    long = "\n".join(prose(i, 200) for i in range(100))
+    long = "\n".join(prose(1000 + i, 200) for i in range(100))
     twin = "The same line of text stands here twice over.\n" + prose(7, 120)
     return [
         (1, None, "en", "src0", None),
@@ -31,7 +31,7 @@ def edge_rows():
         (None, None, None, None, None),
         (6, long, "fr", "src0", 3),
         (7, "1234 5678 !!", "fr", "src2", 3),
-        (8, "É é ÀÈ \U0001f600 " * 30, "fr", "src2", 3),
+        (8, "É é ÀÈ \U0001f600 " * 30, "fr", "src2", 3),
         (9, "word", "en", "src2", 3),
     ]
 

@@ -1,0 +1,75 @@
+import random
+
+import pytest
+from cases import documents, edge_documents, empty_documents, prose
+
+from pairrank.llm import licenses
+
+INDEX = licenses.Index()
+
+
+def best_alignment(template, words):
+    """Matched words of the best local alignment, over the full matrix."""
+    before, best = [(0, 0)] * (len(words) + 1), (0, 0)
+    for t in template:
+        row = [(0, 0)]
+        for j, w in enumerate(words, 1):
+            d = before[j - 1]
+            cell = max((d[0] + 2, d[1] + 1) if t == w else (d[0] - 1, d[1]), (before[j][0] - 1, before[j][1]), (row[j - 1][0] - 1, row[j - 1][1]), (0, 0))
+            row.append(cell)
+            best = max(best, cell)
+        before = row
+    return best[1]
+
+
+def test_every_notice_is_found():
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            doc = prose(1, 60) + "\n" + text.upper() + "\n" + prose(2, 60)
+            (match,) = INDEX.scan(doc)
+            assert match[0] == name and match[1] == 1.0
+            assert doc[match[3] : match[4]] == text.upper().rstrip("./")
+
+
+def test_edited_notices_against_the_full_matrix():
+    draw = random.Random(4)
+    for _ in range(40):
+        name = draw.choice([n for n, texts in licenses.TEMPLATES.items() if any(len(t.split()) > 25 for t in texts)])
+        template = max(licenses.TEMPLATES[name], key=len)
+        words = template.split()
+        for _ in range(draw.randint(0, len(words) // 15)):
+            at = draw.randrange(len(words))
+            words[at : at + draw.randint(0, 2)] = draw.choice([[], ["changed"], ["two", "more"]])
+        doc = f"é {prose(draw.random(), 30)} {' '.join(words)} {prose(draw.random(), 30)}"
+        want = best_alignment(licenses.split(template)[0].tolist(), licenses.split(doc)[0].tolist())
+        size = len(licenses.split(template)[0])
+        found = [m for m in INDEX.scan(doc) if m[0] == name]
+        if want >= licenses.COVERAGE * size:
+            assert [(m[2], m[1]) for m in found][:1] == [(want, want / size)]
+
+
+def test_several_and_none():
+    text = f"Released under the MIT License. {prose(5, 9)} Licensed under the Apache License, Version 2.0. Released under the MIT license"
+    assert [m[0] for m in INDEX.scan(text)] == ["MIT", "Apache-2.0", "MIT"]
+    assert [m[0] for m in INDEX.scan("This work is licensed under the GNU General Public License, version 2.")] == ["GPL-2.0"]
+    for clean in ("We went under the bridge and the license was there.", prose(6, 20_000), "", None, "!!", "the the the"):
+        assert INDEX.scan(clean) == []
+
+
+def test_winnowing_keeps_one_of_every_span():
+    words = licenses.split(prose(8, 300))[0]
+    _, at = licenses.fingerprints(words)
+    kept = set(at.tolist())
+    assert all(kept & set(range(i, i + licenses.SPAN)) for i in range(len(words) - licenses.GRAM - licenses.SPAN + 2))
+
+
+def test_table(spark):
+    docs = edge_documents(spark)
+    got = licenses.scan_licenses(docs)
+    assert set(got.columns) == set(docs.columns) and got.count() == docs.count()
+    assert got.where("size(matches) > 0").count() == 0
+    assert licenses.scan_licenses(empty_documents(spark)).count() == 0
+    own = licenses.scan_licenses(documents(spark, ["x do what you like y"]), templates={"mine": ["Do what you like."]}).first().matches
+    assert [(m.license, m.start, m.end) for m in own] == [("mine", 2, 18)]
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(docs, coverage=0)
