@@ -48,7 +48,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 # change a result.
 DECIMALS = 6
 THRESHOLD = 0.3
-LABELS = range(10)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +59,12 @@ def r6(column, places: int = DECIMALS):
     return F.round(column, places) + F.lit(0.0)
 
 
+def cells(df, *keys, outer=False):
+    """One row per number of a vector; ``outer`` keeps a row without a vector."""
+    numbers = (F.posexplode_outer if outer else F.posexplode)("embedding").alias("i", "v")
+    return df.select(*keys, numbers).select(*keys, "i", r6("v").alias("v"))
+
+
 # --- inputs -------------------------------------------------------------------
 
 
@@ -98,7 +103,9 @@ def labelled(spark, sf_dir):
 def label_matrix(spark, sf_dir, decimals=DECIMALS):
     candidates, _ = vectors(spark, sf_dir)
     pairs = similarity.pair_similarity(candidates, label_jobs(spark, sf_dir), decimals=decimals)
-    return similarity.to_matrix(pairs, [f"label_{i}" for i in LABELS])
+    # One row per label, so the list of columns is as long as the wide table may be anyway.
+    labels = table(spark, sf_dir, "embeddings").select("label").distinct().orderBy("label").collect()
+    return similarity.to_matrix(pairs, [f"label_{r.label}" for r in labels])
 
 
 # --- text operators -------------------------------------------------------------
@@ -175,7 +182,8 @@ def extract_rules(spark, sf_dir):
         "name": F.regexp_extract(text, r"(\p{Lu}\p{Ll}+)", 1),
         "years_of_experience": F.regexp_extract(text, r"([0-9]+)", 1),
         "degree": F.regexp_extract(text, r"@([\w.]+)", 1),
-        "experience_summary": F.md5(F.regexp_extract(text, r"^([^.]*\.[^.]*\.)", 1)),
+        # Every sentence with a digit; each is read from its beginning only.
+        "experience_summary": F.md5(F.array_join(F.regexp_extract_all(text, F.lit(r"(?<![^.])[^.0-9]*+[0-9][^.]*+\."), F.lit(0)), "")),
     }
     documents = with_text(table(spark, sf_dir, "documents")).select("doc_id", "text")
     found = extract_fields(documents, "text", fields)
@@ -324,7 +332,7 @@ def embed_texts_of_both(spark, sf_dir):
         right.select(F.lit("job").alias("kind"), F.col("p_partkey").alias("id"), "embedding"),
     ]
     both = sides[0].unionByName(sides[1])
-    return both.select("kind", "id", *[r6(F.col("embedding")[i]).alias(f"v{i}") for i in range(4)])
+    return cells(both, "kind", "id")
 
 
 def greedy_assign(spark, sf_dir):
@@ -355,7 +363,7 @@ def given_entries(spark, sf_dir):
 def store_lookup(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id")
     found = store.load_vectors(documents, given_entries(spark, sf_dir), "candidate", "doc_id", "given")
-    return found.select("doc_id", "needs_embedding", r6(F.col("embedding")[0]).alias("v0"))
+    return cells(found, "doc_id", "needs_embedding", outer=True)
 
 
 def store_pending(spark, sf_dir):
@@ -376,7 +384,7 @@ def store_upsert(spark, sf_dir):
         "updated_at", F.lit("2024-01-02 00:00:00").cast("timestamp")
     )
     merged = store.upsert(given_entries(spark, sf_dir), newer)
-    return merged.select("entity_id", *[r6(F.col("embedding")[i]).alias(f"v{i}") for i in range(4)])
+    return cells(merged, "entity_id")
 
 
 def store_round_trip(spark, sf_dir):
@@ -385,7 +393,7 @@ def store_round_trip(spark, sf_dir):
     path = f"{checkpoint_folder(spark)}/pairrank/store-{materialise_id()}"
     store.embed_with_store(documents, "candidate", "doc_id", "text", HashingEmbedder(), path)
     again = store.embed_with_store(documents, "candidate", "doc_id", "text", HashingEmbedder(), path)
-    return again.select("doc_id", *[r6(F.col("embedding")[i]).alias(f"v{i}") for i in range(4)])
+    return cells(again, "doc_id")
 
 
 def materialise_id() -> str:
@@ -577,7 +585,7 @@ def oracle_sql() -> dict[str, str]:
         "extract_rules": r"""SELECT doc_id, regexp_extract(text, '(\p{Lu}\p{Ll}+)', 1) AS "Name ",
             regexp_extract(text, '([0-9]+)', 1) AS "Years of experience ",
             regexp_extract(text, '@([\w.]+)', 1) AS "Degree",
-            md5(regexp_extract(text, '^([^.]*\.[^.]*\.)', 1)) AS "Resume Experience "
+            md5(array_to_string(regexp_extract_all(text, '[^.0-9]*[0-9][^.]*\.'), '')) AS "Resume Experience "
             FROM documents WHERE text <> ''""",
         "display_candidates": 'SELECT source AS "Name ", lang AS "Degree" FROM documents',
         "flag_membership": 'SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS "Contingent" FROM documents',
@@ -606,10 +614,10 @@ def oracle_sql() -> dict[str, str]:
         "filter_threshold": f"WITH {PAIRS} SELECT candidate_id, job_id, similarity FROM p WHERE similarity >= 0.3",
         "positive_scores": f"WITH {PAIRS} SELECT job_id, count(*) AS n FROM p WHERE similarity > 0 GROUP BY job_id",
         "similarity_matrix": f"WITH {LABEL_PAIRS} SELECT candidate_id, "
-            + ", ".join(f"max(CASE WHEN job_id = 'label_{i}' THEN similarity END) AS label_{i}" for i in LABELS)
+            + ", ".join(f"max(CASE WHEN job_id = 'label_{i}' THEN similarity END) AS label_{i}" for i in range(10))
             + " FROM p GROUP BY candidate_id",
         "matrix_listing": f"WITH {LABEL_PAIRS} SELECT candidate_id, "
-            + ", ".join(f"max(CASE WHEN job_id = 'label_{i}' THEN printf('%.2f', exact) END) AS label_{i}" for i in LABELS)
+            + ", ".join(f"max(CASE WHEN job_id = 'label_{i}' THEN printf('%.2f', exact) END) AS label_{i}" for i in range(10))
             + " FROM p GROUP BY candidate_id",
         "matrix_to_long": f"WITH {LABEL_PAIRS} SELECT candidate_id, job_id, similarity FROM p",
         "heatmap_cells": f"""WITH {PAIRS}, o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM embeddings)
@@ -634,19 +642,19 @@ def oracle_sql() -> dict[str, str]:
         "embed_texts_of_both": f"""WITH people AS (SELECT doc_id, {people} AS t FROM documents LEFT JOIN labels USING (doc_id)),
             listings AS (SELECT p_partkey, {jobs} AS t FROM part),
             {hash_sql('c', 'people', 'doc_id', 't')}, {hash_sql('j', 'listings', 'p_partkey', 't')}
-            SELECT kind, id, {', '.join(f'round(v[{i + 1}], 6) + 0.0 AS v{i}' for i in range(4))}
-            FROM (SELECT 'candidate' AS kind, id, v FROM c UNION ALL SELECT 'job', id, v FROM j)""",
+            SELECT kind, id, i::INTEGER AS i, round(x, 6) + 0.0 AS v
+            FROM (SELECT 'candidate' AS kind, id, i, x FROM c_cells UNION ALL SELECT 'job', id, i, x FROM j_cells)""",
         "greedy_assign": assign_sql("documents", "benchmark"),
         "assign_contested": assign_sql("benchmark", "documents"),
-        "store_lookup": """SELECT doc_id, vec_id IS NULL AS needs_embedding, round(embedding[1]::DOUBLE, 6) + 0.0 AS v0
-            FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
+        "store_lookup": """SELECT doc_id, vec_id IS NULL AS needs_embedding, i::INTEGER AS i, round(x, 6) + 0.0 AS v
+            FROM documents LEFT JOIN (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) ON vec_id = doc_id""",
         "store_pending": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
         "store_counts": """SELECT count(vec_id) AS loaded, count(*) - count(vec_id) AS pending
             FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
         "store_upsert": f"""WITH {hash_sql('c', 'benchmark', 'item_id')},
-            m AS (SELECT id, v FROM c UNION ALL SELECT vec_id, embedding::DOUBLE[] FROM embeddings
+            m AS (SELECT id, i, x FROM c_cells UNION ALL SELECT vec_id, unnest(range(len(embedding))), unnest(embedding)::DOUBLE FROM embeddings
                   WHERE vec_id NOT IN (SELECT item_id FROM benchmark))
-            SELECT id::VARCHAR AS entity_id, {', '.join(f'round(v[{i + 1}], 6) + 0.0 AS v{i}' for i in range(4))} FROM m""",
+            SELECT id::VARCHAR AS entity_id, i::INTEGER AS i, round(x, 6) + 0.0 AS v FROM m""",
         "store_round_trip": f"""WITH {hash_sql('c', 'documents', 'doc_id')}
-            SELECT id AS doc_id, {', '.join(f'round(v[{i + 1}], 6) + 0.0 AS v{i}' for i in range(4))} FROM c""",
+            SELECT id AS doc_id, i::INTEGER AS i, round(x, 6) + 0.0 AS v FROM c_cells""",
     }

@@ -39,7 +39,15 @@ def attach_status(pairs: DataFrame, candidates: DataFrame, status: str = S.CONTI
                   candidate_id: str = "candidate_id") -> DataFrame:
     """Carry a candidate's status along with its scores; null for an unknown candidate.
 
+    Candidates are matched by id, and by ``candidate_position`` too where both tables have it,
+    so that people of one name keep their own status. Pairs never multiply.
+
     A plain join: pairs are dear to compute, so their keys are not counted beforehand, and
     a candidate with very many pairs is left to Spark's adaptive skew join.
     """
-    return pairs.join(candidates.select(quoted(candidate_id), quoted(status)), candidate_id, "left")
+    keys = [candidate_id]
+    if "candidate_position" in pairs.columns and "candidate_position" in candidates.columns:
+        keys.append("candidate_position")
+    # A candidate listed several times carries the status if any of its rows does.
+    known = candidates.groupBy(*map(quoted, keys)).agg(F.max(quoted(status)).alias(status))
+    return pairs.join(known, keys, "left")

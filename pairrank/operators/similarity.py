@@ -36,6 +36,8 @@ CELL_BYTES = 64 << 20
 TILE_CANDIDATES = 2048
 TILE_JOBS = 512
 ROWS_PER_BATCH = 1 << 16
+# Jobs that are scored together; their tile stays in the processor's cache.
+JOBS_AT_ONCE = 16
 # The single-precision product pays where at most one pair in this many survives it.
 SINGLE_PRECISION_BELOW = 16
 # From this many pairs on, a streamed side that sits in few tasks is spread first.
@@ -107,11 +109,22 @@ def _reaches(score: str, threshold: float) -> Column:
 
 def to_matrix(pairs: DataFrame, jobs: list, row: str = "candidate_id", column: str = "job_id",
               score: str = "similarity") -> DataFrame:
-    """Wide matrix, one column per listed job. The job list bounds the width."""
+    """Wide matrix, one column per listed job. The job list bounds the width.
+
+    Candidates are told apart by id and position, so people of one name keep their own rows.
+    A job that is not listed, a title listed twice, and a title that two jobs bear all raise.
+    """
+    if len(set(jobs)) < len(jobs):
+        raise ValueError("a job is listed twice")
     limit = int(pairs.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
     if len(jobs) > limit:
         raise ValueError(f"{len(jobs)} jobs make too wide a matrix (limit {limit}); keep the long form")
-    return pairs.groupBy(row).pivot(column, jobs).agg(F.first(score, ignorenulls=True))
+    unlisted = F.raise_error(F.concat(F.lit("a job is not listed: "), F.coalesce(F.col(column).cast("string"), F.lit("null"))))
+    keys = [row] + [CANDIDATE[1]] * (row == CANDIDATE[0] and CANDIDATE[1] in pairs.columns)
+    known = pairs.withColumn(column, F.when(F.col(column).isin(jobs), F.col(column)).otherwise(unlisted))
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("several scores of a candidate for one job title"))).otherwise(
+        F.first(score, ignorenulls=True))
+    return known.groupBy(*keys).pivot(column, jobs).agg(once).drop(*keys[1:])
 
 
 def to_long(matrix: DataFrame, row: str = "candidate_id", column: str = "job_id",
@@ -192,7 +205,7 @@ def _past_broadcast_candidates(candidates, jobs, collector, decimals, schema):
 
 def _by_cells(candidates, jobs, n_candidates, n_jobs, collector, decimals, schema, cell_bytes):
     spark = candidates.sparkSession
-    width = jobs.select(F.size("embedding")).head()[0]
+    width = jobs.agg(F.max(F.size("embedding"))).head()[0]
     rows = max(1, cell_bytes // (8 * max(1, width)))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     across = math.ceil(n_jobs / rows)
@@ -297,8 +310,19 @@ class _Tiles:
         return TILE_CANDIDATES
 
     def scores(self, candidates: _Vectors, here: slice, there: slice) -> np.ndarray:
-        """Scores of one tile, a row per job."""
-        return self._rounded(self.jobs.unit[here] @ candidates.unit[there].T)
+        """Scores of one tile, a row per job.
+
+        Elements are multiplied and added one after another, as in ``reaching``. A matrix
+        product would be faster, but the last bits of a score would depend on the shape of the
+        tile, and equal vectors would not tie.
+        """
+        jobs, others = self.jobs.unit[here], np.ascontiguousarray(candidates.unit[there].T)
+        tile = np.zeros((len(jobs), others.shape[1]))
+        for start in range(0, len(jobs), JOBS_AT_ONCE):
+            part = slice(start, start + JOBS_AT_ONCE)
+            for k in range(others.shape[0]):
+                tile[part] += jobs[part, k, None] * others[k]
+        return self._rounded(tile)
 
     def reaching(self, candidates: _Vectors, here: slice, there: slice, floor: np.ndarray):
         """Places and scores of the pairs that reach each job's ``floor``, or ``None``.
@@ -313,7 +337,10 @@ class _Tiles:
         if np.count_nonzero(maybe) * SINGLE_PRECISION_BELOW > maybe.size:
             return None
         jobs, rows = _places(maybe)
-        exact = np.einsum("ij,ij->i", self.jobs.unit[here][jobs], candidates.unit[there][rows])
+        left, right = (np.ascontiguousarray(x.T) for x in (self.jobs.unit[here][jobs], candidates.unit[there][rows]))
+        exact = np.zeros(len(jobs))
+        for k in range(len(left)):
+            exact += left[k] * right[k]
         exact = self._rounded(exact)
         kept = exact >= floor[jobs]
         return jobs[kept], rows[kept], exact[kept]

@@ -31,15 +31,9 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder; only a local session may fall back to its own disk."""
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="pairrank-"))
-    return sc.getCheckpointDir()
+    """The shared checkpoint folder, or where none is set one below the warehouse, which is shared as well."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
@@ -53,10 +47,9 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
 def measure(*tables: DataFrame) -> list[tuple[int, int]]:
     """For each table, its rows and how many tasks hold any of them, in one job."""
     placed = [t.select(F.lit(i).alias("table"), F.spark_partition_id().alias("part")) for i, t in enumerate(tables)]
-    # One row per partition comes back, which the driver keeps track of anyway.
-    counted = reduce(DataFrame.unionAll, placed).groupBy("table", "part").count().collect()
-    sizes = [[r["count"] for r in counted if r.table == i] for i in range(len(tables))]
-    return [(sum(s), len(s)) for s in sizes]
+    per_task = reduce(DataFrame.unionAll, placed).groupBy("table", "part").agg(F.count("*").alias("n"))
+    sizes = {r.table: (r.n, r.tasks) for r in per_task.groupBy("table").agg(F.sum("n").alias("n"), F.count("*").alias("tasks")).collect()}
+    return [sizes.get(i, (0, 0)) for i in range(len(tables))]
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
