@@ -2,7 +2,6 @@
 
 from pathlib import Path
 
-from pairrank.models.retry import NotRetryable
 
 
 class CountingEmbedder:
@@ -39,5 +38,5 @@ class Reader:
 
     def answer(self, prompts):
         if any("BROKEN" in p and "degree" in p for p in prompts):
-            raise NotRetryable("cannot read this")
+            raise ValueError("cannot read this")
         return [f" {p.split()[2]}:{p[-5:]} " for p in prompts]

@@ -43,12 +43,16 @@ def test_documents_to_matches(spark, tables, tmp_path):
     cvs = tmp_path / "cvs"
     cvs.mkdir()
     (cvs / "a.txt").write_text("fish soup")
+    (cvs / "c.pdf").write_text("no reader")
     fields = {"name": F.lit("Ann"), "experience_summary": F.col("text")}
     result = run_match(
         spark, HashingEmbedder(128), tables[0], document_folder=str(cvs), fields=fields,
-        document_options={"suffixes": [".txt"]}, folder=str(tmp_path / "out"),
+        document_options={"suffixes": [".txt", ".pdf"]}, folder=str(tmp_path / "out"),
     )
     assert {r.Candidate for r in result["top_matches"].collect()} == {"Ann"}
+    rejects = [("c.pdf", None, "unsupported file type .pdf")]
+    assert sorted(map(tuple, result["rejects"].collect())) == rejects and result["n_rejects"] == 1
+    assert read_csv(spark, result["output_paths"]["rejects"]).count() == 1
     assert read_csv(spark, f"{tmp_path}/out/extracted_candidates.csv").columns == ["Name ", "Resume Experience ", "source_file"]
 
 

@@ -137,7 +137,7 @@ def test_folder_to_candidate_table(spark, folder, parity):
     assert set(rows) == {"ann.docx", "Bo.DOCX", "scan.pdf"}
     assert rows["ann.docx"]["Name "] == "the:\n\nEnd"
     broken = rows["Bo.DOCX"]
-    assert broken.errors == {"degree": "NotRetryable: cannot read this"}
+    assert broken.errors == {"degree": "ValueError: cannot read this"}
     assert broken["Degree"] == ("Error extracting degree" if parity else None)
     assert broken["Years of experience "] == "the:ROKEN"
 
