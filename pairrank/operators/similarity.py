@@ -33,6 +33,8 @@ BAR = ("bar", "bar_job_position")
 
 SMALL_SIDE_BYTES = 32 << 20
 CELL_BYTES = 64 << 20
+# Partitions of the grid, in multiples of the session's shuffle partitions.
+CELL_PARTITIONS = 16
 TILE_CANDIDATES = 2048
 TILE_JOBS = 512
 ROWS_PER_BATCH = 1 << 16
@@ -203,14 +205,26 @@ def _past_broadcast_candidates(candidates, jobs, collector, decimals, schema):
     return jobs.mapInArrow(run, schema)
 
 
+def _grid(n_candidates: int, n_jobs: int, rows: int, cells: int) -> tuple[int, int]:
+    """Cells down and across: at least ``cells``, at most ``rows`` vectors a side, and few copies.
+
+    A candidate is copied ``across`` times and a job ``down`` times. For a given number of
+    cells that is least where both sides make the same number of copies.
+    """
+    least_down, least_across = math.ceil(n_candidates / rows), math.ceil(n_jobs / rows)
+    cells = max(cells, least_down * least_across)
+    across = max(least_across, min(n_jobs, round(math.sqrt(cells * n_jobs / n_candidates))), 1)
+    return max(least_down, math.ceil(cells / across)), across
+
+
 def _by_cells(candidates, jobs, n_candidates, n_jobs, collector, decimals, schema, cell_bytes):
     spark = candidates.sparkSession
     width = jobs.agg(F.max(F.size("embedding"))).head()[0]
     rows = max(1, cell_bytes // (8 * max(1, width)))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    across = math.ceil(n_jobs / rows)
-    down = max(math.ceil(n_candidates / rows), math.ceil(4 * tasks / across))
-    partitions = max(tasks, across * down // 4)
+    down, across = _grid(n_candidates, n_jobs, rows, 4 * tasks)
+    # A task walks its cells one after another, so there need not be a partition for each.
+    partitions = max(tasks, min(across * down // 4, CELL_PARTITIONS * tasks))
 
     def copies(df: DataFrame, own: str, own_count: int, other: str, other_count: int) -> DataFrame:
         # The position takes part in the hash so that a repeated id does not fill one cell.

@@ -103,3 +103,14 @@ def test_white_space_and_digits_in_linear_time(spark):
     every = "".join(map(chr, range(1, 0xD800)))
     kept = spark.createDataFrame([(c,) for c in every], "c string").select(F.count_if((trim_ws(F.col("c")) == "") != F.col("c").rlike(f"^{WS}$"))).first()[0]
     assert kept == 0
+
+
+@pytest.mark.parametrize("people, wanted", [(150_000, 150_000), (10**6, 10**6), (10**9, 10**4), (200_000, 20_000), (10**9, 10**9), (7000, 3000)])
+def test_the_grid_makes_few_copies(people, wanted):
+    rows, cells = 131_072, 800
+    down, across = sim._grid(people, wanted, rows, cells)
+    assert down * across >= min(cells, people * wanted) and people / down <= rows and wanted / across <= rows
+    least = max(cells, -(-people // rows) * -(-wanted // rows))
+    best = min(people * a + wanted * max(-(-people // rows), -(-least // a)) for a in {-(-wanted // rows), *range(1, 2000)} if wanted / a <= rows) \
+        if wanted / 2000 <= rows else 2 * (least * people * wanted) ** 0.5
+    assert people * across + wanted * down <= 2 * best
