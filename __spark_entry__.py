@@ -13,6 +13,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -260,7 +261,8 @@ def filter_threshold(spark, sf_dir):
 
 
 def positive_scores(spark, sf_dir):
-    kept = similarity.positive_pairs(pair_similarity(spark, sf_dir))
+    # The smallest positive number as the threshold: what is not above 0 never leaves its task.
+    kept = similarity.pairs_above(*vectors(spark, sf_dir), float(np.nextafter(0, 1)), decimals=DECIMALS)
     return kept.groupBy("job_id").agg(F.count("*").alias("n"))
 
 
@@ -339,8 +341,7 @@ def greedy_assign(spark, sf_dir):
     """Every benchmark passage is a job, every document a candidate."""
     documents = similarity.as_candidates(hashed(spark, sf_dir, "documents", "doc_id"), "doc_id", "doc_id")
     passages = similarity.as_jobs(hashed(spark, sf_dir, "benchmark", "item_id"), "item_id", "item_id")
-    pairs = similarity.pair_similarity(documents, passages, decimals=DECIMALS)
-    return assignment.as_assignment_table(assignment.greedy_assign(pairs, 2, jobs=passages.count()))
+    return assignment.as_assignment_table(assignment.assign_best(documents, passages, 2, decimals=DECIMALS))
 
 
 def assign_contested(spark, sf_dir):
@@ -350,6 +351,25 @@ def assign_contested(spark, sf_dir):
     return assignment.as_assignment_table(assignment.assign_best(passages, documents, 2, decimals=DECIMALS))
 
 
+def exact_copies(spark, sf_dir):
+    """Every vector three times, under positions that mix the copies."""
+    both = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    count = both.count()
+    copies = both.withColumn("copy", F.explode(F.array(*map(F.lit, range(3))))).withColumn("at", F.col("copy") * count + F.col("vec_id"))
+    return similarity.as_candidates(copies, "at", "at"), similarity.as_jobs(both, "vec_id", "vec_id")
+
+
+def top_matches_exact(spark, sf_dir, **options):
+    """Ranks over unrounded scores, where every candidate ties with its two copies."""
+    ranked = ranking.top_matches(*exact_copies(spark, sf_dir), 3, **options)
+    return ranked.select("job_id", "candidate_id", "rank")
+
+
+def pair_similarity_cells(spark, sf_dir):
+    pairs = similarity.pair_similarity(*vectors(spark, sf_dir), decimals=DECIMALS, small_side_bytes=0)
+    return pairs.select("candidate_id", "job_id", "similarity")
+
+
 # --- vector store -----------------------------------------------------------------
 
 
@@ -446,6 +466,9 @@ def queries() -> dict[str, Query]:
         "category_spans": category_spans,
         "category_heatmap": category_heatmap,
         "pair_similarity": pair_similarity,
+        "pair_similarity_cells": pair_similarity_cells,
+        "top_matches_exact": top_matches_exact,
+        "top_matches_cells": lambda spark, sf_dir: top_matches_exact(spark, sf_dir, small_side_bytes=0),
         "cosine_to_mean": cosine_to_mean,
         "mask_threshold": mask_threshold,
         "filter_threshold": filter_threshold,
@@ -505,6 +528,12 @@ LABEL_PAIRS = MEANS + """, p AS (
   FROM embeddings e CROSS JOIN means m)"""
 
 
+# A vector's best match is itself, with similarity 1; its copies follow by position. The
+# data has no two vectors of one direction, or the ranks would show it.
+EXACT_SQL = """SELECT vec_id AS job_id, c * (SELECT count(*) FROM embeddings) + vec_id AS candidate_id, (c + 1)::INTEGER AS rank
+    FROM embeddings, range(3) t(c)"""
+
+
 def hash_sql(name: str, source: str, id: str, text: str = "text") -> str:
     """CTEs ending in ``<name>(id, v)``: the hashing embedder over a table."""
     return f"""{name}_words AS (
@@ -608,6 +637,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT candidate_id, y, job_id, x, similarity FROM p
             JOIN xs ON xs.vec_id = job_id JOIN ys ON ys.vec_id = candidate_id""",
         "pair_similarity": f"WITH {PAIRS} SELECT candidate_id, job_id, similarity FROM p",
+        "pair_similarity_cells": f"WITH {PAIRS} SELECT candidate_id, job_id, similarity FROM p",
+        "top_matches_exact": EXACT_SQL,
+        "top_matches_cells": EXACT_SQL,
         "cosine_to_mean": f"""WITH {MEANS} SELECT vec_id, label,
             round(list_cosine_similarity(embedding::DOUBLE[], mean), 6) + 0.0 AS similarity FROM embeddings JOIN means USING (label)""",
         "mask_threshold": f"WITH {PAIRS} SELECT candidate_id, job_id, CASE WHEN similarity >= 0.3 THEN similarity END AS similarity FROM p",
