@@ -154,3 +154,18 @@ def test_saving_results(spark, tmp_path):
     assert read_csv(spark, save_top_matches(jobs, str(tmp_path / "out"))).count() == 1
     first, copy = save_extracted(people, str(tmp_path / "out"), str(tmp_path / "copy.csv"))
     assert read_csv(spark, first).collect() == read_csv(spark, copy).collect()
+
+
+def test_positions_follow_the_files(spark, tmp_path):
+    sizes = {"a.csv": 3, "b.csv": 4000, "c.csv": 1, "d.csv": 900}
+    (tmp_path / "t.csv").mkdir()
+    want = []
+    for file, n in sizes.items():
+        rows = [f"{file}{i}" for i in range(n)]
+        (tmp_path / "t.csv" / file).write_text("\n".join(["name", *rows]) + "\n")
+        want += rows
+    for multi_line in (True, False):
+        rows = with_position(read_csv(spark, str(tmp_path / "t.csv"), multi_line=multi_line)).orderBy("position").collect()
+        assert [r["name"] for r in rows] == want and [r.position for r in rows] == list(range(len(want)))
+    unplaced = with_position(spark.createDataFrame([("x",), ("y",)], "name string"))
+    assert unplaced.columns == ["name", "position"] and unplaced.count() == 2
