@@ -27,9 +27,10 @@ from pairrank.operators.embedding import embed_both, embed_table
 from pairrank.operators.extraction import extract_fields
 from pairrank.plans.matching import match_tables
 from pairrank.runtime import checkpoint_folder, materialise, ship, spread
+from pairrank.sinks import write_csv
 from pairrank.sources.documents import with_text
 from pairrank.sources.files import latest_file, list_files
-from pairrank.sources.tables import rows_as_text
+from pairrank.sources.tables import read_csv, rows_as_text, with_position
 
 # The training-data operators and their pipeline are one removable part of the library.
 try:
@@ -370,6 +371,17 @@ def pair_similarity_cells(spark, sf_dir):
     return pairs.select("candidate_id", "job_id", "similarity")
 
 
+# --- files ---
+
+
+def csv_round_trip(spark, sf_dir):
+    """All documents through several CSV files and back, numbered in file order."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    path = f"{checkpoint_folder(spark)}/pairrank/documents-{materialise_id()}"
+    write_csv(documents.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id"), path)
+    return with_position(read_csv(spark, path)).select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "position")
+
+
 # --- vector store -----------------------------------------------------------------
 
 
@@ -489,6 +501,7 @@ def queries() -> dict[str, Query]:
         "embed_texts_of_both": embed_texts_of_both,
         "greedy_assign": greedy_assign,
         "assign_contested": assign_contested,
+        "csv_round_trip": csv_round_trip,
         "store_lookup": store_lookup,
         "store_pending": store_pending,
         "store_counts": store_counts,
@@ -678,6 +691,8 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT 'candidate' AS kind, id, i, x FROM c_cells UNION ALL SELECT 'job', id, i, x FROM j_cells)""",
         "greedy_assign": assign_sql("documents", "benchmark"),
         "assign_contested": assign_sql("benchmark", "documents"),
+        "csv_round_trip": """SELECT doc_id::VARCHAR AS doc_id, md5(text) AS text_md5, lang, source,
+            row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents""",
         "store_lookup": """SELECT doc_id, vec_id IS NULL AS needs_embedding, i::INTEGER AS i, round(x, 6) + 0.0 AS v
             FROM documents LEFT JOIN (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) ON vec_id = doc_id""",
         "store_pending": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
