@@ -27,7 +27,7 @@ from pairrank.operators.embedding import embed_both, embed_table
 from pairrank.operators.extraction import extract_fields
 from pairrank.plans.matching import match_tables
 from pairrank.runtime import checkpoint_folder, materialise, ship, spread
-from pairrank.sinks import write_csv
+from pairrank.sinks import save_results, write_csv
 from pairrank.sources.documents import with_text
 from pairrank.sources.files import latest_file, list_files
 from pairrank.sources.tables import read_csv, rows_as_text, with_position
@@ -382,6 +382,20 @@ def csv_round_trip(spark, sf_dir):
     return with_position(read_csv(spark, path)).select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "position")
 
 
+def save_results_round_trip(spark, sf_dir):
+    """Every vector scored against the label means, saved, and the wide CSV read back."""
+    people = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    jobs = label_means(spark, sf_dir).withColumn("job", F.concat(F.lit("label_"), F.col("label")))
+    titles = [f"label_{r.label}" for r in people.select("label").distinct().orderBy("label").collect()]
+    candidates, _ = vectors(spark, sf_dir)
+    pairs = similarity.pair_similarity(candidates, label_jobs(spark, sf_dir), decimals=DECIMALS)
+    folder = f"{checkpoint_folder(spark)}/pairrank/results-{materialise_id()}"
+    saved = save_results(people, jobs.withColumnRenamed("mean", "embedding"), pairs, folder, titles)
+    listed = read_csv(spark, saved["candidates"]).select(F.col("vec_id").alias(S.NAME), "label")
+    matrix = read_csv(spark, saved["similarity_matrix"]).select(S.NAME, *(F.col(t).cast("double").alias(t) for t in titles))
+    return listed.join(matrix, S.NAME).withColumnRenamed(S.NAME, "name")
+
+
 # --- vector store -----------------------------------------------------------------
 
 
@@ -398,6 +412,11 @@ def store_lookup(spark, sf_dir):
     return cells(found, "doc_id", "needs_embedding", outer=True)
 
 
+def store_point_lookup(spark, sf_dir):
+    found = store.stored_vector(given_entries(spark, sf_dir), "candidate", "7")
+    return cells(found, "entity_id")
+
+
 def store_pending(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return store.pending(documents, given_entries(spark, sf_dir), "candidate", "doc_id", "given")
@@ -502,6 +521,8 @@ def queries() -> dict[str, Query]:
         "greedy_assign": greedy_assign,
         "assign_contested": assign_contested,
         "csv_round_trip": csv_round_trip,
+        "save_results_round_trip": save_results_round_trip,
+        "store_point_lookup": store_point_lookup,
         "store_lookup": store_lookup,
         "store_pending": store_pending,
         "store_counts": store_counts,
@@ -691,6 +712,11 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT 'candidate' AS kind, id, i, x FROM c_cells UNION ALL SELECT 'job', id, i, x FROM j_cells)""",
         "greedy_assign": assign_sql("documents", "benchmark"),
         "assign_contested": assign_sql("benchmark", "documents"),
+        "save_results_round_trip": f"WITH {LABEL_PAIRS} SELECT candidate_id::VARCHAR AS name, any_value(label)::VARCHAR AS label, "
+            + ", ".join(f"max(CASE WHEN job_id = 'label_{i}' THEN similarity END) AS label_{i}" for i in range(10))
+            + " FROM p JOIN embeddings ON vec_id = candidate_id GROUP BY candidate_id",
+        "store_point_lookup": """SELECT vec_id::VARCHAR AS entity_id, unnest(range(len(embedding)))::INTEGER AS i,
+            round(unnest(embedding)::DOUBLE, 6) + 0.0 AS v FROM embeddings WHERE vec_id = 7""",
         "csv_round_trip": """SELECT doc_id::VARCHAR AS doc_id, md5(text) AS text_md5, lang, source,
             row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents""",
         "store_lookup": """SELECT doc_id, vec_id IS NULL AS needs_embedding, i::INTEGER AS i, round(x, 6) + 0.0 AS v
