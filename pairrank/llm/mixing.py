@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 # Largest period. It bounds the schedule table, and so what is broadcast.
 MAX_PERIOD = 10_000
 # Rows that one task orders at a time; a stream is spread over as many buckets as it needs.
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 1024
 RESULTS = ["stream", "block", "slot", "place", "full"]
 
 
