@@ -28,7 +28,7 @@ def test_tables_to_files(spark, tables, tmp_path):
     written = read_csv(spark, result["output_paths"]["top_matches"])
     assert written.columns == ["Job", "Candidate", "Similarity", "Rank"] and written.count() == 4
     matrix = read_csv(spark, result["output_paths"]["similarity_matrix"])
-    assert matrix.columns == ["candidate_id", "Cook", "Gardener"] and matrix.count() == 3
+    assert matrix.columns == ["Name ", "Cook", "Gardener"] and matrix.count() == 3
 
 
 def test_second_run_reuses_the_store(spark, tables, tmp_path):
