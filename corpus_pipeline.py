@@ -19,10 +19,20 @@ LEAST_SCORE = 0.5
 NEAR_PERCENT = 80
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is among ``ids``, null included."""
-    gone = ids.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone["__gone"]), "left_anti")
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, which only rows that are equal in all columns share.
+
+    It sorts by doc_id, null last; then come hashes of the text and of the whole row, in
+    which a null differs from an empty cell.
+    """
+    cells = [F.col(f"`{c}`") for c in docs.columns]
+    whole = F.xxhash64(F.lit(1), *cells, *(c.isNull() for c in cells))
+    return docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), whole.alias("whole")))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The identified ``rows`` whose ``__row`` is not the doc_id of a row of ``gone``."""
+    return rows.join(gone.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,14 +49,27 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id."""
-    return without(docs, minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("NOT kept"))
+    """One row of each group of near copies, that of the smallest doc_id.
+
+    Of rows with that doc_id the one of the smallest text hash stays, and of equal rows one.
+    A row without an id stays only where no other of its group has one. Rows without words
+    are in no group and all stay.
+    """
+    rows = identified(docs)
+    found = materialise(minhash.near_duplicates(rows, percent=NEAR_PERCENT, doc_id="__row"), "near-duplicates")
+    staying = without(rows, found.where("NOT kept"))
+    # Only the rows that repeat are grouped, not all texts.
+    copies = found.where("kept AND n_shingles > 0").groupBy(F.col("doc_id").alias("__row")).agg(F.count("*").alias("n")).where("n > 1")
+    copies = materialise(copies.select("__row"), "equal-rows")
+    once = staying.join(copies, "__row", "left_semi").dropDuplicates(["__row"])
+    return staying.join(copies, "__row", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontamination.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where(F.size("spans") > 0))
+    rows = identified(docs)
+    found = decontamination.find_benchmark(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(rows, found.where(F.size("spans") > 0)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 import test_line_dedup
 import test_minhash
-from cases import edge_documents, empty_documents
+from cases import edge_documents, empty_documents, prose
 from test_decontamination import terms
 
 import corpus_pipeline as pipeline
@@ -84,3 +84,30 @@ def test_edges(spark):
     docs = edge_documents(spark)
     left = Counter(r.doc_id for r in pipeline.identify_language(spark, docs, SF).collect())
     assert not {1, 2, 3, 7} & set(left)
+
+
+def test_null_and_repeated_ids(spark):
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    copy, other, third = (prose(i, 60) for i in (31, 32, 33))
+    near = copy + " more"
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def left(stage, *rows):
+        docs = spark.createDataFrame([(i, t, "en", s, 1) for i, t, s in rows], schema)
+        return sorted(((r.doc_id, r.text, r.source) for r in stage(spark, docs, SF).collect()), key=str)
+
+    dedup = pipeline.dedup_documents
+    # A null id that is a near copy takes no other null id with it, nor a repeated id another text.
+    assert left(dedup, (1, copy, "a"), (None, near, "a"), (None, other, "a"), (1, third, "a")) == sorted(
+        [(1, copy, "a"), (None, other, "a"), (1, third, "a")], key=str)
+    assert left(dedup, (1, copy, "a"), (2, near, "a"), (2, other, "a")) == [(1, copy, "a"), (2, other, "a")]
+    # One row of each group: equal rows, rows that differ in another column, null ids only.
+    assert left(dedup, *[(3, copy, "a")] * 3, (4, other, "a")) == [(3, copy, "a"), (4, other, "a")]
+    assert len(left(dedup, (3, copy, "a"), (3, copy, "b"), (3, copy, None), (3, near, "a"))) == 1
+    assert len(left(dedup, (None, copy, "a"), (None, copy, "a"), (None, near, "a"), (None, near, "b"))) == 1
+    # Rows without words are no copies of one another.
+    assert len(left(dedup, (None, "", "a"), (None, "", "a"), (None, None, "a"), (5, "", "a"))) == 4
+
+    clean = pipeline.decontaminate
+    assert left(clean, (None, leak, "a"), (None, copy, "a"), (7, leak, "a"), (7, other, "a"), (8, third, "a"), (8, third, "a")) == sorted(
+        [(None, copy, "a"), (7, other, "a"), (8, third, "a"), (8, third, "a")], key=str)
