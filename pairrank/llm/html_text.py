@@ -2,7 +2,7 @@
 
 Markup is stripped to lines: every block-level tag ends a line, and elements that never
 hold main text (scripts, menus, footers, adverts, comments, told by tag, role, class or
-id) leave blank lines. Text lengths are summed over a sliding window of ``WINDOW`` lines.
+id) leave blank lines. A form, or a box only named so, goes if its lines look like it. Text lengths are summed over a sliding window of ``WINDOW`` lines.
 Where the sums rise from zero is a surge, where they fall back to zero a dive, and what
 lies between is an area. On a page with an article or main element, whose ends count as
 blank lines, its areas are the text; otherwise the areas are whose peak is high enough
@@ -36,7 +36,7 @@ BREAKS = frozenset(
 BOXES = frozenset("aside body div fieldset footer form header html main nav section table".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 DROPPED = frozenset(
-    "aside audio button canvas datalist dialog footer form iframe input label map menu nav noscript object optgroup option "
+    "aside audio button canvas datalist dialog footer iframe input label map menu nav noscript object optgroup option "
     "script select style svg template textarea title video xmp".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 # Words in a class or id that name something other than main text.
@@ -45,6 +45,14 @@ NAMES = frozenset(
     "consent cookie cookies copyright discussion disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter "
     "notice notices notification overlay pager pagination popup promo promotion recommended related replies reply respond "
     "share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+# Those of them whose boxes go however much text they hold, unless the page has little else.
+SURE = frozenset(
+    "ad ads adsense adv advert advertisement advertising adverts breadcrumb breadcrumbs commentlist comments consent cookie cookies "
+    "disqus gdpr login menu menus nav navbar navigation newsletter pager pagination popup reply replies respond signup sponsor "
+    "sponsored subscribe".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# A word after one of these says what a box stands beside: with-sidebar.
+BESIDE = frozenset("with has no without".split())
 CONTAINERS = frozenset(["article", "main"])
 # A start tag of these ends an open one of the same name.
 SELF_CLOSING = frozenset("p li dt dd option tr td th".split())
@@ -69,11 +77,25 @@ class Line:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     inside: bool = False
+    box: int = -1
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
+@dataclass(slots=True)
+class Box:
+    """A form or named element: the box around it, whether its name is sure, and what its lines hold."""
+
+    parent: int
+    sure: bool
+    section: bool
+    holds_container: bool
+    size: int = 0
+    linked: int = 0
+    longest: int = 0
+
+
 def tags_of(page: str) -> list[Tag]:
     """All tags in page order; comments and declarations are tags without a name."""
     found, at = [], 0
@@ -124,36 +146,44 @@ def pair_up(tags: list[Tag]) -> None:
             waiting.append(i)
 
 
-def named_otherwise(tag: Tag, inside: bool) -> bool:
-    """Whether tag, role, class or id say that the element is no main text."""
+def named_otherwise(tag: Tag, inside: bool) -> str | None:
+    """Whether tag, role, class or id say that the element is no main text: "always", "sure", "maybe" or None."""
     if tag.name in DROPPED:
-        return True
+        return "always"
     if tag.name == "header":
-        return not inside
-    if tag.name in CONTAINERS and "comment" not in tag.attributes.lower() or tag.name in ("html", "body"):
-        return False
+        return None if inside else "always"
+    if tag.name == "form":
+        return "maybe"
+    if tag.name in CONTAINERS and "comment" not in tag.attributes.lower() or tag.name in ("html", "body") or tag.name in HEADINGS:
+        return None
+    found = set()
     for key, *values in _ATTRIBUTE.findall(tag.attributes):
         value = "".join(values)
-        words = {w.lower() for w in _WORD.findall(value)}
         if key.lower() == "role":
-            if words & ROLES:
-                return True
-        elif words & NAMES or (not inside and "header" in words):
-            return True
-    return False
+            if {w.lower() for w in _WORD.findall(value)} & ROLES:
+                return "sure"
+            continue
+        for token in value.split():
+            words = [w.lower() for w in _WORD.findall(token)]
+            found.update(w for before, w in zip(["", *words], words) if before not in BESIDE)
+    if found & SURE or tag.name in CONTAINERS and found & NAMES | found & {"comment"}:
+        return "sure"
+    return "maybe" if found & NAMES or (not inside and "header" in found) else None
 
 
-def lines_of(page: str) -> tuple[list[Line], bool]:
-    """The page as lines, and whether it has an article or main element."""
+def lines_of(page: str) -> tuple[list[Line], bool, list[Box]]:
+    """The page as lines, whether it has an article or main element, and the boxes that may have to go."""
     tags = tags_of(page)
     pair_up(tags)
     containers = [i for i, t in enumerate(tags) if t.name in CONTAINERS and not t.closes]
     breaks = [i for i, t in enumerate(tags) if t.name in BREAKS]
     lines, depth, link = [Line()], 0, 0
+    boxes: list[Box] = []
+    box, ends = -1, {}
 
     def new(blanks: int = 0) -> None:
         lines.extend(Line() for _ in range(blanks))
-        lines.append(Line(inside=depth > 0))
+        lines.append(Line(inside=depth > 0, box=box))
 
     def after(places: list[int], i: int) -> int | None:
         k = bisect_right(places, i)
@@ -166,10 +196,16 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             piece = page[at : tag.start]
             lines[-1].parts.append(piece)
             lines[-1].linked += len(piece) if link else 0
-        at, i = tag.end, i + 1
+        at, here, i = tag.end, i, i + 1
         if not tag.name:
             continue
-        if not tag.closes and tag.name not in VOID and named_otherwise(tag, depth > 0):
+        kind = None if tag.closes or tag.name in VOID else named_otherwise(tag, depth > 0)
+        if kind and kind != "always" and tag.name in BREAKS and tag.partner is not None and tags[tag.partner].closes:
+            # Judged by its lines, once they are known.
+            inner = after(containers, here)
+            boxes.append(Box(box, kind == "sure", tag.name == "section" and depth > 0, inner is not None and inner < tag.partner))
+            ends[tag.partner], box = box, len(boxes) - 1
+        elif kind:
             nested = after(containers, i - 1)
             end = tag.partner
             if end is None:
@@ -179,7 +215,7 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
                 closed = False
             else:
                 closed = tags[end].closes
-                if nested is not None and nested < end and tag.name not in DROPPED:
+                if nested is not None and nested < end and kind != "always":
                     continue  # it only wraps the article
             if end >= len(tags):
                 at, i = len(page), len(tags)
@@ -190,6 +226,8 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             if tag.name in BREAKS or tag.name in RAW:
                 new(WINDOW)
             continue
+        if here in ends:
+            box = ends[here]
         if tag.name == "a":
             link = 0 if tag.closes else 1
         if tag.name in CONTAINERS:
@@ -199,16 +237,48 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             new(1 if tag.name in BOXES else 0)
     if at < len(page):
         lines[-1].parts.append(page[at:])
-    return lines, bool(containers)
+    return lines, bool(containers), boxes
+
+
+def without_boxes(lines: list[Line], boxes: list[Box], lengths: list[int]) -> set[int]:
+    """The boxes that are no main text.
+
+    A box goes if it is surely named, or is short or mostly links, and neither wraps an
+    article nor holds most of the text of a page without one elsewhere. A section of an
+    article goes by a doubtful name only if it is mostly links.
+    """
+    page, labelled = sum(lengths), 0
+    for line, n in zip(lines, lengths):
+        labelled += n if line.inside and line.box < 0 else 0
+        if line.box >= 0:
+            held = boxes[line.box]
+            held.size, held.linked, held.longest = held.size + n, held.linked + min(n, line.linked), max(held.longest, n)
+    for held in reversed(boxes):
+        if held.parent >= 0:
+            outer = boxes[held.parent]
+            outer.size, outer.linked, outer.longest = outer.size + held.size, outer.linked + held.linked, max(outer.longest, held.longest)
+    gone = set()
+    for i, held in enumerate(boxes):
+        links = held.linked >= LINKED * held.size
+        dominant = not labelled and not links and held.longest >= SURGE and 2 * held.size > page
+        wraps = held.holds_container and not (held.sure and labelled)
+        looks = links or (held.longest < SURGE and not held.section)
+        if held.parent in gone or not (wraps or dominant) and (held.sure or looks):
+            gone.add(i)
+    return gone
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page; empty for none."""
     if not page:
         return ""
-    lines, has_container = lines_of(page)
+    lines, has_container, boxes = lines_of(page)
     texts = [line.text() for line in lines]
     lengths = [len(t) for t in texts]
+    if boxes:
+        gone = without_boxes(lines, boxes, lengths)
+        texts = ["" if line.box in gone else t for line, t in zip(lines, texts)]
+        lengths = [len(t) for t in texts]
     window = sum(lengths[:WINDOW])
     sums = []
     for i in range(len(lines)):

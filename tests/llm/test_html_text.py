@@ -35,6 +35,20 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<body><form action=x><input><article><h1>T</h1><p>{LONG}</p></article></form>", "T " + LONG.strip()),
+    (f"<body><form action=x><select><option>no</select><div><p>{LONG}</p></div></form>", LONG.strip()),
+    (f"<div class='layout with-sidebar'><p>{LONG}</p></div>", LONG.strip()),
+    (f"<div class='page hasSidebar'><p>{LONG}</p><div class='sidebar'>short</div></div>", LONG.strip()),
+    (f"<article><section id='discussion'><h2 id='related-work'>A</h2><p>{LONG}</p><h2 id='social-impact'>B</h2><p>c</p></section></article>",
+     f"A {LONG.strip()} B c"),
+    (f"<article><p>x</p><div id='related'><ul><li><a href=1>{LONG}</a></ul></div><div id='comments'><p>{LONG}</p></div></article>", "x"),
+    (f"<article><p>x</p></article><div class='ad'>{LONG}</div>", "x"),
+])
+def test_forms_and_names(page, text):
+    assert main_text(page) == text
+
+
 def test_long_and_odd_pages_end():
     assert len(main_text("<p>" + prose(1, 200_000) + "</p>")) > 500_000
     for odd in ("<" * 200_000, "<a " * 100_000, "<div class='ad'>" * 20_000, "<p '" * 50_000, "&" * 100_000):
