@@ -4,9 +4,9 @@ Markup is stripped to lines: every block-level tag ends a line, and elements tha
 hold main text (scripts, menus, footers, adverts, comments, told by tag, role, class or
 id) leave blank lines. A form, or a box only named so, goes if its lines look like it. Text lengths are summed over a sliding window of ``WINDOW`` lines.
 Where the sums rise from zero is a surge, where they fall back to zero a dive, and what
-lies between is an area. On a page with an article or main element, whose ends count as
-blank lines, its areas are the text; otherwise the areas are whose peak is high enough
-and not mostly links.
+lies between is an area. An area is a candidate if its peak is high enough for the page
+and it is not mostly links. Article and main elements, whose ends count as blank lines,
+are evidence: they win unless the candidates outside them hold ``EVIDENCE`` times their text.
 
 Pages are independent: one pass in Arrow batches, without a shuffle.
 """
@@ -26,6 +26,10 @@ WINDOW = 3
 # An area outside an article needs a window with this many characters, and with this share of the page's best.
 SURGE, SHARE = 80, 0.2
 LINKED = 0.6
+# So many times the text of an article (or main element) outweighs it.
+EVIDENCE = 4
+# So many lines in a row that are links alone are a list of links, judged for itself outside articles.
+LINK_LINES = 3
 
 # HTML's own element names by what they do here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -78,11 +82,29 @@ class Line:
     linked: int = 0
     inside: bool = False
     box: int = -1
+    container: int = -1
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.parts)).split())
 
 
+@dataclass(slots=True)
+class Container:
+    """An article or main element: the one around it, and whether it lies in an article or is one."""
+
+    parent: int
+    article: bool
+
+
+@dataclass(slots=True)
+class Area:
+    lines: list[int]
+    peak: int
+    size: int
+    linked: int
+    container: int
+
+
 @dataclass(slots=True)
 class Box:
     """A form or named element: the box around it, whether its name is sure, and what its lines hold."""
@@ -171,8 +193,8 @@ def named_otherwise(tag: Tag, inside: bool) -> str | None:
     return "maybe" if found & NAMES or (not inside and "header" in found) else None
 
 
-def lines_of(page: str) -> tuple[list[Line], bool, list[Box]]:
-    """The page as lines, whether it has an article or main element, and the boxes that may have to go."""
+def lines_of(page: str) -> tuple[list[Line], list[Container], list[Box]]:
+    """The page as lines, its article and main elements, and the boxes that may have to go."""
     tags = tags_of(page)
     pair_up(tags)
     containers = [i for i, t in enumerate(tags) if t.name in CONTAINERS and not t.closes]
@@ -180,10 +202,12 @@ def lines_of(page: str) -> tuple[list[Line], bool, list[Box]]:
     lines, depth, link = [Line()], 0, 0
     boxes: list[Box] = []
     box, ends = -1, {}
+    held: list[Container] = []
+    open_containers: list[int] = []
 
     def new(blanks: int = 0) -> None:
         lines.extend(Line() for _ in range(blanks))
-        lines.append(Line(inside=depth > 0, box=box))
+        lines.append(Line(inside=depth > 0, box=box, container=open_containers[-1] if open_containers else -1))
 
     def after(places: list[int], i: int) -> int | None:
         k = bisect_right(places, i)
@@ -232,12 +256,18 @@ def lines_of(page: str) -> tuple[list[Line], bool, list[Box]]:
             link = 0 if tag.closes else 1
         if tag.name in CONTAINERS:
             depth = max(0, depth - 1) if tag.closes else depth + 1
+            if not tag.closes:
+                around = open_containers[-1] if open_containers else -1
+                held.append(Container(around, tag.name == "article" or (around >= 0 and held[around].article)))
+                open_containers.append(len(held) - 1)
+            elif open_containers:
+                open_containers.pop()
             new(WINDOW)
         elif tag.name in BREAKS:
             new(1 if tag.name in BOXES else 0)
     if at < len(page):
         lines[-1].parts.append(page[at:])
-    return lines, bool(containers), boxes
+    return lines, held, boxes
 
 
 def without_boxes(lines: list[Line], boxes: list[Box], lengths: list[int]) -> set[int]:
@@ -268,40 +298,91 @@ def without_boxes(lines: list[Line], boxes: list[Box], lengths: list[int]) -> se
     return gone
 
 
+def areas_of(lines: list[Line], lengths: list[int], containers: list[Container]) -> list[Area]:
+    """The areas with text. An area runs from a surge, the first window with text, to the dive, the next one without."""
+    sums, window = [], sum(lengths[:WINDOW])
+    for i in range(len(lines)):
+        sums.append(window)
+        window += (lengths[i + WINDOW] if i + WINDOW < len(lines) else 0) - lengths[i]
+    areas, part, lists = [], [], link_lists(lines, lengths, containers)
+    for i, s in enumerate([*sums, 0]):
+        # Windows look ahead, so an area may begin with blank lines. Containers end at blank lines, boxes may not.
+        cut = part and (not s or (lengths[i] and (lines[i].container != lines[part[-1]].container or (i in lists) != (part[-1] in lists))))
+        if cut:
+            first = part[0]
+            peak = max(sum(lengths[j : min(j + WINDOW, part[-1] + 1)]) for j in range(first, part[-1] + 1))
+            areas.append(Area(part, peak, sum(lengths[j] for j in part), sum(min(lengths[j], lines[j].linked) for j in part), lines[first].container))
+            part = []
+        if s and lengths[i]:
+            part.append(i)
+    return areas
+
+
+def link_lists(lines: list[Line], lengths: list[int], containers: list[Container]) -> set[int]:
+    """The lines outside articles that lie in a run of lines of which each is a link."""
+    found, run = set(), []
+    for i, line in enumerate([*lines, None]):
+        if line is not None and not lengths[i]:
+            continue
+        linked = line is not None and line.linked >= lengths[i] and not (line.container >= 0 and containers[line.container].article)
+        if linked:
+            run.append(i)
+            continue
+        if len(run) >= LINK_LINES:
+            found.update(run)
+        run = []
+    return found
+
+
+def chosen(areas: list[Area], containers: list[Container]) -> set[int]:
+    """The positions of the areas that are main text."""
+
+    def in_article(a: Area) -> bool:
+        return a.container >= 0 and containers[a.container].article
+
+    # The outermost article of each.
+    outer = [c.parent if c.parent >= 0 and containers[c.parent].article else i for i, c in enumerate(containers)]
+    for i, c in enumerate(outer):
+        outer[i] = c if c == i else outer[c]
+    # In an article a link or two are part of the text, a list of links is not.
+    unlinked = [i for i, a in enumerate(areas) if a.linked < LINKED * a.size or (in_article(a) and len(a.lines) < LINK_LINES)]
+    best = max((areas[i].peak for i in unlinked if not in_article(areas[i]) or areas[i].linked < LINKED * areas[i].size), default=0)
+    high = [i for i in unlinked if areas[i].peak >= max(min(SURGE, best), SHARE * best) and areas[i].linked < LINKED * areas[i].size]
+
+    articles: dict[int, int] = {}
+    for i in unlinked:
+        if in_article(areas[i]):
+            top = outer[areas[i].container]
+            articles[top] = articles.get(top, 0) + areas[i].size
+    most = max(articles.values(), default=0)
+    outside = [i for i in high if not in_article(areas[i])]
+    rest = sum(areas[i].size for i in outside)
+    if most and most * EVIDENCE >= rest:
+        won = {i for i in unlinked if in_article(areas[i]) and articles[outer[areas[i].container]] >= SHARE * most}
+        around = {containers[outer[areas[i].container]].parent for i in won}
+        # Text beside an article within its main element belongs to it if it is high enough.
+        return won | {i for i in outside if areas[i].container >= 0 and areas[i].container in around}
+    in_main = [i for i in outside if areas[i].container >= 0]
+    held = sum(areas[i].size for i in in_main)
+    if held and held * EVIDENCE >= rest - held:
+        return set(in_main)
+    return set(outside)
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page; empty for none."""
     if not page:
         return ""
-    lines, has_container, boxes = lines_of(page)
+    lines, containers, boxes = lines_of(page)
     texts = [line.text() for line in lines]
     lengths = [len(t) for t in texts]
     if boxes:
         gone = without_boxes(lines, boxes, lengths)
         texts = ["" if line.box in gone else t for line, t in zip(lines, texts)]
         lengths = [len(t) for t in texts]
-    window = sum(lengths[:WINDOW])
-    sums = []
-    for i in range(len(lines)):
-        sums.append(window)
-        window += (lengths[i + WINDOW] if i + WINDOW < len(lines) else 0) - lengths[i]
-    # An area runs from a surge, the first window with text, to the dive, the next one without.
-    areas, surge = [], None
-    for i, s in enumerate([*sums, 0]):
-        if s and surge is None:
-            surge = i
-        elif not s and surge is not None:
-            areas.append(range(surge, i))
-            surge = None
-    # Windows look ahead, so an area may begin with blank lines.
-    inside = [[i for i in area if texts[i] and lines[i].inside] for area in areas] if has_container else []
-    if not any(inside):
-        best = max((max(sums[i] for i in area) for area in areas), default=0)
-        inside = []
-        for area in areas:
-            size, linked = sum(lengths[i] for i in area), sum(min(lengths[i], lines[i].linked) for i in area)
-            if max(sums[i] for i in area) >= max(min(SURGE, best), SHARE * best) and linked < LINKED * size:
-                inside.append([i for i in area if texts[i]])
-    return " ".join(texts[i] for area in inside for i in area)
+    areas = areas_of(lines, lengths, containers)
+    kept = chosen(areas, containers)
+    return " ".join(texts[i] for k, area in enumerate(areas) if k in kept for i in area.lines)
 
 
 def extracted(page: Column) -> Column:

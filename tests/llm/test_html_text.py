@@ -49,6 +49,25 @@ def test_forms_and_names(page, text):
     assert main_text(page) == text
 
 
+CARD = "<article class='card'><h3><a href=1>Teaser</a></h3><p>Some short words.</p></article>"
+LINKS = "<ul>" + "<li><a href=1>Some other story of the day, linked</a>" * 8 + "</ul>"
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>" + CARD * 4, f"T {LONG}{LONG}".strip()),
+    (f"<main><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>{CARD * 4}</main>", f"T {LONG}{LONG}".strip()),
+    (f"<article><h1>T</h1><p>{LONG}</p></article><div>{CARD * 3}</div>", f"T {LONG}".strip()),
+    (f"<main><div>{LINKS}</div><div><h1>T</h1><p>{LONG}</p></div></main>", f"T {LONG}".strip()),
+    (f"<main><h1>T</h1><p>{LONG}</p>{LINKS}</main>", f"T {LONG}".strip()),
+    (f"<main><article><p>{LONG}</p></article><div>{LINKS}</div></main>", LONG.strip()),
+    (f"<main><article><p>{LONG}</p></article><div><p>{LONG}</p></div></main>", (LONG * 2).strip()),
+    (f"<article><p>short</p></article><div><p>{'x ' * 9}</p></div>", "short"),
+    (f"<article><p>{LONG}</p><div class='ad'>x</div><p><a href=1>Source</a></p></article>", LONG + "Source"),
+])
+def test_article_and_main_are_evidence(page, text):
+    assert main_text(page) == text
+
+
 def test_long_and_odd_pages_end():
     assert len(main_text("<p>" + prose(1, 200_000) + "</p>")) > 500_000
     for odd in ("<" * 200_000, "<a " * 100_000, "<div class='ad'>" * 20_000, "<p '" * 50_000, "&" * 100_000):
