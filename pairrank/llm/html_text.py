@@ -7,6 +7,7 @@ Where the sums rise from zero is a surge, where they fall back to zero a dive, a
 lies between is an area. An area is a candidate if its peak is high enough for the page
 and it is not mostly links. Article and main elements, whose ends count as blank lines,
 are evidence: they win unless the candidates outside them hold ``EVIDENCE`` times their text.
+Short areas between or next to what is chosen, as a title in a box of its own, are kept too.
 
 Pages are independent: one pass in Arrow batches, without a shuffle.
 """
@@ -30,6 +31,8 @@ LINKED = 0.6
 EVIDENCE = 4
 # So many lines in a row that are links alone are a list of links, judged for itself outside articles.
 LINK_LINES = 3
+# Elements climbed at most to find the one that holds an area; beyond that it is the page.
+MAX_CLIMB = 64
 
 # HTML's own element names by what they do here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,6 +58,7 @@ SURE = frozenset(
     "disqus gdpr login menu menus nav navbar navigation newsletter pager pagination popup reply replies respond signup sponsor "
     "sponsored subscribe".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TITLES = frozenset(["h1", "h2"])
 # A word after one of these says what a box stands beside: with-sidebar.
 BESIDE = frozenset("with has no without".split())
 CONTAINERS = frozenset(["article", "main"])
@@ -83,6 +87,8 @@ class Line:
     inside: bool = False
     box: int = -1
     container: int = -1
+    nest: int = -1
+    title: bool = False
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.parts)).split())
@@ -105,6 +111,15 @@ class Area:
     container: int
 
 
+@dataclass(slots=True)
+class Nest:
+    """An element that holds blocks: the one around it, and its first and last line."""
+
+    parent: int
+    first: int
+    last: int
+
+
 @dataclass(slots=True)
 class Box:
     """A form or named element: the box around it, whether its name is sure, and what its lines hold."""
@@ -193,8 +208,8 @@ def named_otherwise(tag: Tag, inside: bool) -> str | None:
     return "maybe" if found & NAMES or (not inside and "header" in found) else None
 
 
-def lines_of(page: str) -> tuple[list[Line], list[Container], list[Box]]:
-    """The page as lines, its article and main elements, and the boxes that may have to go."""
+def lines_of(page: str) -> tuple[list[Line], list[Container], list[Box], list[Nest]]:
+    """The page as lines, its article and main elements, the boxes that may have to go, and how it is nested."""
     tags = tags_of(page)
     pair_up(tags)
     containers = [i for i, t in enumerate(tags) if t.name in CONTAINERS and not t.closes]
@@ -204,10 +219,12 @@ def lines_of(page: str) -> tuple[list[Line], list[Container], list[Box]]:
     box, ends = -1, {}
     held: list[Container] = []
     open_containers: list[int] = []
+    nests: list[Nest] = []
+    nest, nest_ends = -1, {}
 
     def new(blanks: int = 0) -> None:
         lines.extend(Line() for _ in range(blanks))
-        lines.append(Line(inside=depth > 0, box=box, container=open_containers[-1] if open_containers else -1))
+        lines.append(Line(inside=depth > 0, box=box, container=open_containers[-1] if open_containers else -1, nest=nest))
 
     def after(places: list[int], i: int) -> int | None:
         k = bisect_right(places, i)
@@ -252,6 +269,12 @@ def lines_of(page: str) -> tuple[list[Line], list[Container], list[Box]]:
             continue
         if here in ends:
             box = ends[here]
+        if here in nest_ends:
+            nests[nest_ends[here]].last = len(lines) - 1
+            nest = nests[nest_ends[here]].parent
+        elif tag.name in BOXES | CONTAINERS and not tag.closes and tag.partner is not None and tags[tag.partner].closes:
+            nests.append(Nest(nest, len(lines), 1 << 60))
+            nest = nest_ends[tag.partner] = len(nests) - 1
         if tag.name == "a":
             link = 0 if tag.closes else 1
         if tag.name in CONTAINERS:
@@ -265,9 +288,10 @@ def lines_of(page: str) -> tuple[list[Line], list[Container], list[Box]]:
             new(WINDOW)
         elif tag.name in BREAKS:
             new(1 if tag.name in BOXES else 0)
+            lines[-1].title = tag.name in TITLES and not tag.closes
     if at < len(page):
         lines[-1].parts.append(page[at:])
-    return lines, held, boxes
+    return lines, held, boxes, nests
 
 
 def without_boxes(lines: list[Line], boxes: list[Box], lengths: list[int]) -> set[int]:
@@ -369,11 +393,64 @@ def chosen(areas: list[Area], containers: list[Container]) -> set[int]:
     return set(outside)
 
 
+def neighbours(areas: list[Area], kept: set[int], lines: list[Line], nests: list[Nest], containers: list[Container]) -> set[int]:
+    """The short areas that belong to the kept ones.
+
+    They are not mostly links, are in the same article or main element (if any), and lie
+    between kept areas or next to them, in the element that holds the kept area or in one
+    beside it; before the text all such in a row, after it one beside and all in the same
+    element. A title right before a text without one belongs to it wherever it is nested.
+    """
+
+    def holder(a: Area) -> int:
+        nest = lines[a.lines[0]].nest
+        for _ in range(MAX_CLIMB):
+            if nest < 0 or nests[nest].last >= a.lines[-1]:
+                return nest
+            nest = nests[nest].parent
+        return -1
+
+    def lies_in(a: Area, nest: int) -> bool:
+        return nest < 0 or (nests[nest].first <= a.lines[0] and a.lines[-1] <= nests[nest].last)
+
+    def beside(k: int, main: int) -> bool:
+        a, m = areas[k], areas[main]
+        nest = holders[main]
+        return a.linked < LINKED * a.size and a.container == m.container and lies_in(a, nests[nest].parent if nest >= 0 else -1)
+
+    def wraps(outer: int, inner: int) -> bool:
+        while inner >= 0 and inner != outer:
+            inner = containers[inner].parent
+        return inner == outer
+
+    found, order = set(), sorted(kept)
+    holders = {k: holder(areas[k]) for k in order}
+    for x, y in zip(order, order[1:]):
+        found.update(k for k in range(x + 1, y) if beside(k, x) or beside(k, y))
+    if order:
+        first, last = order[0], order[-1]
+        k = first - 1
+        while k >= 0 and beside(k, first):
+            found.add(k)
+            k -= 1
+        titled = any(lines[i].title for a in [*range(k + 1, first), *order] for i in areas[a].lines)
+        if k >= 0 and not titled and areas[k].linked < LINKED * areas[k].size and wraps(areas[k].container, areas[first].container):
+            if any(lines[i].title for i in areas[k].lines):
+                found.add(k)
+        k = last + 1
+        while k < len(areas) and beside(k, last):
+            found.add(k)
+            if not lies_in(areas[k], holders[last]):
+                break
+            k += 1
+    return found
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page; empty for none."""
     if not page:
         return ""
-    lines, containers, boxes = lines_of(page)
+    lines, containers, boxes, nests = lines_of(page)
     texts = [line.text() for line in lines]
     lengths = [len(t) for t in texts]
     if boxes:
@@ -382,6 +459,7 @@ def main_text(page: str | None) -> str:
         lengths = [len(t) for t in texts]
     areas = areas_of(lines, lengths, containers)
     kept = chosen(areas, containers)
+    kept |= neighbours(areas, kept, lines, nests, containers)
     return " ".join(texts[i] for k, area in enumerate(areas) if k in kept for i in area.lines)
 
 

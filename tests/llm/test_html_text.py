@@ -68,6 +68,19 @@ def test_article_and_main_are_evidence(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<div><h1>Title</h1></div><div><p>{LONG * 2}</p></div>", "Title " + (LONG * 2).strip()),
+    (f"<div><div><h1>Title</h1></div><div>By me</div><div><p>{LONG}</p></div></div>", "Title By me " + LONG.strip()),
+    (f"<div><div><h1>Title</h1></div></div><div><div><p>{LONG}</p></div></div>", "Title " + LONG.strip()),
+    (f"<div><p>{LONG}</p><div class='ad'>buy</div><p>The end.</p></div>", LONG + "The end."),
+    (f"<div><p>{LONG}</p><div class='ad'>buy</div><p>Short.</p><div class='ad'>buy</div><p>{LONG}</p></div>", f"{LONG}Short. {LONG}".strip()),
+    (f"<main><h1>Title</h1><article><p>{LONG}</p></article></main>", "Title " + LONG.strip()),
+    (f"<div>{LINKS}</div><div><p>{LONG}</p></div><div>{LINKS}</div><div>Far off</div>", LONG.strip()),
+])
+def test_short_areas_beside_the_text(page, text):
+    assert main_text(page) == text
+
+
 def test_long_and_odd_pages_end():
     assert len(main_text("<p>" + prose(1, 200_000) + "</p>")) > 500_000
     for odd in ("<" * 200_000, "<a " * 100_000, "<div class='ad'>" * 20_000, "<p '" * 50_000, "&" * 100_000):
