@@ -5,7 +5,9 @@ Of the hashes of all runs of ``GRAM`` words, winnowing keeps the smallest of eve
 share a fingerprint. The templates' fingerprints form an inverted index, hash to (template,
 place). Where a document's fingerprints hit it, the differences of the places name diagonals;
 each cluster of them is aligned word by word within a band, and the best local alignment
-gives the words of the template that are matched (coverage) and the span in the text.
+gives the words of the template that are matched (coverage) and the span in the text. The
+words that tell the license and its version from others (``MARKS``) must be in that span; a long
+notice may lack one if no other license's stands there.
 
 The index depends on the templates alone, whose number of words is checked, and goes to
 every task. Documents are scanned in one pass in Arrow batches, without a shuffle.
@@ -13,6 +15,7 @@ every task. Documents are scanned in one pass in Arrow batches, without a shuffl
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cached_property
@@ -85,6 +88,24 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+# The words that tell a license from its relatives. Those of them that a template has must stand in a match.
+MARKS = {
+    "Apache-2.0": "apache 2 0", "BSD-2-Clause": "bsd 2", "BSD-3-Clause": "bsd 3", "CC-BY-4.0": "creative commons cc by attribution 4 0",
+    "CC-BY-NC-4.0": "creative commons cc by attribution nc noncommercial 4 0", "CC-BY-SA-4.0": "creative commons cc by attribution sa sharealike 4 0",
+    "CC0-1.0": "waived", "GPL-2.0": "gnu general public 2", "GPL-3.0": "gnu general public 3", "ISC": "isc", "LGPL-3.0": "gnu lesser general public 3",
+    "MIT": "mit", "MPL-2.0": "mozilla 2 0", "Unlicense": "unencumbered",
+}
+# A template that names a license by its first word here is none of a license named with one of the others, if it has not got that itself.
+_RELATIVES = {
+    "gnu": "lesser library affero free documentation", "creative": "noncommercial commercial sharealike alike noderivatives noderivs derivatives derivs",
+    "cc": "nc sa nd", "mit": "attribution modern", "bsd": "patent attribution clear",
+}
+_NAMES = {w for words in MARKS.values() for w in words.split() if not w.isdigit()} | {w for words in _RELATIVES.values() for w in words.split()} | {
+    "academic", "artistic", "boost", "eclipse", "epl", "european", "gpl", "zlib"}
+# Enumerations are digits too, so numbers count as marks only in templates of fewer words, or that name a version.
+_SHORT = 25
+_VERSION = re.compile(rb"\.([0-9]+)")
+
 # Words are runs of ASCII letters and digits and of any other characters beyond ASCII.
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -141,6 +162,15 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) ->
     return best[1:]
 
 
+def marks_of(name: str, words: list[str]) -> tuple[set[str], set[str], set[str]]:
+    """The words that a match of a template must hold, those it must not, and the version numbers of the template."""
+    marks = set(MARKS.get(name, "").split()) & set(words)
+    if len(words) >= _SHORT and "version" not in words and "v" not in words:
+        marks = {w for w in marks if not w.isdigit()}
+    foreign = {w for family, others in _RELATIVES.items() if family in words and marks for w in others.split()} - set(words)
+    return marks, foreign, {w for w in marks if w.isdigit()}
+
+
 class Index:
     """The inverted index of templates, a mapping of license name to texts."""
 
@@ -149,6 +179,11 @@ class Index:
         self.words = [split(text)[0] for texts in templates.values() for text in texts]
         if sum(map(len, self.words)) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"the templates have more than {MAX_TEMPLATE_WORDS} words")
+        texts_of = [text for texts in templates.values() for text in texts]
+        plain = [[data[b:e].decode("utf-8", "replace").lower() for b, e in zip(starts.tolist(), ends.tolist())]
+                 for _, starts, ends, data in map(split, texts_of)]
+        self.required, self.foreign, self.versions = zip(*map(marks_of, self.names, plain)) if plain else ((), (), ())
+        self.own = [set(words) for words in plain]
         self.places = defaultdict(list)
         for t, words in enumerate(self.words):
             for print_, at in zip(*(x.tolist() for x in fingerprints(words))):
@@ -158,6 +193,27 @@ class Index:
     def known(self) -> np.ndarray:
         return np.sort(np.fromiter(self.places, np.uint64, len(self.places)))
 
+    def of_this_license(self, t: int, starts: np.ndarray, ends: np.ndarray, data: bytes) -> bool:
+        """Whether the words of a span are those of template ``t``'s license and version, not of a related one."""
+        if not self.required[t]:
+            return True
+        words = [data[b:e].lower().decode("utf-8", "replace") for b, e in zip(starts.tolist(), ends.tolist())]
+        found = set(words)
+        missing = self.required[t] - found
+        if missing and len(self.words[t]) < _SHORT or self.foreign[t] & found:
+            return False
+        # A long notice may have lost a mark to an edit, but not have another one in its place.
+        others = found - self.own[t]
+        if missing & self.versions[t] and any(w.isdigit() for w in others) or missing - self.versions[t] and others & _NAMES:
+            return False
+        # 2.1 is not version 2, and 2.0 is.
+        own = {"0", *self.versions[t]}
+        for word, e in zip(words, ends.tolist()):
+            minor = _VERSION.match(data, e) if word in self.versions[t] else None
+            if minor and minor[1].decode() not in own:
+                return False
+        return True
+
     def scan(self, text: str | None, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
         """License, coverage, matched words, and span [start, end) in code points, in text order.
 
@@ -187,7 +243,7 @@ class Index:
                     continue
                 last = diagonal
                 matched, begin, end = align(self.words[t], words, diagonal, 2 * band)
-                if matched >= coverage * size:
+                if matched >= coverage * size and self.of_this_license(t, starts[begin:end], ends[begin:end], data):
                     found.append((-matched, -matched / size, t, begin, end))
         taken: list[tuple[int, int, int, float, int]] = []
         for matched, share, t, begin, end in sorted(found):
@@ -214,7 +270,7 @@ def scan_licenses(documents: DataFrame, templates: dict[str, list[str]] = TEMPLA
     """``documents`` with ``matches``: license, coverage of its template, matched words and span of every notice found.
 
     Spans count code points of the whole text. At least ``coverage`` of a template's words
-    must be matched in order. A null or empty text, and one without notices, has no matches;
+    must be matched in order, and the span must hold its marks. A null or empty text, and one without notices, has no matches;
     repeated rows are scanned each for itself. An input column named matches is replaced.
     """
     if not 0 < coverage <= 1:

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from cases import documents, edge_documents, empty_documents, prose
@@ -73,3 +74,32 @@ def test_table(spark):
     assert [(m.license, m.start, m.end) for m in own] == [("mine", 2, 18)]
     with pytest.raises(ValueError):
         licenses.scan_licenses(docs, coverage=0)
+
+
+@pytest.mark.parametrize("notice", [
+    *(f"This project is licensed under the {n} License." for n in ("BSD", "ISC", "GPL", "EPL", "Zlib")),
+    "Released under the BSD License.", "Licensed under the Apache License, Version 1.1.", "Licensed under the Academic License, Version 2.0.",
+    "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "Licensed under CC BY 3.0.", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY-SA 3.0.",
+    "This work is licensed under the GNU General Public License, version 1.",
+    "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "This work is licensed under the GNU General Public License, version 2.1.",
+    "This work is licensed under the GNU Affero General Public License, version 3.",
+    "This work is licensed under the GNU Free Documentation License, version 3.",
+    licenses.TEMPLATES["GPL-3.0"][1].replace("version 3", "version 1"),
+    licenses.TEMPLATES["MPL-2.0"][0].replace("2.0", "1.1"),
+    licenses.TEMPLATES["Apache-2.0"][1].replace("2.0", "1.1"),
+])
+def test_notices_of_other_licenses_are_not_ours(notice):
+    assert INDEX.scan(f"{prose(1, 30)}\n{notice}\n{prose(2, 30)}") == []
+
+
+def test_names_and_versions_exchanged():
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            for mark in INDEX.required[[*INDEX.names].index(name) + texts.index(text)]:
+                other = re.sub(rf"(?i)\b{mark}\b", "7" if mark.isdigit() else "Eclipse", text)
+                assert name not in [m[0] for m in INDEX.scan(other)]
+    assert [m[0] for m in INDEX.scan("This work is licensed under the GNU General Public License, version 2.0.")] == ["GPL-2.0"]
