@@ -9,6 +9,9 @@ gives the words of the template that are matched (coverage) and the span in the
 words that tell the license and its version from others (``MARKS``) must be in that span; a long
 notice may lack one if no other license's stands there.
 
+Whole license texts are looked for where a stretch holds a fifth of their fingerprints, and
+are matched there by longest common runs instead of a banded alignment.
+
 The index depends on the templates alone, whose number of words is checked, and goes to
 every task. Documents are scanned in one pass in Arrow batches, without a shuffle.
 """
@@ -18,7 +21,9 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 from functools import cached_property
+from importlib import resources
 
 import numpy as np
 import pandas as pd
@@ -32,9 +37,41 @@ COVERAGE = 0.8
 # Words by which an alignment may drift from its diagonal, at least, and as a share of the template.
 BAND, BAND_SHARE = 4, 0.1
 MAX_TEMPLATE_WORDS = 1_000_000
+# Share of a whole text's fingerprints that a stretch must hold to be looked at, far below what the least coverage leaves.
+BODY_SCREEN = 0.2
+# Words about the beginning of a whole text in which its title is, and characters of the text's own title.
+TITLE_WORDS, TITLE_CHARS = 8, 100
 
 # Notices by which licenses are named or granted, per SPDX identifier.
+_BSD_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and "
+    "the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+    "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. ")
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, '
+    "BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+    "SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+    "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission.")
+
+
+def _program(what: str, name: str, version: str, mark: str) -> str:
+    """The notice that the FSF's licenses tell programs to carry."""
+    return (f"This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as "
+            f"published by the Free Software Foundation{',' if mark == ':' else ';'} either version {version} of the License, or (at your "
+            "option) any later version.")
+
+
 TEMPLATES = {
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        _program("program", "Affero General Public License", "3", ":"),
+    ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
@@ -43,17 +80,12 @@ TEMPLATES = {
         "OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
         "limitations under the License.",
     ],
-    "BSD-2-Clause": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and "
-        "the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
-        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    ],
+    "BSD-2-Clause": [_BSD_CLAUSES.strip(), _BSD_CLAUSES + _BSD_WARRANTY],
     "BSD-3-Clause": [
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
-        "derived from this software without specific prior written permission.",
+        _BSD_NAMES, f"{_BSD_CLAUSES}3. {_BSD_NAMES} {_BSD_WARRANTY}",
     ],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
@@ -62,7 +94,14 @@ TEMPLATES = {
         "Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
+        "available at https://www.eclipse.org/legal/epl-2.0",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        _program("program", "General Public License", "2", ";"),
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
@@ -72,7 +111,14 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies.",
     ],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        _program("library", "Lesser General Public License", "2.1", ";"),
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        _program("library", "Lesser General Public License", "3", ":"),
+    ],
     "MIT": [
         "Released under the MIT License.", "This project is licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
@@ -86,10 +132,20 @@ TEMPLATES = {
         "with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+        "commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of "
+        "this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in "
+        "a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions "
+        "must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be "
+        "removed or altered from any source distribution.",
+    ],
 }
 
 # The words that tell a license from its relatives. Those of them that a template has must stand in a match.
 MARKS = {
+    "AGPL-3.0": "gnu affero general public 3", "BSL-1.0": "boost 1 0", "EPL-2.0": "eclipse 2 0", "LGPL-2.1": "gnu lesser general public 2 1",
     "Apache-2.0": "apache 2 0", "BSD-2-Clause": "bsd 2", "BSD-3-Clause": "bsd 3", "CC-BY-4.0": "creative commons cc by attribution 4 0",
     "CC-BY-NC-4.0": "creative commons cc by attribution nc noncommercial 4 0", "CC-BY-SA-4.0": "creative commons cc by attribution sa sharealike 4 0",
     "CC0-1.0": "waived", "GPL-2.0": "gnu general public 2", "GPL-3.0": "gnu general public 3", "ISC": "isc", "LGPL-3.0": "gnu lesser general public 3",
@@ -154,7 +210,8 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) ->
             if j - 1 in row:
                 options.append((row[j - 1][0] - 1, *row[j - 1][1:]))
             cell = max(options, key=lambda c: (c[0], c[1], -c[2]))
-            if cell[0] > 0:
+            # An alignment whose score has fallen to zero is not dropped for a new one, which has matched less.
+            if cell[0] >= 0 and cell[1]:
                 row[j] = cell
                 if equal and cell[0] > best[0]:
                     best = (cell[0], cell[1], cell[2], j + 1)
@@ -162,6 +219,12 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) ->
     return best[1:]
 
 
+def body_texts() -> dict[str, str]:
+    """The whole texts of licenses, per SPDX identifier, from the package's folder or archive."""
+    folder = resources.files("pairrank.llm") / "license_texts"
+    return {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name)}
+
+
 def marks_of(name: str, words: list[str]) -> tuple[set[str], set[str], set[str]]:
     """The words that a match of a template must hold, those it must not, and the version numbers of the template."""
     marks = set(MARKS.get(name, "").split()) & set(words)
@@ -172,12 +235,22 @@ def marks_of(name: str, words: list[str]) -> tuple[set[str], set[str], set[str]]
 
 
 class Index:
-    """The inverted index of templates, a mapping of license name to texts."""
+    """The inverted index of templates, a mapping of license name to notices, and of whole texts of licenses.
+
+    The package's own texts go with its own notices unless ``bodies`` says otherwise.
+    """
 
-    def __init__(self, templates: dict[str, list[str]] = TEMPLATES):
+    def __init__(self, templates: dict[str, list[str]] = TEMPLATES, bodies: dict[str, str] | None = None):
+        if bodies is None:
+            bodies = body_texts() if templates is TEMPLATES else {}
         self.names = [name for name, texts in templates.items() for _ in texts]
         self.words = [split(text)[0] for texts in templates.values() for text in texts]
-        if sum(map(len, self.words)) > MAX_TEMPLATE_WORDS:
+        self.bodies = [(name, split(text)[0]) for name, text in bodies.items()]
+        self.body_prints = [np.unique(fingerprints(words)[0]) for _, words in self.bodies]
+        self.body_foreign = [
+            self._related - set(text[:TITLE_CHARS].lower().split()) if name.split("-")[0] in ("GPL", "LGPL", "GFDL") else set()
+            for name, text in bodies.items()]
+        if sum(map(len, self.words)) + sum(len(w) for _, w in self.bodies) > MAX_TEMPLATE_WORDS:
             raise ValueError(f"the templates have more than {MAX_TEMPLATE_WORDS} words")
         texts_of = [text for texts in templates.values() for text in texts]
         plain = [[data[b:e].decode("utf-8", "replace").lower() for b, e in zip(starts.tolist(), ends.tolist())]
@@ -189,6 +262,50 @@ class Index:
             for print_, at in zip(*(x.tolist() for x in fingerprints(words))):
                 self.places[print_].append((t, at))
 
+    _related = frozenset(["affero", "lesser", "library"])
+
+    @cached_property
+    def body_known(self) -> np.ndarray:
+        return np.unique(np.concatenate(self.body_prints)) if self.bodies else np.zeros(0, np.uint64)
+
+    def whole_texts(self, prints: np.ndarray, at: np.ndarray, words: np.ndarray, word_of, coverage: float) -> list[tuple]:
+        """Matches of whole license texts, as those of notices in ``scan``.
+
+        Where enough of a text's fingerprints lie within its length, its words are matched
+        in order, by longest common runs.
+        """
+        if not self.bodies:
+            return []
+        known = np.minimum(np.searchsorted(self.body_known, prints), len(self.body_known) - 1)
+        hits = self.body_known[known] == prints
+        least = min(map(len, self.body_prints)) * BODY_SCREEN
+        if hits.sum() < least:
+            return []
+        prints, at, found = prints[hits], at[hits], []
+        for k, (_, text) in enumerate(self.bodies):
+            mine = np.isin(prints, self.body_prints[k])
+            places = at[mine]
+            reach, need = int(len(text) * (1 + BAND_SHARE)), len(self.body_prints[k]) * BODY_SCREEN
+            while len(places) >= need:
+                # The stretch of the text's length with most of its fingerprints.
+                count = np.searchsorted(places, places + reach) - np.arange(len(places))
+                best = int(count.argmax())
+                if count[best] < need:
+                    break
+                first, last = places[best], places[best + count[best] - 1]
+                slack = int(len(text) * BAND_SHARE)
+                low, high = max(0, int(first) - slack), int(last) + GRAM + slack
+                runs = SequenceMatcher(None, text.tolist(), words[low:high].tolist(), autojunk=False).get_matching_blocks()
+                solid = [r for r in runs if r.size >= GRAM]
+                if solid:
+                    runs = [r for r in runs if r.size and solid[0].b <= r.b <= solid[-1].b]
+                    matched, begin, end = sum(r.size for r in runs), low + solid[0].b, low + solid[-1].b + solid[-1].size
+                    title = {word_of(j) for j in range(max(0, begin - TITLE_WORDS), min(len(words), begin + TITLE_WORDS))}
+                    if matched >= coverage * len(text) and not title & self.body_foreign[k]:
+                        found.append((-matched, -matched / len(text), len(self.names) + k, begin, end))
+                places = places[(places < first) | (places > last)]
+        return found
+
     @cached_property
     def known(self) -> np.ndarray:
         return np.sort(np.fromiter(self.places, np.uint64, len(self.places)))
@@ -198,9 +315,10 @@ class Index:
         if not self.required[t]:
             return True
         words = [data[b:e].lower().decode("utf-8", "replace") for b, e in zip(starts.tolist(), ends.tolist())]
-        found = set(words)
+        # A GPL notice may speak of "this library"; the Library General Public License is another one.
+        found = {w for w, after in zip(words, [*words[1:], ""]) if w != "library" or after == "general" or w in self.own[t]}
         missing = self.required[t] - found
-        if missing and len(self.words[t]) < _SHORT or self.foreign[t] & found:
+        if missing and (len(self.words[t]) < _SHORT or len(missing) > 1 or missing & self._related) or self.foreign[t] & found:
             return False
         # A long notice may have lost a mark to an edit, but not have another one in its place.
         others = found - self.own[t]
@@ -226,13 +344,13 @@ class Index:
         prints, at = fingerprints(words)
         near = np.minimum(np.searchsorted(self.known, prints), len(self.known) - 1)
         hits = np.flatnonzero(self.known[near] == prints)
-        if not len(hits):
+        found = self.whole_texts(prints, at, words, lambda j: data[starts[j] : ends[j]].lower().decode("utf-8", "replace"), coverage)
+        if not len(hits) and not found:
             return []
         diagonals = defaultdict(set)
         for print_, place in zip(prints[hits].tolist(), at[hits].tolist()):
             for t, q in self.places[print_]:
                 diagonals[t].add(place - q)
-        found = []
         for t, seen in diagonals.items():
             size = len(self.words[t])
             band = max(BAND, int(BAND_SHARE * size))
@@ -250,7 +368,8 @@ class Index:
             if all(end <= b or begin >= e for _, b, e, _, _ in taken):
                 taken.append((t, begin, end, -share, -matched))
         code_points = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))
-        return [(self.names[t], share, matched, int(code_points[starts[b]]), int(code_points[ends[e - 1]]))
+        names = [*self.names, *(name for name, _ in self.bodies)]
+        return [(names[t], share, matched, int(code_points[starts[b]]), int(code_points[ends[e - 1]]))
                 for t, b, e, share, matched in sorted(taken, key=lambda x: x[1])]
 
 
@@ -269,7 +388,8 @@ def scanned(text: Column, index: Index, coverage: float) -> Column:
 def scan_licenses(documents: DataFrame, templates: dict[str, list[str]] = TEMPLATES, coverage: float = COVERAGE, text: str = "text") -> DataFrame:
     """``documents`` with ``matches``: license, coverage of its template, matched words and span of every notice found.
 
-    Spans count code points of the whole text. At least ``coverage`` of a template's words
+    Whole texts of licenses (``body_texts``) go with the package's own templates. A whole text
+    takes the place of the notices in it. Spans count code points of the whole text. At least ``coverage`` of a template's words
     must be matched in order, and the span must hold its marks. A null or empty text, and one without notices, has no matches;
     repeated rows are scanned each for itself. An input column named matches is replaced.
     """

@@ -84,9 +84,9 @@ def test_table(spark):
     "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
     "Licensed under CC BY 3.0.", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY-SA 3.0.",
     "This work is licensed under the GNU General Public License, version 1.",
-    "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "This work is licensed under the GNU Lesser General Public License, version 2.2.",
     "This work is licensed under the GNU General Public License, version 2.1.",
-    "This work is licensed under the GNU Affero General Public License, version 3.",
+    "This work is licensed under the GNU Affero General Public License, version 1.",
     "This work is licensed under the GNU Free Documentation License, version 3.",
     licenses.TEMPLATES["GPL-3.0"][1].replace("version 3", "version 1"),
     licenses.TEMPLATES["MPL-2.0"][0].replace("2.0", "1.1"),
@@ -100,6 +100,22 @@ def test_names_and_versions_exchanged():
     for name, texts in licenses.TEMPLATES.items():
         for text in texts:
             for mark in INDEX.required[[*INDEX.names].index(name) + texts.index(text)]:
-                other = re.sub(rf"(?i)\b{mark}\b", "7" if mark.isdigit() else "Eclipse", text)
+                other = re.sub(rf"(?i)\b{mark}\b", "7" if mark.isdigit() else "Mozilla" if mark == "eclipse" else "Eclipse", text)
                 assert name not in [m[0] for m in INDEX.scan(other)]
     assert [m[0] for m in INDEX.scan("This work is licensed under the GNU General Public License, version 2.0.")] == ["GPL-2.0"]
+
+
+def test_whole_texts_and_program_notices():
+    for name, text in licenses.body_texts().items():
+        words = text.split()
+        doc = f"é {prose(1, 50)}\n{text}\n{prose(2, 50)}"
+        assert [(m[0], m[1]) for m in INDEX.scan(doc)] == [(name, 1.0)]
+        assert [m[0] for m in INDEX.scan(" ".join(w for i, w in enumerate(words) if i % 40))] == [name]
+    texts = licenses.body_texts()
+    assert [m[0] for m in INDEX.scan(f"{texts['MPL-2.0']} {prose(3, 90)} {texts['CC0-1.0']} {texts['MPL-2.0']}")] == ["MPL-2.0", "CC0-1.0", "MPL-2.0"]
+    affero = texts["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL")
+    assert "GPL-3.0" not in [m[0] for m in INDEX.scan(affero) if m[2] > 1000]
+    for name, kind in (("LGPL-2.1", "Lesser"), ("AGPL-3.0", "Affero")):
+        assert [m[0] for m in INDEX.scan(f"This work is licensed under the GNU {kind} General Public License, version {name[5:]}.")] == [name]
+    for name in ("GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "Zlib"):
+        assert [m[0] for m in INDEX.scan(f"{prose(1, 9)} {licenses.TEMPLATES[name][-1]} {prose(2, 9)}")] == [name]
