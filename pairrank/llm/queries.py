@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairrank.llm import decontamination, html_text, language, licenses, line_dedup, minhash, mixing, passages, quality, warc
+from pairrank.llm import bpe, decontamination, html_text, language, licenses, line_dedup, minhash, mixing, passages, quality, warc
 from pairrank.llm.expressions import table
 
 # Production targets of the mixture, in percent of the characters, and the block size.
@@ -171,6 +171,17 @@ def op9_passage_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def token_digests(documents: DataFrame, path: str) -> DataFrame:
+    return bpe.round_trip(documents, path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def _terms(text: str) -> str:
     lowered = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -204,6 +215,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_passage_removal": op9_passage_removal,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_bpe_codec": op11_bpe_codec,
 }
 SQL = {
     "op1_mix_sources": _MIX_SQL,
