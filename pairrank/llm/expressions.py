@@ -39,6 +39,15 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col("`" + name.replace("`", "``") + "`").alias(working) for working, name in columns.items()))
 
 
+# A table of more rows than this is not broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast, if a count says that its (short) rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

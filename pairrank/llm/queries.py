@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairrank.llm import bpe, decontamination, html_text, language, licenses, line_dedup, minhash, mixing, passages, quality, warc
+from pairrank.llm import bpe, decontamination, html_text, language, licenses, line_dedup, minhash, mixing, passages, quality, spelling, warc
 from pairrank.llm.expressions import table
 
 # Production targets of the mixture, in percent of the characters, and the block size.
@@ -182,6 +182,40 @@ def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"))
+
+
+# crc32 is computed byte by byte from its table (the polynomial is a fixed value).
+_SPELLING_SQL = f"""
+WITH RECURSIVE
+shifts(i, c, k) AS (SELECT i, i::BIGINT, 0 FROM range(256) t(i)
+    UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM shifts WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM shifts WHERE k = 8),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[{spelling.LETTERS}]{{{spelling.MIN_LETTERS},}}'),
+        lambda r: translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS run FROM documents) GROUP BY ALL),
+hexed AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+summed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM hexed, crc),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT n, CASE WHEN h % {spelling.MODULUS} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM summed)
+    WHERE length(word) >= {spelling.MIN_LETTERS} GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}),
+less AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM less a JOIN less b USING (i, rest) WHERE a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM less a JOIN v b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM less a JOIN v b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+firsts AS (SELECT word, n_near, m, min(other) AS other FROM best JOIN near USING (word, m) GROUP BY ALL),
+forms AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {spelling.FACTOR} * n THEN other END AS form,
+    CASE WHEN m >= {spelling.FACTOR} * n THEN m END AS form_n FROM v LEFT JOIN firsts USING (word)),
+walk(word, final, form) AS (SELECT word, word, form FROM forms
+    UNION ALL SELECT walk.word, walk.form, forms.form FROM walk JOIN forms ON walk.form = forms.word)
+SELECT forms.word, forms.form, final AS root, n, n_near, form_n FROM forms JOIN walk ON forms.word = walk.word AND walk.form IS NULL
+"""
+
+
 def _terms(text: str) -> str:
     lowered = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -216,6 +250,7 @@ QUERIES = {
     "op9_passage_removal": op9_passage_removal,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_bpe_codec": op11_bpe_codec,
+    "op12_spelling_forms": op12_spelling_forms,
 }
 SQL = {
     "op1_mix_sources": _MIX_SQL,
@@ -223,4 +258,5 @@ SQL = {
     "op5_quality_rules": _QUALITY_SQL,
     "op7_line_dedup": _LINES_SQL,
     "op10_benchmark_decontamination": _DECONTAMINATION_SQL,
+    "op12_spelling_forms": _SPELLING_SQL,
 }
