@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairrank.llm import bpe, decontamination, html_text, language, licenses, line_dedup, minhash, mixing, passages, quality, spelling, warc
+from pairrank.llm import bpe, decontamination, hard_negatives, html_text, language, licenses, line_dedup, minhash, mixing, passages, quality, spelling, warc
 from pairrank.llm.expressions import table
 
 # Production targets of the mixture, in percent of the characters, and the block size.
@@ -216,6 +216,30 @@ SELECT forms.word, forms.form, final AS root, n, n_near, form_n FROM forms JOIN
 """
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+_NEGATIVES_SQL = f"""
+WITH rows AS (
+    SELECT vec_id, CASE WHEN vec_id % {hard_negatives.RELABELLED} = 0 THEN (label + 1) % {hard_negatives.LABELS} ELSE label END AS label,
+        list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * x::DOUBLE)) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM rows a JOIN rows b ON a.vec_id % {hard_negatives.ANCHORS} = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {hard_negatives.POSITIVES})
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank,
+    id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND {hard_negatives.LOW} * positive_score <= 100 * score AND 100 * score <= {hard_negatives.HIGH} * positive_score
+QUALIFY rank <= {hard_negatives.NEGATIVES}
+"""
+
+
 def _terms(text: str) -> str:
     lowered = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -251,6 +275,7 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_bpe_codec": op11_bpe_codec,
     "op12_spelling_forms": op12_spelling_forms,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 SQL = {
     "op1_mix_sources": _MIX_SQL,
@@ -259,4 +284,5 @@ SQL = {
     "op7_line_dedup": _LINES_SQL,
     "op10_benchmark_decontamination": _DECONTAMINATION_SQL,
     "op12_spelling_forms": _SPELLING_SQL,
+    "op13_hard_negatives": _NEGATIVES_SQL,
 }
