@@ -12,29 +12,31 @@ kept once. For each hash then
 - several different segments: they go through a two-stage suffix sort, many hashes to a
   task, and windows that share ``WINDOW`` symbols with a neighbour in the order are repeated.
 
-A hash whose different segments are too much for one task is settled by counting the hashes
-of its windows instead, over as many tasks as it takes.
+A hash whose different segments are too much for one task is split first. All its windows
+hold the gram of that hash, their core. The core of a window grows by half of what the window
+holds beside it, to the right if there is room, else to the left; that depends on the
+window's bytes alone, so equal windows still meet in segments of equal cores. After at most
+nine steps the core is the window itself, and equal segments are counted once at each step.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairrank.llm.expressions import pick
+from pairrank.llm.expressions import pick, small
 from pairrank.llm.suffixes import repeated_windows
 from pairrank.runtime import materialise
 
 WINDOW = 400
 GRAM = 128
-# Bytes of different segments that one task sorts, and that one hash may have for it.
-TASK_BYTES, HASH_BYTES = 4 << 20, 16 << 20
-BROADCAST_ROWS = 1_000_000
+# Bytes of different segments that one task sorts on average, and that one hash may have for it.
+TASK_BYTES, HASH_BYTES = 1 << 19, 1 << 20
 
 _BYTE = np.random.default_rng(9).integers(0, 2**64, 256, np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -100,10 +102,6 @@ def runs(places: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(places[np.append(0, cuts + 1)].tolist(), places[np.append(cuts, len(places) - 1)].tolist()))
 
 
-def small(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def pieces_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """``wanted`` (with doc_id, row, start, size) with the segment's bytes, cut from one text each."""
     per_row = wanted.groupBy("row").agg(F.collect_list(F.struct("hash", "print", "start", "size", "n")).alias("list"))
@@ -128,33 +126,92 @@ def sort_pieces(rows: pd.DataFrame, window: int) -> pd.DataFrame:
 RUNS = "array<struct<first: int, last: int>>"
 
 
+PIECE = "struct<hash: long, print: binary, start: int, core: int, piece: binary>"
+
+
+def split_piece(piece: bytes, window: int, size: int, hash_: int, core: int) -> list[tuple[int, bytes, int, int, bytes]]:
+    """The parts of a segment whose windows have one core, after cores of ``size`` bytes have grown: hash of the
+    core, fingerprint of the part's bytes, its start in the segment, the core's place in it, and the bytes.
+
+    ``core`` is the place of the core that all windows of the segment hold, or -1 if it is the first gram of that hash.
+    """
+    starts = np.arange(len(piece) - window + 1)
+    if core < 0:
+        grams = gram_hashes(np.frombuffer(piece, np.uint8), size).view(np.int64)
+        places = np.flatnonzero(grams == hash_)
+        cores = places[np.searchsorted(places, starts)]
+    else:
+        cores = np.full(len(starts), core)
+    more = -(-(window - size) // 2)
+    cores = np.where(starts + window - cores - size >= more, cores, cores - more)
+    firsts = np.concatenate(([0], np.flatnonzero(np.diff(cores)) + 1))
+    lasts = np.append(firsts[1:], len(cores)) - 1
+    parts = []
+    for s, e, c in zip(firsts.tolist(), lasts.tolist(), cores[firsts].tolist()):
+        key = int.from_bytes(hashlib.blake2b(piece[c : c + size + more], digest_size=8).digest(), "little", signed=True)
+        part = piece[s : e + window]
+        parts.append((key, hashlib.blake2b(part, digest_size=16).digest(), s, c - s, part))
+    return parts
+
+
+def statuses(kinds: DataFrame) -> DataFrame:
+    """What is to be done with each hash that may hold repeated windows, from its kinds (hash, n, twice, size)."""
+    per_hash = kinds.groupBy("hash").agg(
+        F.count("*").alias("kinds"), F.sum("n").alias("total"), F.bool_or("twice").alias("any_twice"), F.sum("size").alias("bytes"))
+    alone = (F.col("kinds") == 1) & ~F.col("any_twice")
+    return per_hash.where("total > 1 OR any_twice").select(
+        "hash", F.when(alone, "alone").when(F.col("bytes") > HASH_BYTES, "split").otherwise("sort").alias("status"))
+
+
+def sorted_pieces(pieces: DataFrame, n_bytes: int, window: int) -> DataFrame:
+    """hash, print and runs of pieces (hash, print, n, piece) of ``n_bytes`` in all, many hashes to a task."""
+    tasks = int(n_bytes // TASK_BYTES) + 1
+    dealt = pieces.withColumn("task", F.pmod(F.xxhash64("hash"), F.lit(tasks)))
+    return dealt.groupBy("task").applyInPandas(lambda part: sort_pieces(part, window), f"hash long, print binary, runs {RUNS}")
+
+
+def all_windows(size: str, window: int) -> Column:
+    return F.array(F.struct(F.lit(0).alias("first"), (F.col(size) - window).alias("last"))).cast(RUNS).alias("runs")
+
+
 def repeats(rows: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    """hash, print and the runs of repeated window starts (from the segment's own start) of every segment that has some."""
+    """hash, print and runs of repeated window starts (from the segment's own start) of every segment that has some; a segment may have several rows."""
     kinds = found.groupBy("hash", "print").agg(
         F.count("*").alias("n"), F.max("twice").alias("twice"), F.min(F.struct("row", "start", "size")).alias("at"))
     kinds = materialise(kinds.select("hash", "print", "n", "twice", "at.*"), "segment-kinds")
-    per_hash = kinds.groupBy("hash").agg(
-        F.count("*").alias("kinds"), F.sum("n").alias("total"), F.bool_or("twice").alias("any_twice"), F.sum("size").alias("bytes"))
-    per_hash = per_hash.where("total > 1 OR any_twice").select("hash", ((F.col("kinds") == 1) & ~F.col("any_twice")).alias("alone"), "bytes")
-    repeated = materialise(kinds.join(per_hash, "hash"), "segment-repeats")
-
-    last = F.struct(F.lit(0).alias("first"), (F.col("size") - window).alias("last"))
-    alone = repeated.where("alone").select("hash", "print", F.array(last).cast(RUNS).alias("runs"))
-    to_sort = repeated.where(f"NOT alone AND bytes <= {HASH_BYTES}")
-    tasks = int((to_sort.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES) + 1
-    pieces = pieces_of(rows, to_sort).withColumn("task", F.pmod(F.xxhash64("hash"), F.lit(tasks)))
-    ordered = pieces.groupBy("task").applyInPandas(lambda part: sort_pieces(part, window), f"hash long, print binary, runs {RUNS}")
-
-    # Too much for one task: each window by its own 128-bit hash.
-    large = pieces_of(rows, repeated.where(f"NOT alone AND bytes > {HASH_BYTES}"))
-    windows = large.select("hash", "print", "n", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.octet_length("piece") - window),
-        lambda i: F.xxhash64(F.substring(F.col("piece"), i + 1, F.lit(window)), F.md5(F.substring(F.col("piece"), i + 1, F.lit(window)))))))
-    windows = windows.withColumnsRenamed({"pos": "first", "col": "of"})
-    often = windows.groupBy("hash", "of").agg(F.sum("n").alias("often")).where("often > 1").select("hash", "of")
-    counted = windows.join(often, ["hash", "of"], "left_semi").groupBy("hash", "print").agg(
-        F.collect_list(F.struct("first", F.col("first").alias("last"))).cast(RUNS).alias("runs"))
-    return alone.unionByName(ordered).unionByName(counted)
+    repeated = materialise(kinds.join(statuses(kinds), "hash"), "segment-repeats")
+    to_sort = repeated.where("status = 'sort'")
+    results = [
+        repeated.where("status = 'alone'").select("hash", "print", all_windows("size", window)),
+        sorted_pieces(pieces_of(rows, to_sort), to_sort.agg(F.sum("size")).first()[0] or 0, window)]
+
+    @F.pandas_udf(f"array<{PIECE}>")
+    def split(pieces: pd.Series, hashes: pd.Series, cores: pd.Series, sizes: pd.Series) -> pd.Series:
+        return pd.Series([split_piece(p, window, s, h, c) for p, h, c, s in zip(pieces, hashes, cores, sizes)], dtype=object)
+
+    to_split = repeated.where("status = 'split'")
+    if to_split.isEmpty():
+        return results[0].unionByName(results[1])
+    parts = pieces_of(rows, to_split).select(
+        F.struct("hash", "print").alias("root"), "n", F.lit(0).alias("offset"), "hash", F.lit(-1).alias("core"), "piece")
+    size = GRAM
+    while True:
+        cut = parts.select("root", "n", "offset", F.explode(split("piece", "hash", "core", F.lit(size))).alias("s"))
+        cut = materialise(cut.select("root", "n", (F.col("offset") + F.col("s.start")).alias("offset"), "s.hash", "s.print", "s.core", "s.piece"), "split-segments")
+        size += -(-(window - size) // 2)
+        # No window occurs twice within a part, as its core lies at one place.
+        kinds = cut.groupBy("hash", "print").agg(F.sum("n").alias("n"), F.first("piece").alias("piece"))
+        kinds = materialise(kinds.withColumns({"twice": F.lit(False), "size": F.octet_length("piece")}), "split-kinds")
+        status = small(materialise(statuses(kinds), "split-hashes"))
+        repeated = kinds.join(status, "hash")
+        to_sort = repeated.where("status = 'sort'")
+        settled = repeated.where("status = 'alone'").select("hash", "print", all_windows("size", window)).unionByName(
+            sorted_pieces(to_sort.select("hash", "print", "n", "piece"), to_sort.agg(F.sum("size")).first()[0] or 0, window))
+        moved = F.transform("runs", lambda r: F.struct((r["first"] + F.col("offset")).alias("first"), (r["last"] + F.col("offset")).alias("last")))
+        results.append(cut.join(settled, ["hash", "print"]).select("root.hash", "root.print", moved.cast(RUNS).alias("runs")))
+        parts = cut.join(status.where("status = 'split'"), "hash", "left_semi").drop("print")
+        if size >= window or parts.isEmpty():
+            return reduce(DataFrame.unionByName, results)
 
 
 def cut_out(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -188,7 +245,7 @@ def remove_passages(documents: DataFrame, window: int = WINDOW, doc_id: str = "d
     repeated = materialise(repeats(rows, found, window), "repeated-windows")
     hits = found.join(repeated, ["hash", "print"]).select("doc_id", "row", F.transform(
         "runs", lambda r: F.struct((F.col("start") + r["first"]).alias("start"), (F.col("start") + r["last"] + window).alias("end"))).alias("spans"))
-    per_row = hits.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    per_row = hits.groupBy("doc_id", "row").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     same = rows.row.eqNullSafe(per_row.row) & rows.doc_id.eqNullSafe(per_row.doc_id)
     joined = rows.join(per_row, same, "left").select(rows.doc_id, rows.text, per_row.spans)
 

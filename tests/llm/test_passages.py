@@ -32,8 +32,9 @@ def mosaic(seed):
     return texts + [None, "", "short", texts[0], prose(99, 400)]
 
 
-@pytest.mark.parametrize("seed, window, hash_bytes", [(1, 400, 16 << 20), (2, 150, 16 << 20), (3, 128, 16 << 20), (1, 400, 0), (2, 150, 0)])
+@pytest.mark.parametrize("seed, window, hash_bytes", [(1, 400, 16 << 20), (2, 150, 16 << 20), (3, 128, 16 << 20), (1, 400, 0), (2, 150, 0), (3, 128, 0)])
 def test_against_all_windows(spark, monkeypatch, seed, window, hash_bytes):
+    # Without room for a hash, every one with different segments is split to the end.
     monkeypatch.setattr(passages, "HASH_BYTES", hash_bytes)
     monkeypatch.setattr(passages, "TASK_BYTES", 20_000)
     texts = mosaic(seed)
@@ -73,6 +74,39 @@ def test_equal_windows_meet():
         assert covered == list(range(max(0, len(data) - passages.WINDOW + 1)))
 
 
+def test_split_pieces():
+    """After each step every window belongs to one part, and equal windows to parts of equal core."""
+    for window in (400, 151, 128):
+        owner: dict[tuple, tuple] = {}
+        for text in mosaic(6):
+            data = (text or "").encode()
+            for hash_, _, start, size, _ in passages.segments(data, window):
+                parts = [(hash_, b"", 0, -1, data[start : start + size])]
+                core = passages.GRAM
+                while core < window:
+                    parts = [(h, p, s0 + s, c, x) for h0, _, s0, c0, x0 in parts for h, p, s, c, x in passages.split_piece(x0, window, core, h0, c0)]
+                    core += -(-(window - core) // 2)
+                    starts = [s + i for _, _, s, _, x in parts for i in range(len(x) - window + 1)]
+                    assert starts == list(range(size - window + 1))
+                    for h, _, _, c, x in parts:
+                        for i in range(len(x) - window + 1):
+                            assert owner.setdefault((core, x[i : i + window]), (h, c - i)) == (h, c - i)
+                assert all(len(x) == window for *_, x in parts) or window == passages.GRAM
+
+
+def test_heavy_hash_in_little_memory(spark, monkeypatch):
+    """Thousands of near copies of a passage in different surroundings: split until every sort is small."""
+    monkeypatch.setattr(passages, "HASH_BYTES", 1 << 16)
+    monkeypatch.setattr(passages, "TASK_BYTES", 1 << 16)
+    passage = prose(11, 100)
+    texts = [prose(2_000 + i, 30) + passage[: 560 if i % 3 else 480] + prose(9_000 + i, 30) for i in range(600)]
+    got = passages.remove_passages(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got] == plain(texts, 400)
+    # The same pieces all at once, by the sort alone.
+    pieces = [t.encode() for t in texts[:60]]
+    assert [len(f) for f in repeated_windows(pieces, 400)] == [r[1] - 399 for r in plain(texts[:60], 400)]
+
+
 def test_edges(spark):
     docs = edge_documents(spark)
     got = passages.remove_passages(docs).collect()
