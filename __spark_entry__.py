@@ -22,7 +22,7 @@ from pairrank.functions.chunks import split_fixed, split_recursive
 from pairrank.functions.text import clean_id, safe_id
 from pairrank.functions.vectors import cosine
 from pairrank.models.embedders import HashingEmbedder
-from pairrank.operators import assignment, cleaning, membership, ranking, report, similarity, statistics, store
+from pairrank.operators import assignment, cleaning, membership, ranking, report, similarity, snapshots, statistics, store
 from pairrank.operators.embedding import embed_both, embed_table
 from pairrank.operators.extraction import extract_fields
 from pairrank.plans.matching import match_tables
@@ -447,6 +447,43 @@ def store_round_trip(spark, sf_dir):
     return cells(again, "doc_id")
 
 
+def new_store(spark) -> str:
+    return f"{checkpoint_folder(spark)}/pairrank/store-{materialise_id()}"
+
+
+def benchmark_entries(spark, sf_dir):
+    """Vectors of the benchmark's texts under ids that the given vectors have as well, one day later."""
+    passages = embed_table(table(spark, sf_dir, "benchmark"), "text", HashingEmbedder())
+    return store.as_entries(passages, "candidate", "item_id", "given").withColumn("updated_at", F.lit("2024-01-02 00:00:00").cast("timestamp"))
+
+
+def snapshot_merge(spark, sf_dir):
+    """The given vectors, then those of the benchmark merged in: the old version next to the new one."""
+    path = new_store(spark)
+    first = snapshots.merge(spark, given_entries(spark, sf_dir), path, buckets=16)
+    old = snapshots.read_snapshot(spark, path)
+    last = snapshots.merge(spark, benchmark_entries(spark, sf_dir), path)
+    return cells(old, F.lit(first).alias("version"), "entity_id").unionByName(
+        cells(snapshots.read_snapshot(spark, path), F.lit(last).alias("version"), "entity_id"))
+
+
+def snapshot_lookup(spark, sf_dir):
+    """Documents with the vector stored under their id, from a store that stays where it lies."""
+    path = new_store(spark)
+    snapshots.merge(spark, given_entries(spark, sf_dir), path, buckets=16)
+    documents = table(spark, sf_dir, "documents").select("doc_id")
+    return cells(snapshots.load_from_snapshot(documents, path, "candidate", "doc_id", "given"), "doc_id", "needs_embedding", outer=True)
+
+
+def snapshot_embedding(spark, sf_dir):
+    """The first half of the documents embedded by ranges of keys, then all of them: only the rest is embedded."""
+    path = new_store(spark)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    snapshots.embed_with_snapshots(documents.where("doc_id % 2 = 0"), "candidate", "doc_id", "text", HashingEmbedder(), path, buckets=16)
+    again = snapshots.embed_with_snapshots(documents, "candidate", "doc_id", "text", HashingEmbedder(), path)
+    return cells(again, "doc_id")
+
+
 def materialise_id() -> str:
     import uuid
 
@@ -528,6 +565,9 @@ def queries() -> dict[str, Query]:
         "store_counts": store_counts,
         "store_upsert": store_upsert,
         "store_round_trip": store_round_trip,
+        "snapshot_merge": snapshot_merge,
+        "snapshot_lookup": snapshot_lookup,
+        "snapshot_embedding": snapshot_embedding,
         "list_files": files,
         "latest_file": newest_file,
     }
@@ -730,4 +770,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT id::VARCHAR AS entity_id, i::INTEGER AS i, round(x, 6) + 0.0 AS v FROM m""",
         "store_round_trip": f"""WITH {hash_sql('c', 'documents', 'doc_id')}
             SELECT id AS doc_id, i::INTEGER AS i, round(x, 6) + 0.0 AS v FROM c_cells""",
+        "snapshot_merge": f"""WITH {hash_sql('c', 'benchmark', 'item_id')},
+            g AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+            m AS (SELECT 1 AS version, * FROM g UNION ALL SELECT 2, id, i, x FROM c_cells
+                  UNION ALL SELECT 2, * FROM g WHERE vec_id NOT IN (SELECT item_id FROM benchmark))
+            SELECT version::INTEGER AS version, vec_id::VARCHAR AS entity_id, i::INTEGER AS i, round(x, 6) + 0.0 AS v FROM m""",
+        "snapshot_lookup": """SELECT doc_id, vec_id IS NULL AS needs_embedding, i::INTEGER AS i, round(x, 6) + 0.0 AS v
+            FROM documents LEFT JOIN (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) ON vec_id = doc_id""",
+        "snapshot_embedding": f"""WITH {hash_sql('c', 'documents', 'doc_id')}
+            SELECT id AS doc_id, i::INTEGER AS i, round(x, 6) + 0.0 AS v FROM c_cells""",
     }
