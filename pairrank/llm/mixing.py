@@ -19,11 +19,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
+
+from pairrank.llm.expressions import small
+from pairrank.runtime import materialise
 
 # Largest period. It bounds the schedule table, and so what is broadcast.
 MAX_PERIOD = 10_000
 # Rows that one task orders at a time; a stream is spread over as many buckets as it needs.
 ROWS_PER_BUCKET = 1024
+# A bucket with so many times these rows holds a key that must be told apart.
+OVERFULL = 4
+# Buckets whose sizes one task adds up.
+BUCKETS_PER_GROUP = 1024
 RESULTS = ["stream", "block", "slot", "place", "full"]
 
 
@@ -62,6 +70,54 @@ def stream_of(source: Column, weights: dict[str, int]) -> Column:
     return F.coalesce(F.element_at(listed, source.cast("string")), F.lit(len(weights)))
 
 
+def named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def in_buckets(rows: DataFrame, buckets: Column) -> DataFrame:
+    """The rows with their ``bucket``: the first 32 bits of the order, scaled to the stream's number of buckets, so buckets follow the order."""
+    leading = F.coalesce(F.conv(F.substring("order", 1, 8), 16, 10).cast("long"), F.lit(0))
+    return rows.withColumn("bucket", F.floor(leading * F.get(buckets, F.col("stream")) / F.lit(2**32)))
+
+
+def without_hot_orders(rows: DataFrame, buckets: Column) -> DataFrame:
+    """The rows in buckets. An order that many rows share, and that overfills its bucket, is told apart by the rows
+    themselves, and where these are equal by their places in a written table."""
+    cells = [F.col("row." + "`" + f.name.replace("`", "``") + "`") for f in rows.schema["row"].dataType if not isinstance(f.dataType, MapType)]
+    for by_place in (False, True):
+        placed = in_buckets(rows, buckets)
+        full = placed.groupBy("stream", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > OVERFULL * ROWS_PER_BUCKET)
+        full = materialise(full.select("stream", "bucket"), "full-buckets")
+        if full.isEmpty():
+            return placed
+        counts = placed.join(small(full), ["stream", "bucket"], "left_semi").groupBy("stream", "order").agg(F.count("*").alias("n"))
+        hot = small(materialise(counts.where(F.col("n") > ROWS_PER_BUCKET).select("stream", "order"), "hot-orders"))
+        own = F.md5(F.concat_ws(":", "order", F.xxhash64(*cells)))
+        shared = rows.join(hot, ["stream", "order"], "left_semi")
+        if by_place:
+            shared = materialise(shared.withColumn("id", F.monotonically_increasing_id()), "equal-rows")
+            own = F.md5(F.concat_ws(":", "order", "id"))
+        told = shared.withColumn("order", own).select(*rows.columns)
+        rows = rows.join(hot, ["stream", "order"], "left_anti").select(*rows.columns).unionByName(told)
+    return in_buckets(rows, buckets)
+
+
+def sums_before(sums: DataFrame) -> DataFrame:
+    """Size and rows of a stream before each of its buckets: within groups of buckets, and over the groups."""
+    sums = sums.withColumn("group", F.floor(F.col("bucket") / BUCKETS_PER_GROUP))
+    groups = sums.groupBy("stream", "group").agg(F.sum("size").alias("size"), F.sum("n").alias("n"))
+
+    def running(by: Window, value: str) -> Column:
+        return F.coalesce(F.sum(value).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    over_groups = Window.partitionBy("stream").orderBy("group")
+    before = groups.select("stream", "group", running(over_groups, "size").alias("group_size"), running(over_groups, "n").alias("group_rows"))
+    within = Window.partitionBy("stream", "group").orderBy("bucket")
+    return sums.join(before, ["stream", "group"]).select(
+        "stream", "bucket", (F.col("group_size") + running(within, "size")).alias("size_before"),
+        (F.col("group_rows") + running(within, "n")).alias("rows_before"))
+
+
 def mix(
     documents: DataFrame, weights: dict[str, int], rest: int, block_size: int,
     source: str = "source", key: str = "doc_id", size: Column | None = None,
@@ -74,6 +130,10 @@ def mix(
     ``size`` counts 1 a row unless given (a null or negative size counts 0), so a very long
     text simply fills several blocks. ``place`` is the row's number within its stream.
 
+    Rows of a key that fills buckets of its own are shuffled by the md5 of key and row instead,
+    so that no task orders them all; rows that are equal in all columns and as many lie among
+    the others in no fixed order.
+
     Sources that ``weights`` does not list, null among them, form one stream of weight
     ``rest``. A null key sorts first; rows with equal keys keep some order among
     themselves and all stay. An empty table gives an empty result. Input columns that are
@@ -83,55 +143,47 @@ def mix(
         raise ValueError("block_size is at least 1")
     slots = period(documents.sparkSession, [*weights.values(), rest])
     total = sum(weights.values()) + rest
-    source, key = (F.col(f"`{c}`") for c in (source, key))
     given = F.lit(1) if size is None else size
+    # What the input holds stands in one column, so none of its names meets a working name.
     rows = documents.select(
-        *(F.col(f"`{c}`") for c in documents.columns if c not in RESULTS),
-        stream_of(source, weights).alias("__stream"),
-        F.coalesce(F.md5(key.cast("string")), F.lit("")).alias("__order"),
-        key.alias("__key"),
-        F.greatest(F.coalesce(given.cast("long"), F.lit(0)), F.lit(0)).cast("long").alias("__size"),
+        F.struct(*(named(c) for c in documents.columns if c not in RESULTS)).alias("row"),
+        stream_of(named(source), weights).alias("stream"),
+        F.coalesce(F.md5(named(key).cast("string")), F.lit("")).alias("order"),
+        named(key).alias("key"),
+        F.greatest(F.coalesce(given.cast("long"), F.lit(0)), F.lit(0)).cast("long").alias("size"),
     )
     # One row per stream, of which there are as many as weights.
-    totals = {r["__stream"]: r for r in rows.groupBy("__stream").agg(F.count("*").alias("n"), F.sum("__size").alias("size")).collect()}
+    totals = {r["stream"]: r for r in rows.groupBy("stream").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
     streams = range(len(weights) + 1)
     buckets = F.array(*(F.lit(totals[i].n // ROWS_PER_BUCKET + 1 if i in totals else 1) for i in streams))
-    # The first 32 bits of the md5, scaled to the number of buckets, so buckets follow the order.
-    leading = F.coalesce(F.conv(F.substring("__order", 1, 8), 16, 10).cast("long"), F.lit(0))
-    rows = rows.withColumn("__bucket", F.floor(leading * F.get(buckets, F.col("__stream")) / F.lit(2**32)))
-
-    sums = rows.groupBy("__stream", "__bucket").agg(F.sum("__size").alias("size"), F.count("*").alias("n"))
-    earlier = Window.partitionBy("__stream").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        "__stream", "__bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("__size_before"),
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__rows_before"),
-    )
-    inside = Window.partitionBy("__stream", "__bucket").orderBy("__order", "__key")
-    ahead = F.coalesce(F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = without_hot_orders(rows, buckets)
+    sums = rows.groupBy("stream", "bucket").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    inside = Window.partitionBy("stream", "bucket").orderBy("order", "key")
+    ahead = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = (
-        rows.withColumns({"__ahead": ahead, "__row": F.row_number().over(inside)})
-        .join(offsets, ["__stream", "__bucket"])
-        .withColumn("block", F.floor((F.col("__size_before") + F.col("__ahead")) / block_size))
-        .withColumn("place", F.col("__rows_before") + F.col("__row") - 1)
+        rows.withColumns({"ahead": ahead, "nth_row": F.row_number().over(inside)})
+        .join(sums_before(sums), ["stream", "bucket"])
+        .withColumn("block", F.floor((F.col("size_before") + F.col("ahead")) / block_size))
+        .withColumn("place", F.col("rows_before") + F.col("nth_row") - 1)
     )
     shares = F.array(*(F.lit(w).cast("long") for w in (*weights.values(), rest)))
 
     def slot_of(rows: DataFrame) -> DataFrame:
         """``slot`` of ``block``; H rows at most are broadcast."""
-        share = F.get(shares, F.col("__stream"))
-        at = slots.select(F.col("stream").alias("__stream"), F.col("nth").alias("__nth"), F.col("slot").alias("__at"))
+        share = F.get(shares, F.col("stream"))
+        at = slots.select("stream", "nth", F.col("slot").alias("at"))
         return (
-            rows.withColumn("__nth", F.col("block") % share)
-            .join(F.broadcast(at), ["__stream", "__nth"])
-            .withColumn("slot", F.floor(F.col("block") / share) * total + F.col("__at"))
+            rows.withColumn("nth", F.col("block") % share)
+            .join(F.broadcast(at), ["stream", "nth"])
+            .withColumn("slot", F.floor(F.col("block") / share) * total + F.col("at"))
         )
 
     # The slot that each stream's first missing block would have had; the earliest ends the full mixture.
     spent = [(i, -(-totals[i]["size"] // block_size) if i in totals else 0) for i in streams]
-    ends = slot_of(documents.sparkSession.createDataFrame(spent, "__stream int, block bigint"))
+    ends = slot_of(documents.sparkSession.createDataFrame(spent, "stream int, block bigint"))
     end = ends.agg(F.min("slot")).first()[0]
-    mixed = slot_of(placed).withColumn("full", F.col("slot") < end).withColumn("stream", F.col("__stream"))
-    return mixed.select(*(F.col(f"`{c}`") for c in documents.columns if c not in RESULTS), *RESULTS)
+    mixed = slot_of(placed).withColumn("full", F.col("slot") < end)
+    return mixed.select("row.*", *RESULTS)
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ from collections import Counter
 
 import pytest
 from cases import edge_documents, empty_documents
+from pyspark.sql import functions as F
 
 from pairrank.llm import mixing
 
@@ -45,6 +46,30 @@ def test_rows_stay_and_follow_the_schedule(spark, monkeypatch):
     assert all(r.full == (r.slot < end) for r in got)
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_a_hot_key_fills_no_bucket(spark, monkeypatch, same):
+    """Half of the rows share a null id: told apart by their texts, or, where these are equal too, by their places."""
+    monkeypatch.setattr(mixing, "BUCKETS_PER_GROUP", 5)
+    largest = []
+    real = mixing.sums_before
+
+    def watched(sums):
+        largest.append(max(r.n for r in sums.collect()))
+        return real(sums)
+
+    monkeypatch.setattr(mixing, "sums_before", watched)
+    text = F.lit("the same") if same else F.concat(F.lit("text "), "id")
+    docs = spark.range(60_000).select(
+        F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.lit("src0").alias("source"), text.alias("text"), F.lit(1).alias("`odd` name"))
+    got = mixing.mix(docs, {"src0": 2}, 1, 100).select("doc_id", "text", "stream", "block", "place").collect()
+    assert len(got) == 60_000 and sorted(r.place for r in got) == list(range(60_000)) and all(r.block == r.place // 100 for r in got)
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    assert largest and largest[0] <= 4 * mixing.ROWS_PER_BUCKET
+    # The rows of the hot key are shuffled among the others.
+    nulls = [r.place for r in got if r.doc_id is None]
+    assert sum(nulls) / len(nulls) == pytest.approx(30_000, rel=0.05)
+
+
 def test_edges(spark):
     docs = edge_documents(spark)
     got = mixing.mix(docs, {"src0": 1}, 1, 2)
