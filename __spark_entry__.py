@@ -22,7 +22,7 @@ from pairrank.functions.chunks import split_fixed, split_recursive
 from pairrank.functions.text import clean_id, safe_id
 from pairrank.functions.vectors import cosine
 from pairrank.models.embedders import HashingEmbedder
-from pairrank.operators import assignment, cleaning, membership, ranking, report, similarity, snapshots, statistics, store
+from pairrank.operators import assignment, cleaning, membership, pruning, ranking, report, similarity, snapshots, statistics, store
 from pairrank.operators.embedding import embed_both, embed_table
 from pairrank.operators.extraction import extract_fields
 from pairrank.plans.matching import match_tables
@@ -261,6 +261,16 @@ def filter_threshold(spark, sf_dir):
     return pairs.select("candidate_id", "job_id", "similarity")
 
 
+def pruned_threshold(spark, sf_dir):
+    pairs = pruning.pairs_above(*vectors(spark, sf_dir), THRESHOLD, decimals=DECIMALS)
+    return pairs.select("candidate_id", "job_id", "similarity")
+
+
+def pruned_matches(spark, sf_dir):
+    pairs = pruning.best_per_job(*vectors(spark, sf_dir), 5, decimals=DECIMALS)
+    return ranking.as_match_table(ranking.rank_candidates(pairs, 5))
+
+
 def positive_scores(spark, sf_dir):
     # The smallest positive number as the threshold: what is not above 0 never leaves its task.
     kept = similarity.pairs_above(*vectors(spark, sf_dir), float(np.nextafter(0, 1)), decimals=DECIMALS)
@@ -540,6 +550,8 @@ def queries() -> dict[str, Query]:
         "cosine_to_mean": cosine_to_mean,
         "mask_threshold": mask_threshold,
         "filter_threshold": filter_threshold,
+        "pruned_threshold": pruned_threshold,
+        "pruned_matches": pruned_matches,
         "positive_scores": positive_scores,
         "similarity_matrix": similarity_matrix,
         "matrix_listing": matrix_listing,
@@ -718,6 +730,8 @@ def oracle_sql() -> dict[str, str]:
             round(list_cosine_similarity(embedding::DOUBLE[], mean), 6) + 0.0 AS similarity FROM embeddings JOIN means USING (label)""",
         "mask_threshold": f"WITH {PAIRS} SELECT candidate_id, job_id, CASE WHEN similarity >= 0.3 THEN similarity END AS similarity FROM p",
         "filter_threshold": f"WITH {PAIRS} SELECT candidate_id, job_id, similarity FROM p WHERE similarity >= 0.3",
+        "pruned_threshold": f"WITH {PAIRS} SELECT candidate_id, job_id, similarity FROM p WHERE similarity >= 0.3",
+        "pruned_matches": f"""WITH {RANKED} SELECT job_id AS "Job", candidate_id AS "Candidate", similarity AS "Similarity", rank::INTEGER AS "Rank" FROM r""",
         "positive_scores": f"WITH {PAIRS} SELECT job_id, count(*) AS n FROM p WHERE similarity > 0 GROUP BY job_id",
         "similarity_matrix": f"WITH {LABEL_PAIRS} SELECT candidate_id, "
             + ", ".join(f"max(CASE WHEN job_id = 'label_{i}' THEN similarity END) AS label_{i}" for i in range(10))

@@ -75,7 +75,7 @@ def pair_similarity(candidates: DataFrame, jobs: DataFrame, **options) -> DataFr
 
 def pairs_above(candidates: DataFrame, jobs: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The pairs scoring at least ``threshold``; lower ones never leave the scoring task."""
-    return _score(candidates, jobs, lambda *a: _PairsAbove(threshold, *a), **options)
+    return _score(candidates, jobs, lambda *a: PairsAbove(threshold, *a), **options)
 
 
 def best_per_job(candidates: DataFrame, jobs: DataFrame, k: int, positive: bool = False, **options) -> DataFrame:
@@ -86,7 +86,7 @@ def best_per_job(candidates: DataFrame, jobs: DataFrame, k: int, positive: bool
     ``bar_job_position``, a pair must also score above its candidate's bar, or as high
     with a job position that is not higher.
     """
-    return _score(candidates, jobs, lambda *a: _BestPerJob(k, positive, *a), **options)
+    return _score(candidates, jobs, lambda *a: BestPerJob(k, positive, *a), **options)
 
 
 def threshold_mask(pairs: DataFrame, threshold: float = 0.5, score: str = "similarity") -> DataFrame:
@@ -140,13 +140,17 @@ def to_long(matrix: DataFrame, row: str = "candidate_id", column: str = "job_id"
 # --- distribution -----------------------------------------------------------
 
 
-def _score(candidates: DataFrame, jobs: DataFrame, collector: Callable, decimals: int | None = None,
-           small_side_bytes: int = SMALL_SIDE_BYTES, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    schema = T.StructType(
+def pair_schema(candidates: DataFrame, jobs: DataFrame) -> T.StructType:
+    return T.StructType(
         [T.StructField(f.name, f.dataType) for f in candidates.schema if f.name in CANDIDATE]
         + [T.StructField(f.name, f.dataType) for f in jobs.schema if f.name in JOB]
         + [T.StructField("similarity", T.DoubleType())]
     )
+
+
+def _score(candidates: DataFrame, jobs: DataFrame, collector: Callable, decimals: int | None = None,
+           small_side_bytes: int = SMALL_SIDE_BYTES, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    schema = pair_schema(candidates, jobs)
     bars = [c for c in BAR if c in candidates.columns]
     candidates = candidates.select(*CANDIDATE, "embedding", *bars)
     jobs = jobs.select(*JOB, "embedding")
@@ -232,8 +236,16 @@ def _by_cells(candidates, jobs, n_candidates, n_jobs, collector, decimals, schem
             other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_count - 1).cast("long")))
         )
 
+    left = copies(candidates, "down", down, "across", across)
+    right = copies(jobs, "across", across, "down", down)
+    return score_cells(left, right, partitions, collector, decimals, schema)
+
+
+def score_cells(candidates: DataFrame, jobs: DataFrame, partitions: int, collector: Callable, decimals: int | None, schema) -> DataFrame:
+    """What the collector finds where candidates and jobs share ``down`` and ``across``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The input of a cell is bounded by cell_bytes; its output is streamed.
+        # The input of a cell is bounded by its makers; its output is streamed.
         cell = pa.Table.from_batches(list(batches))
         is_job = pc.is_valid(cell.column(JOB[1]))
         left = cell.filter(pc.invert(is_job)).drop_columns([*JOB, "down", "across"])
@@ -243,14 +255,8 @@ def _by_cells(candidates, jobs, n_candidates, n_jobs, collector, decimals, schem
             yield from out.add(_Vectors(left))
             yield from out.finish()
 
-    left = copies(candidates, "down", down, "across", across)
-    right = copies(jobs, "across", across, "down", down)
-    return (
-        left.unionByName(right, allowMissingColumns=True)
-        .repartition(partitions, "down", "across")
-        .groupBy("down", "across")
-        .applyInArrow(run, schema)
-    )
+    both = candidates.unionByName(jobs, allowMissingColumns=True).repartition(partitions, "down", "across")
+    return both.groupBy("down", "across").applyInArrow(run, schema)
 
 
 # --- work inside a task -----------------------------------------------------
@@ -387,7 +393,7 @@ class _AllPairs(_Tiles):
             yield from self.batches(candidates, jobs, rows, tile.ravel())
 
 
-class _PairsAbove(_Tiles):
+class PairsAbove(_Tiles):
     def __init__(self, threshold: float, jobs: _Vectors, decimals: int | None):
         super().__init__(jobs, decimals)
         self.floor = np.full(len(jobs), float(threshold))
@@ -403,7 +409,7 @@ class _PairsAbove(_Tiles):
             yield from self.batches(candidates, jobs + here.start, rows + there.start, values)
 
 
-class _BestPerJob(_Tiles):
+class BestPerJob(_Tiles):
     """Running best ``k`` of each job over all candidates a task sees.
 
     An entry is kept if it beats the job's present ``k``-th entry by (score, then lower

@@ -164,7 +164,7 @@ def precision(request, monkeypatch):
 @settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(small, small, st.integers(1, 4), st.booleans(), st.integers(1, 9))
 def test_running_best_equals_sorting(precision, candidates, jobs, k, positive, batch):
-    out = sim._BestPerJob(k, positive, vectors(jobs), 6)
+    out = sim.BestPerJob(k, positive, vectors(jobs), 6)
     for start in range(0, len(candidates), batch):
         list(out.add(vectors(candidates[start:start + batch], start)))
     got = sorted((j, p) for b in out.finish() for j, p in zip(b["job_position"].to_pylist(), b["candidate_position"].to_pylist()))
@@ -183,7 +183,7 @@ def test_tiles_are_merged(precision, monkeypatch):
     monkeypatch.setattr(sim, "TILE_JOBS", 3)
     monkeypatch.setattr(sim, "TILE_CANDIDATES", 4)
     a, b = random_vectors(7, 50, copies=20), random_vectors(8, 10)
-    out = sim._BestPerJob(3, False, vectors(b), 6)
+    out = sim.BestPerJob(3, False, vectors(b), 6)
     list(out.add(vectors(a)))
     got = sorted((j, p) for x in out.finish() for j, p in zip(x["job_position"].to_pylist(), x["candidate_position"].to_pylist()))
     assert got == sorted((j, c) for j, c, _ in best(brute(a, b), 10, 3))
@@ -196,10 +196,10 @@ def test_single_precision_loses_no_pair(precision):
     scores = target.unit @ whole.unit.T
     # Thresholds right at, and one step above, a score that occurs.
     for threshold in (float(np.partition(scores.ravel(), -50)[-50]), 0.25):
-        out = sim._PairsAbove(threshold, target, 9)
+        out = sim.PairsAbove(threshold, target, 9)
         got = sum(x.num_rows for x in out.add(whole))
         assert got == np.count_nonzero(np.round(scores, 9) >= threshold)
-    out = sim._BestPerJob(5, False, target, None)
+    out = sim.BestPerJob(5, False, target, None)
     for start in range(0, 3000, 500):
         list(out.add(vectors(a[start:start + 500].tolist(), start)))
     got = sorted((j, p) for x in out.finish() for j, p in zip(x["job_position"].to_pylist(), x["candidate_position"].to_pylist()))
