@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairrank.functions.text import quoted
 from pairrank.runtime import ship
 
 # Fixed value: the white space that separates words (space, tab, LF, VT, FF, CR), as in
@@ -36,7 +37,24 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     Every operator starts with this, so further columns of the input, whatever their
     names, can clash with nothing.
     """
-    return df.select(*(F.col("`" + name.replace("`", "``") + "`").alias(working) for working, name in columns.items()))
+    return df.select(*(quoted(name).alias(working) for working, name in columns.items()))
+
+
+def columns_of(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of ``df``, whatever characters their names hold, but those named."""
+    return [quoted(c) for c in df.columns if c not in without]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The given names for working columns, each with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
 # A table of more rows than this is not broadcast.

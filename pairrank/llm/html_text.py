@@ -23,6 +23,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairrank.functions.text import quoted
+from pairrank.llm.expressions import columns_of
+
 WINDOW = 3
 # An area outside an article needs a window with this many characters, and with this share of the page's best.
 SURGE, SHARE = 80, 0.2
@@ -479,6 +482,6 @@ def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     text, has an empty text. Repeated rows are extracted each for itself. Input columns
     named text or n_chars are replaced.
     """
-    own = [F.col(f"`{c}`") for c in pages.columns if c not in ("text", "n_chars")]
-    found = pages.select(*own, extracted(F.col(f"`{html}`")).alias("text"))
+    own = columns_of(pages, "text", "n_chars")
+    found = pages.select(*own, extracted(quoted(html)).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))

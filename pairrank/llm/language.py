@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairrank.llm.expressions import pick
+from pairrank.functions.text import quoted
+from pairrank.llm.expressions import columns_of, pick, unused
 
 UNDETERMINED = "und"
 FEATURES = 1 << 14
@@ -191,6 +192,7 @@ def identify(documents: DataFrame, model: Model, text: str = "text") -> DataFram
     results. Input columns of those two names are replaced.
     """
     results = ["lang_pred", "score"]
-    own = [F.col(f"`{c}`") for c in documents.columns if c not in results]
-    found = documents.select(*own, predicted(model, documents, F.col(f"`{text}`")).alias("__found"))
-    return found.select(*own, *(F.col(f"__found.{c}").alias(c) for c in results))
+    own = columns_of(documents, *results)
+    name, = unused(documents, "found")
+    found = documents.select(*own, predicted(model, documents, quoted(text)).alias(name))
+    return found.select(*own, *(F.col(name)[c].alias(c) for c in results))

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairrank.functions.text import quoted
+from pairrank.llm.expressions import columns_of
 from pairrank.llm.minhash import hashed_words, mixed
 
 GRAM, SPAN = 3, 3
@@ -395,5 +397,5 @@ def scan_licenses(documents: DataFrame, templates: dict[str, list[str]] = TEMPLA
     """
     if not 0 < coverage <= 1:
         raise ValueError("coverage is above 0 and at most 1")
-    own = [F.col(f"`{c}`") for c in documents.columns if c != "matches"]
-    return documents.select(*own, scanned(F.col(f"`{text}`"), Index(templates), coverage).alias("matches"))
+    own = columns_of(documents, "matches")
+    return documents.select(*own, scanned(quoted(text), Index(templates), coverage).alias("matches"))

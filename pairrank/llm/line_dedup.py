@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairrank.llm.expressions import pick
+from pairrank.functions.text import quoted
+from pairrank.llm.expressions import columns_of, pick, unused
 from pairrank.runtime import materialise
 
 # Lines with fewer characters are only compared exactly: one edit makes another word of a short line.
@@ -158,19 +159,19 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, doc_id: str =
     first = lines.groupBy("id").agg(F.min("at").alias("at"))
     near = materialise(near_copies(lines, min_chars), "near-lines")
     staying = first.join(near.select("id"), "id", "left_anti")
-    per_row = staying.groupBy("at.doc_id", "at.row").agg(F.collect_list("at.n").alias("__kept")).select(
-        F.col("doc_id").alias("__doc"), F.col("row").alias("__hash"), "__kept")
-    own = [c for c in documents.columns if c not in ("n_lines", "n_kept")]
-    rows = documents.select(*(F.col(f"`{c}`") for c in own))
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("__hash"))
-    joined = rows.join(per_row, same, "left").withColumn("__lines", F.split(F.col(f"`{text}`"), "\n"))
+    doc, hashed, kept, split, cut = unused(documents, "doc", "hash", "kept", "lines", "cut")
+    per_row = staying.groupBy("at.doc_id", "at.row").agg(F.collect_list("at.n").alias(kept)).select(
+        F.col("doc_id").alias(doc), F.col("row").alias(hashed), kept)
+    rows = documents.select(*columns_of(documents, "n_lines", "n_kept"))
+    same = quoted(doc_id).eqNullSafe(F.col(doc)) & (F.xxhash64(quoted(text)) == F.col(hashed))
+    joined = rows.join(per_row, same, "left").withColumn(split, F.split(quoted(text), "\n"))
     blank = F.filter(
-        F.transform("__lines", lambda line, i: F.when(~line.rlike("[^ \t-\r]"), i)), lambda i: i.isNotNull())
-    stay = F.sort_array(F.concat(blank, F.coalesce("__kept", F.array().cast("array<int>"))))
+        F.transform(split, lambda line, i: F.when(~line.rlike("[^ \t-\r]"), i)), lambda i: i.isNotNull())
+    stay = F.sort_array(F.concat(blank, F.coalesce(kept, F.array().cast("array<int>"))))
     counted = joined.withColumns({
-        "n_lines": F.coalesce(F.size("__lines") - F.size(blank), F.lit(0)).cast("long"),
-        "n_kept": F.coalesce(F.size("__kept"), F.lit(0)).cast("long"),
-        "__text": F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"),
+        "n_lines": F.coalesce(F.size(split) - F.size(blank), F.lit(0)).cast("long"),
+        "n_kept": F.coalesce(F.size(kept), F.lit(0)).cast("long"),
+        cut: F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n"),
     })
     return counted.select(
-        *(F.col("__text").alias(text) if c == text else F.col(f"`{c}`") for c in own), "n_lines", "n_kept")
+        *(F.col(cut).alias(text) if c == text else quoted(c) for c in rows.columns), "n_lines", "n_kept")

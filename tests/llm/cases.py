@@ -9,7 +9,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHES = (
     "row hash key stream slot block place full size node words n at id line print spans items near stratum score kept n_lines "
     "n_words lang_pred matches members registers root s b doc order rank spans_ position term count "
-    "bucket group id nth nth_row at ahead ids word form vec shard chars __stream __order __at __bucket __key __size"
+    "bucket group id nth nth_row at ahead ids word form vec shard chars __stream __order __at __bucket __key __size "
+    "__kept __doc __lines __text __hash __found __row doc doc_ lines cut found row_id row_id_ a.b back`quote"
 ).split()
 
 
