@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairrank.llm import decontamination, language, line_dedup, minhash, mixing
 from pairrank.llm import queries as Q
-from pairrank.llm.expressions import table
+from pairrank.llm.expressions import columns_of, table, unused
 from pairrank.runtime import materialise
 
 # Language ID rejects a text without letters, and one whose best language has a lower score.
@@ -19,33 +19,35 @@ LEAST_SCORE = 0.5
 NEAR_PERCENT = 80
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__row``, which only rows that are equal in all columns share.
+def identified(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with an identity, which only rows that are equal in all columns share, and the identity's name.
 
     It sorts by doc_id, null last; then come hashes of the text and of the whole row, in
     which a null differs from an empty cell.
     """
-    cells = [F.col(f"`{c}`") for c in docs.columns]
+    cells = columns_of(docs)
+    name, = unused(docs, "row_id")
     whole = F.xxhash64(F.lit(1), *cells, *(c.isNull() for c in cells))
-    return docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), whole.alias("whole")))
+    identity = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), whole.alias("whole"))
+    return docs.withColumn(name, identity), name
 
 
-def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """The identified ``rows`` whose ``__row`` is not the doc_id of a row of ``gone``."""
-    return rows.join(gone.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti")
+def without(rows: DataFrame, row_id: str, gone: DataFrame) -> DataFrame:
+    """The identified ``rows`` whose identity is not the doc_id of a row of ``gone``."""
+    return rows.join(gone.select(F.col("doc_id").alias(row_id)).distinct(), row_id, "left_anti")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognisable language. The model learns outside the holdout, as in op4."""
     model, _ = Q.learned_language(docs)
     found = language.identify(docs, model)
-    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*columns_of(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines, n_chars counted anew; a document of which no line stays goes."""
     cut = line_dedup.dedup_lines(docs).where("n_kept > 0")
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*columns_of(docs))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,21 +57,21 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A row without an id stays only where no other of its group has one. Rows without words
     are in no group and all stay.
     """
-    rows = identified(docs)
-    found = materialise(minhash.near_duplicates(rows, percent=NEAR_PERCENT, doc_id="__row"), "near-duplicates")
-    staying = without(rows, found.where("NOT kept"))
+    rows, row_id = identified(docs)
+    found = materialise(minhash.near_duplicates(rows, percent=NEAR_PERCENT, doc_id=row_id), "near-duplicates")
+    staying = without(rows, row_id, found.where("NOT kept"))
     # Only the rows that repeat are grouped, not all texts.
-    copies = found.where("kept AND n_shingles > 0").groupBy(F.col("doc_id").alias("__row")).agg(F.count("*").alias("n")).where("n > 1")
-    copies = materialise(copies.select("__row"), "equal-rows")
-    once = staying.join(copies, "__row", "left_semi").dropDuplicates(["__row"])
-    return staying.join(copies, "__row", "left_anti").unionByName(once).select(*docs.columns)
+    copies = found.where("kept AND n_shingles > 0").groupBy(F.col("doc_id").alias(row_id)).agg(F.count("*").alias("n")).where("n > 1")
+    copies = materialise(copies.select(row_id), "equal-rows")
+    once = staying.join(copies, row_id, "left_semi").dropDuplicates([row_id])
+    return staying.join(copies, row_id, "left_anti").unionByName(once).select(*columns_of(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    rows = identified(docs)
-    found = decontamination.find_benchmark(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return without(rows, found.where(F.size("spans") > 0)).select(*docs.columns)
+    rows, row_id = identified(docs)
+    found = decontamination.find_benchmark(rows.select(F.col(row_id).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without(rows, row_id, found.where(F.size("spans") > 0)).select(*columns_of(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
