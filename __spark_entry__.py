@@ -30,6 +30,7 @@ from pairrank.runtime import checkpoint_folder, materialise, ship, spread
 from pairrank.sinks import save_results, write_csv
 from pairrank.sources.documents import with_text
 from pairrank.sources.files import latest_file, list_files
+from pairrank.sources.large_csv import read_large_csv
 from pairrank.sources.tables import read_csv, rows_as_text, with_position
 
 # The training-data operators and their pipeline are one removable part of the library.
@@ -293,6 +294,16 @@ def heatmap_cells(spark, sf_dir):
     return report.heatmap_cells(*vectors(spark, sf_dir), decimals=DECIMALS)
 
 
+def binned_heatmap(spark, sf_dir, **options):
+    """All pairs of vectors as a grid of 20 x 15 cells."""
+    return report.binned_heatmap(*vectors(spark, sf_dir), y_bins=20, x_bins=15, decimals=DECIMALS, **options)
+
+
+def binned_heatmap_cells(spark, sf_dir):
+    """The same through the grid of two large sides."""
+    return binned_heatmap(spark, sf_dir, small_side_bytes=0)
+
+
 def top_matches(spark, sf_dir):
     return ranking.as_match_table(top_five(spark, sf_dir))
 
@@ -392,6 +403,15 @@ def csv_round_trip(spark, sf_dir):
     return with_position(read_csv(spark, path)).select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "position")
 
 
+def csv_large_round_trip(spark, sf_dir):
+    """The same through the reader that cuts quoted files by splits."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    path = f"{checkpoint_folder(spark)}/pairrank/documents-{materialise_id()}"
+    write_csv(documents.repartitionByRange(2, "doc_id").sortWithinPartitions("doc_id"), path)
+    read = read_large_csv(spark, path, position="position")
+    return read.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "position")
+
+
 def save_results_round_trip(spark, sf_dir):
     """Every vector scored against the label means, saved, and the wide CSV read back."""
     people = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
@@ -557,6 +577,8 @@ def queries() -> dict[str, Query]:
         "matrix_listing": matrix_listing,
         "matrix_to_long": matrix_to_long,
         "heatmap_cells": heatmap_cells,
+        "binned_heatmap": binned_heatmap,
+        "binned_heatmap_cells": binned_heatmap_cells,
         "top_matches": top_matches,
         "top_matches_head": top_matches_head,
         "match_listing": match_listing,
@@ -570,6 +592,7 @@ def queries() -> dict[str, Query]:
         "greedy_assign": greedy_assign,
         "assign_contested": assign_contested,
         "csv_round_trip": csv_round_trip,
+        "csv_large_round_trip": csv_large_round_trip,
         "save_results_round_trip": save_results_round_trip,
         "store_point_lookup": store_point_lookup,
         "store_lookup": store_lookup,
@@ -595,6 +618,15 @@ PAIRS = """p AS (
          round(list_cosine_similarity(c.embedding::DOUBLE[], j.embedding::DOUBLE[]), 6) + 0.0 AS similarity
   FROM embeddings c CROSS JOIN embeddings j)"""
 
+BINNED = f"""WITH {PAIRS}, o AS (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS many FROM embeddings)
+  SELECT c.place * 20 // c.many AS y, j.place * 15 // j.many AS x, count(*) AS n,
+         sum(round(similarity * 1000000)::BIGINT)::DOUBLE / count(*) / 1000000.0::DOUBLE AS mean, max(similarity) AS highest
+  FROM p JOIN o c ON c.vec_id = candidate_id JOIN o j ON j.vec_id = job_id GROUP BY ALL"""
+
+FILE_ORDER = """SELECT doc_id::VARCHAR AS doc_id, md5(text) AS text_md5, lang, source,
+  row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents"""
+
 RANKED = PAIRS + """, r AS (
   SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY similarity DESC, candidate_id) AS rank
   FROM p QUALIFY rank <= 5)"""
@@ -743,6 +775,8 @@ def oracle_sql() -> dict[str, str]:
         "heatmap_cells": f"""WITH {PAIRS}, o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM embeddings)
             SELECT candidate_id, c.n AS y, job_id, j.n AS x, similarity FROM p
             JOIN o c ON c.vec_id = candidate_id JOIN o j ON j.vec_id = job_id""",
+        "binned_heatmap": BINNED,
+        "binned_heatmap_cells": BINNED,
         "top_matches": f"""WITH {RANKED} SELECT job_id AS "Job", candidate_id AS "Candidate", similarity AS "Similarity", rank::INTEGER AS "Rank" FROM r""",
         "top_matches_head": f"""WITH {RANKED} SELECT job_id AS "Job", candidate_id AS "Candidate", similarity AS "Similarity", rank::INTEGER AS "Rank"
             FROM r ORDER BY job_id, rank LIMIT 10""",
@@ -771,8 +805,8 @@ def oracle_sql() -> dict[str, str]:
             + " FROM p JOIN embeddings ON vec_id = candidate_id GROUP BY candidate_id",
         "store_point_lookup": """SELECT vec_id::VARCHAR AS entity_id, unnest(range(len(embedding)))::INTEGER AS i,
             round(unnest(embedding)::DOUBLE, 6) + 0.0 AS v FROM embeddings WHERE vec_id = 7""",
-        "csv_round_trip": """SELECT doc_id::VARCHAR AS doc_id, md5(text) AS text_md5, lang, source,
-            row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents""",
+        "csv_round_trip": FILE_ORDER,
+        "csv_large_round_trip": FILE_ORDER,
         "store_lookup": """SELECT doc_id, vec_id IS NULL AS needs_embedding, i::INTEGER AS i, round(x, 6) + 0.0 AS v
             FROM documents LEFT JOIN (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) ON vec_id = doc_id""",
         "store_pending": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",

@@ -40,6 +40,8 @@ TILE_JOBS = 512
 ROWS_PER_BATCH = 1 << 16
 # Jobs that are scored together; their tile stays in the processor's cache.
 JOBS_AT_ONCE = 16
+# Cells of a grid that a task keeps and emits at most.
+MAX_BINS = 1 << 20
 # The single-precision product pays where at most one pair in this many survives it.
 SINGLE_PRECISION_BELOW = 16
 # From this many pairs on, a streamed side that sits in few tasks is spread first.
@@ -89,6 +91,20 @@ def best_per_job(candidates: DataFrame, jobs: DataFrame, k: int, positive: bool
     return _score(candidates, jobs, lambda *a: BestPerJob(k, positive, *a), **options)
 
 
+def binned_scores(candidates: DataFrame, jobs: DataFrame, y_bins: int, x_bins: int, n_candidates: int, n_jobs: int,
+                  decimals: int = 9, **options) -> DataFrame:
+    """All pairs counted into a grid: ``y, x, n, total, highest``, several rows per cell.
+
+    Positions must number each side 0, 1, 2, ...; a side is cut into bins of equally many
+    places. ``total`` is in units of the last decimal, a whole number, so it does not depend on
+    the plan. Scores that are no number are not counted. A task emits at most the grid.
+    """
+    if y_bins < 1 or x_bins < 1 or y_bins * x_bins > MAX_BINS:
+        raise ValueError(f"the grid has 1 to {MAX_BINS} cells")
+    schema = T.StructType.fromDDL("y long, x long, n long, total long, highest double")
+    return _score(candidates, jobs, lambda *a: BinnedScores(y_bins, x_bins, n_candidates, n_jobs, *a), decimals, schema=schema, **options)
+
+
 def threshold_mask(pairs: DataFrame, threshold: float = 0.5, score: str = "similarity") -> DataFrame:
     """Keep every pair but blank the scores below ``threshold`` (NaN never passes)."""
     return pairs.withColumn(score, F.when(_reaches(score, threshold), F.col(score)))
@@ -149,8 +165,9 @@ def pair_schema(candidates: DataFrame, jobs: DataFrame) -> T.StructType:
 
 
 def _score(candidates: DataFrame, jobs: DataFrame, collector: Callable, decimals: int | None = None,
-           small_side_bytes: int = SMALL_SIDE_BYTES, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    schema = pair_schema(candidates, jobs)
+           small_side_bytes: int = SMALL_SIDE_BYTES, cell_bytes: int = CELL_BYTES,
+           schema: T.StructType | None = None) -> DataFrame:
+    schema = schema or pair_schema(candidates, jobs)
     bars = [c for c in BAR if c in candidates.columns]
     candidates = candidates.select(*CANDIDATE, "embedding", *bars)
     jobs = jobs.select(*JOB, "embedding")
@@ -409,6 +426,44 @@ class PairsAbove(_Tiles):
             yield from self.batches(candidates, jobs + here.start, rows + there.start, values)
 
 
+class BinnedScores(_Tiles):
+    """Number, sum and maximum of the scores in each cell of a grid. Memory is the grid."""
+
+    def __init__(self, y_bins: int, x_bins: int, n_candidates: int, n_jobs: int, jobs: _Vectors, decimals: int):
+        super().__init__(jobs, decimals)
+        self.y_bins, self.n_candidates = y_bins, n_candidates
+        self.x = jobs.positions * x_bins // n_jobs
+        self.n = np.zeros((x_bins, y_bins), np.int64)
+        self.total = np.zeros((x_bins, y_bins), np.int64)
+        self.highest = np.full((x_bins, y_bins), -np.inf)
+
+    def add(self, candidates: _Vectors):
+        bins = candidates.positions * self.y_bins // self.n_candidates
+        for here, there in self.tiles(candidates):
+            tile = self.scores(candidates, here, there)
+            known = ~np.isnan(tile)
+            units = np.rint(np.where(known, tile, 0.0) * 10.0**self.decimals).astype(np.int64)
+            # Positions rise, so equal bins lie side by side.
+            x, y = self.x[here], bins[there]
+            left, top = (np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) for b in (x, y))
+            at = np.ix_(x[left], y[top])
+            self.n[at] += _blocks(np.add, known.astype(np.int64), left, top)
+            self.total[at] += _blocks(np.add, units, left, top)
+            self.highest[at] = np.maximum(self.highest[at], _blocks(np.maximum, np.where(known, tile, -np.inf), left, top))
+        return iter(())
+
+    def finish(self):
+        x, y = np.nonzero(self.n)
+        for start in range(0, len(x), ROWS_PER_BATCH):
+            at = x[start:start + ROWS_PER_BATCH], y[start:start + ROWS_PER_BATCH]
+            columns = at[1], at[0], self.n[at], self.total[at], self.highest[at]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["y", "x", "n", "total", "highest"])
+
+
+def _blocks(combine: np.ufunc, tile: np.ndarray, left: np.ndarray, top: np.ndarray) -> np.ndarray:
+    return combine.reduceat(combine.reduceat(tile, left, axis=0), top, axis=1)
+
+
 class BestPerJob(_Tiles):
     """Running best ``k`` of each job over all candidates a task sees.
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,29 @@ def test_category_axis_and_spans(spark):
     assert spans == {"Uncategorized": (0, 2, 1.0), "a": (3, 3, 3.0), "b": (4, 5, 4.5)}
 
 
+@pytest.mark.parametrize("options", [{}, {"small_side_bytes": 0, "cell_bytes": 400}])
+def test_binned_heatmap(spark, options):
+    draw = random.Random(3)
+    people = [(f"p{i}", 3 * i, [draw.gauss(0, 1) for _ in range(4)]) for i in range(53)]
+    people[7] = ("p7", 21, [float("nan")] * 4)
+    jobs = [(f"j{i}", 100 - i, [draw.gauss(0, 1) for _ in range(4)]) for i in range(17)]
+    schema = "id string, pos long, embedding array<double>"
+    c = as_candidates(spark.createDataFrame(people, schema).repartition(3), "id", "pos")
+    j = as_jobs(spark.createDataFrame(jobs, schema), "id", "pos")
+    categories = spark.createDataFrame([(f"j{i}", "ab"[i % 2]) for i in range(10)], "job_id string, category string")
+    for grouped in (None, categories):
+        cells = (report.heatmap_cells(c, j, decimals=5) if grouped is None else report.category_heatmap(c, j, grouped, decimals=5)[0]).collect()
+        want = {}
+        for r in cells:
+            if r.similarity == r.similarity:
+                want.setdefault((r.y * 6 // 53, r.x * 20 // 17), []).append(r.similarity)
+        got = {(r.y, r.x): (r.n, r.mean, r.highest) for r in report.binned_heatmap(c, j, 6, 20, 5, grouped, **options).collect()}
+        assert got == {k: (len(v), pytest.approx(sum(v) / len(v), abs=1e-12), max(v)) for k, v in want.items()}
+    with pytest.raises(ValueError):
+        report.binned_heatmap(c, j, 0)
+    assert report.binned_heatmap(c.where("candidate_position < 0"), j).count() == 0
+
+
 def test_heatmaps_and_dashboard(spark, ranked, tmp_path):
     schema = "id string, pos long, embedding array<double>"
     c = as_candidates(spark.createDataFrame([("p", 5, [1.0, 0.0]), ("q", 2, [0.0, 1.0])], schema), "id", "pos")
