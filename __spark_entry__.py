@@ -27,10 +27,10 @@ from pairrank.operators.embedding import embed_both, embed_table
 from pairrank.operators.extraction import extract_fields
 from pairrank.plans.matching import match_tables
 from pairrank.runtime import checkpoint_folder, materialise, ship, spread
-from pairrank.sinks import save_results, write_csv
+from pairrank.sinks import save_results, write_csv, write_wide_matrix
 from pairrank.sources.documents import with_text
 from pairrank.sources.files import latest_file, list_files
-from pairrank.sources.large_csv import read_large_csv
+from pairrank.sources.large_csv import read_large_csv, read_wide_matrix
 from pairrank.sources.tables import read_csv, rows_as_text, with_position
 
 # The training-data operators and their pipeline are one removable part of the library.
@@ -426,6 +426,14 @@ def save_results_round_trip(spark, sf_dir):
     return listed.join(matrix, S.NAME).withColumnRenamed(S.NAME, "name")
 
 
+def wide_matrix_round_trip(spark, sf_dir):
+    """Every vector a row and a column of the wide CSV, read back in long form."""
+    people, jobs = vectors(spark, sf_dir)
+    folder = f"{checkpoint_folder(spark)}/pairrank/wide-{materialise_id()}"
+    pairs = materialise(similarity.pair_similarity(people, jobs, decimals=DECIMALS), "pairs")
+    return read_wide_matrix(spark, write_wide_matrix(pairs, jobs, folder))
+
+
 # --- vector store -----------------------------------------------------------------
 
 
@@ -594,6 +602,7 @@ def queries() -> dict[str, Query]:
         "csv_round_trip": csv_round_trip,
         "csv_large_round_trip": csv_large_round_trip,
         "save_results_round_trip": save_results_round_trip,
+        "wide_matrix_round_trip": wide_matrix_round_trip,
         "store_point_lookup": store_point_lookup,
         "store_lookup": store_lookup,
         "store_pending": store_pending,
@@ -807,6 +816,9 @@ def oracle_sql() -> dict[str, str]:
             round(unnest(embedding)::DOUBLE, 6) + 0.0 AS v FROM embeddings WHERE vec_id = 7""",
         "csv_round_trip": FILE_ORDER,
         "csv_large_round_trip": FILE_ORDER,
+        "wide_matrix_round_trip": f"""WITH {PAIRS}, o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings)
+            SELECT place AS candidate_position, candidate_id::VARCHAR AS candidate_id, job_id::VARCHAR AS job_id, similarity
+            FROM p JOIN o ON vec_id = candidate_id""",
         "store_lookup": """SELECT doc_id, vec_id IS NULL AS needs_embedding, i::INTEGER AS i, round(x, 6) + 0.0 AS v
             FROM documents LEFT JOIN (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) ON vec_id = doc_id""",
         "store_pending": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",

@@ -1,0 +1,58 @@
+import pytest
+from pyspark.sql import functions as F
+
+from pairrank.operators.similarity import CANDIDATE, JOB
+from pairrank.schemas import NAME
+from pairrank.sinks import write_wide_matrix
+from pairrank.sources.large_csv import read_wide_matrix
+from pairrank.sources.tables import read_csv
+
+SCHEMA = "candidate_id string, candidate_position long, job_id string, job_position long, similarity double"
+
+
+def jobs_table(spark, titles):
+    return spark.createDataFrame([(t, 10 * i) for i, t in enumerate(titles)], "job_id string, job_position long")
+
+
+def test_small_matrix(spark, tmp_path):
+    titles = ["cook", 'a "b", c', "two\nlines", "last"]
+    rows = [('Ann, "A"', 5, titles[1], 10, 0.5), ('Ann, "A"', 5, titles[2], 20, -0.25), ("Bo", 2, "cook", 0, 1.0),
+            ("Bo", 2, "last", 30, None), ("Bo", 7, "last", 30, 1e-9), ("x\ny", 8, "cook", 0, 0.125)]
+    path = write_wide_matrix(spark.createDataFrame(rows, SCHEMA), jobs_table(spark, titles), str(tmp_path / "wide.csv"))
+    plain = read_csv(spark, path)
+    assert plain.columns == [NAME, *titles]
+    assert sorted(tuple(r) for r in plain.fillna("").collect()) == sorted([
+        ("Bo", "1.0", "", "", ""), ('Ann, "A"', "", "0.5", "-0.25", ""), ("Bo", "", "", "", "1.0E-9"), ("x\ny", "0.125", "", "", "")])
+    place = {2: 0, 5: 1, 7: 2, 8: 3}
+    got = sorted(tuple(r) for r in read_wide_matrix(spark, path).collect())
+    assert got == sorted((place[p], c, j, s) for c, p, j, _, s in rows if s is not None)
+
+
+def test_refused(spark, tmp_path):
+    one = [("Bo", 2, "cook", 0, 1.0)]
+    path = str(tmp_path / "wide.csv")
+    with pytest.raises(Exception, match="not listed"):
+        write_wide_matrix(spark.createDataFrame(one, SCHEMA), jobs_table(spark, ["maid"]).withColumn("job_position", F.lit(4).cast("long")), path)
+    with pytest.raises(Exception, match="several scores"):
+        write_wide_matrix(spark.createDataFrame(one * 2, SCHEMA), jobs_table(spark, ["cook"]), path)
+    with pytest.raises(ValueError, match="twice"):
+        write_wide_matrix(spark.createDataFrame(one, SCHEMA), jobs_table(spark, ["cook", "cook"]), path)
+
+
+def test_no_pairs(spark, tmp_path):
+    path = write_wide_matrix(spark.createDataFrame([], SCHEMA), jobs_table(spark, ["cook"]), str(tmp_path / "wide.csv"))
+    assert read_csv(spark, path).columns == [NAME, "cook"]
+    assert read_wide_matrix(spark, path).count() == 0
+
+
+def test_wide(spark, tmp_path, plan):
+    """50,000 columns, many times what a pivot allows."""
+    jobs = spark.range(50_000).select(F.concat(F.lit("j"), "id").alias(JOB[0]), F.col("id").alias(JOB[1]))
+    people = spark.range(6).select(F.concat(F.lit("p"), "id").alias(CANDIDATE[0]), F.col("id").alias(CANDIDATE[1]))
+    pairs = people.join(jobs, F.col(CANDIDATE[1]) <= F.col(JOB[1])).withColumn("similarity", (F.col(JOB[1]) * 8 + F.col(CANDIDATE[1])) / 2.0)
+    pairs = pairs.where("job_position % 7 != 3")
+    path = write_wide_matrix(pairs, jobs, str(tmp_path / "wide.csv"))
+    back = read_wide_matrix(spark, path)
+    both = back.join(pairs.select(*CANDIDATE, JOB[0], F.col("similarity").alias("want")), [*CANDIDATE, JOB[0]], "full")
+    assert both.where("NOT (similarity <=> want)").count() == 0
+    assert back.count() == pairs.count() > 250_000
