@@ -103,12 +103,16 @@ def labelled(spark, sf_dir):
     return documents.join(table(spark, sf_dir, "labels"), "doc_id", "left")
 
 
+def label_titles(people):
+    """The job of each label, up to one more than a wide table may hold, which then raises."""
+    limit = int(people.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000")) + 1
+    return [f"label_{r.label}" for r in people.select("label").distinct().orderBy("label").limit(limit).collect()]
+
+
 def label_matrix(spark, sf_dir, decimals=DECIMALS):
     candidates, _ = vectors(spark, sf_dir)
     pairs = similarity.pair_similarity(candidates, label_jobs(spark, sf_dir), decimals=decimals)
-    # One row per label, so the list of columns is as long as the wide table may be anyway.
-    labels = table(spark, sf_dir, "embeddings").select("label").distinct().orderBy("label").collect()
-    return similarity.to_matrix(pairs, [f"label_{r.label}" for r in labels])
+    return similarity.to_matrix(pairs, label_titles(table(spark, sf_dir, "embeddings")))
 
 
 # --- text operators -------------------------------------------------------------
@@ -416,7 +420,7 @@ def save_results_round_trip(spark, sf_dir):
     """Every vector scored against the label means, saved, and the wide CSV read back."""
     people = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     jobs = label_means(spark, sf_dir).withColumn("job", F.concat(F.lit("label_"), F.col("label")))
-    titles = [f"label_{r.label}" for r in people.select("label").distinct().orderBy("label").collect()]
+    titles = label_titles(people)
     candidates, _ = vectors(spark, sf_dir)
     pairs = similarity.pair_similarity(candidates, label_jobs(spark, sf_dir), decimals=DECIMALS)
     folder = f"{checkpoint_folder(spark)}/pairrank/results-{materialise_id()}"

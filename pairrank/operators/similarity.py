@@ -32,7 +32,8 @@ JOB = ("job_id", "job_position")
 BAR = ("bar", "bar_job_position")
 
 SMALL_SIDE_BYTES = 32 << 20
-CELL_BYTES = 64 << 20
+# Of one side of a cell, as doubles. A worker holds some twelve times that, the other side included.
+CELL_BYTES = 16 << 20
 # Partitions of the grid, in multiples of the session's shuffle partitions.
 CELL_PARTITIONS = 16
 TILE_CANDIDATES = 2048
@@ -40,6 +41,8 @@ TILE_JOBS = 512
 ROWS_PER_BATCH = 1 << 16
 # Jobs that are scored together; their tile stays in the processor's cache.
 JOBS_AT_ONCE = 16
+# Vectors of either side that are copied out at once to score single pairs.
+GATHERED_BYTES = 4 << 20
 # Cells of a grid that a task keeps and emits at most.
 MAX_BINS = 1 << 20
 # The single-precision product pays where at most one pair in this many survives it.
@@ -301,7 +304,8 @@ class _Vectors:
         matrix = matrix.reshape(len(sizes), -1)
         norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
         norms[norms == 0.0] = 1.0
-        self.unit = matrix / norms[:, None]
+        matrix /= norms[:, None]
+        self.unit = matrix
         self.single = self.unit.astype(np.float32)
         self.has_nan = not np.isfinite(norms).all()
         self.bar = None
@@ -374,10 +378,14 @@ class _Tiles:
         if np.count_nonzero(maybe) * SINGLE_PRECISION_BELOW > maybe.size:
             return None
         jobs, rows = _places(maybe)
-        left, right = (np.ascontiguousarray(x.T) for x in (self.jobs.unit[here][jobs], candidates.unit[there][rows]))
+        ours, theirs = self.jobs.unit[here], candidates.unit[there]
         exact = np.zeros(len(jobs))
-        for k in range(len(left)):
-            exact += left[k] * right[k]
+        step = max(1, GATHERED_BYTES // max(1, 8 * ours.shape[1]))
+        for start in range(0, len(jobs), step):
+            part = slice(start, start + step)
+            left, right = (np.ascontiguousarray(x.T) for x in (ours[jobs[part]], theirs[rows[part]]))
+            for k in range(len(left)):
+                exact[part] += left[k] * right[k]
         exact = self._rounded(exact)
         kept = exact >= floor[jobs]
         return jobs[kept], rows[kept], exact[kept]

@@ -1,3 +1,6 @@
+import subprocess
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -204,3 +207,33 @@ def test_single_precision_loses_no_pair(precision):
         list(out.add(vectors(a[start:start + 500].tolist(), start)))
     got = sorted((j, p) for x in out.finish() for j, p in zip(x["job_position"].to_pylist(), x["candidate_position"].to_pylist()))
     assert got == sorted((j, int(p)) for j in range(40) for p in np.argsort(-scores[j])[:5])
+
+
+CELL = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from pairrank.operators import similarity as S
+
+def side(names, rows, width, seed):
+    values = pa.array(np.random.default_rng(seed).normal(size=rows * width))
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * width + 1, width), pa.int32()), values)
+    return pa.table({names[0]: pa.array(np.arange(rows)), names[1]: pa.array(np.arange(rows)), "embedding": vectors})
+
+def peak():
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+
+width = 1024
+rows = S.CELL_BYTES // (8 * width)
+before = peak()
+jobs, people = side(S.JOB, rows, width, 1), side(S.CANDIDATE, rows, width, 2)
+out = S.BestPerJob(5, False, S._Vectors(jobs), None)
+found = [*out.add(S._Vectors(people)), *out.finish()]
+assert sum(b.num_rows for b in found) == 5 * rows
+print((peak() - before) / S.CELL_BYTES)
+"""
+
+
+def test_memory_of_a_full_cell():
+    """Both sides of a cell and the work on them take some twelve times the bound of one side."""
+    done = subprocess.run([sys.executable, "-c", CELL], capture_output=True, text=True, check=True, timeout=120)
+    assert float(done.stdout) < 14
