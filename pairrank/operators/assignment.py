@@ -14,12 +14,20 @@ matching, and deferred acceptance reaches it in parallel rounds:
 
 Bars only rise, so a held pair stays its job's best live one and the bars are all the
 state a round hands on.
+
+Jobs that want the same candidates in the same order would need a round per candidate. So
+from the fourth round on, the best live pairs of all, a block of bounded size, also go through the
+sequential rule in one task. Nothing better than the block is left out of it, so what it
+gives away is settled, and a candidate it fills gets its last bar at once. Blocks double
+from round to round up to their bound. A block ends early where a job runs out of fetched pairs
+that may go on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,10 +38,15 @@ from pairrank.runtime import materialise, measure
 Refill = Callable[[DataFrame, DataFrame], DataFrame]
 # Rounds after which the pairs still alive are written out, so that later rounds read less.
 COMPACT_EVERY = 8
+# Rounds before the first block: few wants in common settle in that many.
+ROUNDS_BEFORE = 3
+# Pairs of the first block and of the largest ones, some 50 MB in its task.
+FIRST_BLOCK, LARGEST_BLOCK = 1 << 16, 1 << 20
+PAIR = "job_position long, candidate_position long, similarity double"
 
 
 def greedy_assign(pairs: DataFrame, max_jobs_per_candidate: int = 2, jobs: int | None = None,
-                  max_rounds: int = 10_000) -> DataFrame:
+                  max_rounds: int = 10_000, first_block: int = FIRST_BLOCK) -> DataFrame:
     """Assign from a table of scored pairs; ``jobs`` is how many jobs it holds, if known."""
     pairs = positive_pairs(pairs)
     if jobs is None:
@@ -42,11 +55,12 @@ def greedy_assign(pairs: DataFrame, max_jobs_per_candidate: int = 2, jobs: int |
     # so no job ever needs more than the one after those.
     needed = max(jobs - 1, 0) // max_jobs_per_candidate + 1
     lists = materialise(rank_candidates(pairs, needed), "pairs")
-    return _rounds(lists, max_jobs_per_candidate, max_rounds)
+    return _rounds(lists, max_jobs_per_candidate, max_rounds, first_block)
 
 
 def assign_best(candidates: DataFrame, jobs: DataFrame, max_jobs_per_candidate: int = 2, depth: int = 64,
-                max_rounds: int = 10_000, decimals: int | None = 9, **options) -> DataFrame:
+                max_rounds: int = 10_000, decimals: int | None = 9, first_block: int = FIRST_BLOCK,
+                **options) -> DataFrame:
     """The same result straight from vectors, without scoring tables of all pairs.
 
     Each job starts with its ``depth`` best candidates. A job that runs out gets the next
@@ -66,7 +80,7 @@ def assign_best(candidates: DataFrame, jobs: DataFrame, max_jobs_per_candidate:
         return fill(candidates.join(bars, CANDIDATE[1], "left"), jobs.join(exhausted, JOB[1], "left_semi"))
 
     lists = fill(candidates, jobs)
-    return _rounds(lists, max_jobs_per_candidate, max_rounds, None if whole else refill, depth)
+    return _rounds(lists, max_jobs_per_candidate, max_rounds, first_block, None if whole else refill, depth)
 
 
 def in_pick_order(assignments: DataFrame) -> DataFrame:
@@ -82,9 +96,9 @@ def as_assignment_table(assignments: DataFrame) -> DataFrame:
     )
 
 
-def _rounds(lists: DataFrame, capacity: int, max_rounds: int, refill: Refill | None = None,
+def _rounds(lists: DataFrame, capacity: int, max_rounds: int, block: int, refill: Refill | None = None,
             depth: int = 0) -> DataFrame:
-    bars = None
+    bars = settled = None
     # Jobs whose list may go on beyond what was fetched.
     open_jobs = _full_lists(lists, depth) if refill else None
     for round_number in range(1, max_rounds + 1):
@@ -96,20 +110,82 @@ def _rounds(lists: DataFrame, capacity: int, max_rounds: int, refill: Refill | N
             exhausted = open_jobs.join(proposals, JOB[1], "left_anti")
             if not exhausted.isEmpty():
                 more = refill(exhausted, bars)
-                lists = lists.unionByName(more)
+                lists, live = lists.unionByName(more), live.unionByName(more)
                 open_jobs = materialise(
                     open_jobs.join(exhausted, JOB[1], "left_anti").unionByName(_full_lists(more, depth)), "open"
                 )
                 proposals = materialise(proposals.unionByName(_best_of_each_job(more)), "proposals")
-        held = _hold(proposals, capacity)
-        if held.count() == proposals.count():
+        placed = materialise(_place(proposals), "placed")
+        held = placed.where(F.col("place") <= capacity)
+        if placed.where(F.col("place") > capacity).isEmpty():
             return held.select(*JOB, *CANDIDATE, "similarity")
-        bars = held.where(F.col("place") == capacity).select(
-            CANDIDATE[1], F.col("similarity").alias("bar"), F.col(JOB[1]).alias("bar_job_position")
-        )
+        bars = _bars(held.where(F.col("place") == capacity))
+        if ROUNDS_BEFORE < round_number < max_rounds:
+            settled = _settle(live, proposals, open_jobs, settled, capacity, block)
+            bars = _higher_bars(bars, settled, capacity)
+            block = min(2 * block, max(block, LARGEST_BLOCK))
     raise RuntimeError(f"no stable assignment after {max_rounds} rounds; raise max_rounds")
 
 
+def _settle(live: DataFrame, proposals: DataFrame, open_jobs: DataFrame | None, settled: DataFrame | None,
+            capacity: int, block: int) -> DataFrame:
+    """The pairs settled so far, and those that the sequential rule gives away in the best ``block`` live pairs."""
+    if settled is not None:
+        loads = settled.groupBy(CANDIDATE[1]).agg(F.count("*").alias("load"))
+        live = live.join(settled, JOB[1], "left_anti").join(loads, CANDIDATE[1], "left")
+    else:
+        live = live.withColumn("load", F.lit(0))
+    best = _best_pairs(live, block)
+    if best is None:
+        return settled if settled is not None else live.select("job_position", "candidate_position", "similarity").limit(0)
+    if open_jobs is not None:
+        # A job's last fetched pair, where more may follow below it.
+        ends = open_jobs.join(proposals.select(JOB[1], "last"), JOB[1])
+        best = best.join(ends, JOB[1], "left")
+    else:
+        best = best.withColumn("last", F.lit(None).cast("int"))
+    rows = best.select(JOB[1], CANDIDATE[1], "similarity", F.coalesce("load", F.lit(0)).alias("load"),
+                       F.coalesce(F.col("rank") == F.col("last"), F.lit(False)).alias("ends"))
+    given = rows.groupBy(F.lit(0).alias("block")).applyInPandas(lambda pairs: _in_sequence(pairs, capacity), PAIR)
+    return materialise(given if settled is None else settled.unionByName(given), "settled")
+
+
+def _best_pairs(live: DataFrame, block: int) -> DataFrame | None:
+    """About ``block`` pairs above all others, cut by score and, among equal scores, by job; None if they can't be cut small."""
+    count = live.count()
+    if count <= block:
+        return live
+    share = block / count
+    score = live.agg(F.percentile_approx("similarity", 1 - share, 100_000)).first()[0]
+    at_score = F.col("similarity") == score
+    above, ties = live.agg(F.count_if(F.col("similarity") > score), F.count_if(at_score)).first()
+    within = F.col("similarity") > score
+    if above < block:
+        part = min(1.0, (block - above) / ties)
+        job = live.where(at_score).agg(F.percentile_approx(JOB[1], part, 100_000)).first()[0]
+        within = within | (at_score & (F.col(JOB[1]) <= job))
+    best = live.where(within)
+    return best if best.count() <= 2 * block else None
+
+
+def _in_sequence(pairs: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """The sequential rule on one block, up to the first job whose next pairs are not known."""
+    pairs = pairs.sort_values(["similarity", "job_position", "candidate_position"], ascending=[False, True, True])
+    load = dict(zip(pairs["candidate_position"], pairs["load"]))
+    taken, given = set(), []
+    columns = (pairs[c].tolist() for c in ("job_position", "candidate_position", "ends"))
+    for at, (job, candidate, ends) in enumerate(zip(*columns)):
+        if job in taken:
+            continue
+        if load[candidate] < capacity:
+            load[candidate] += 1
+            taken.add(job)
+            given.append(at)
+        elif ends:
+            break
+    return pairs.iloc[given][["job_position", "candidate_position", "similarity"]]
+
+
 def _alive(lists: DataFrame, bars: DataFrame) -> DataFrame:
     joined = lists.join(bars, CANDIDATE[1], "left")
     return joined.where(_beats_bar()).select(*lists.columns)
@@ -122,12 +198,27 @@ def _beats_bar() -> Column:
 
 def _best_of_each_job(live: DataFrame) -> DataFrame:
     best = F.min(F.struct("rank", *CANDIDATE, "similarity")).alias("best")
-    return live.groupBy(*JOB).agg(best).select(*JOB, *[f"best.{c}" for c in (*CANDIDATE, "similarity")])
+    found = live.groupBy(*JOB).agg(best, F.max("rank").alias("last"))
+    return found.select(*JOB, *[f"best.{c}" for c in (*CANDIDATE, "similarity")], "last")
 
 
-def _hold(proposals: DataFrame, capacity: int) -> DataFrame:
+def _place(proposals: DataFrame) -> DataFrame:
     best_first = Window.partitionBy(CANDIDATE[1]).orderBy(F.desc("similarity"), JOB[1])
-    return proposals.withColumn("place", F.row_number().over(best_first)).where(F.col("place") <= capacity)
+    return proposals.withColumn("place", F.row_number().over(best_first))
+
+
+def _bars(worst: DataFrame) -> DataFrame:
+    return worst.select(CANDIDATE[1], F.col("similarity").alias("bar"), F.col(JOB[1]).alias("bar_job_position"))
+
+
+def _higher_bars(bars: DataFrame, settled: DataFrame, capacity: int) -> DataFrame:
+    """Of each full candidate the higher bar: the one of this round's proposals or the settled one."""
+    worst = F.min(F.struct("similarity", (-F.col(JOB[1])).alias("back"))).alias("worst")
+    full = settled.groupBy(CANDIDATE[1]).agg(worst, F.count("*").alias("load")).where(F.col("load") == capacity)
+    final = full.select(CANDIDATE[1], F.col("worst.similarity").alias("bar"), (-F.col("worst.back")).alias("bar_job_position"))
+    higher = F.max(F.struct("bar", (-F.col("bar_job_position")).alias("back"))).alias("higher")
+    both = bars.unionByName(final).groupBy(CANDIDATE[1]).agg(higher)
+    return materialise(both.select(CANDIDATE[1], "higher.bar", (-F.col("higher.back")).alias("bar_job_position")), "bars")
 
 
 def _full_lists(lists: DataFrame, depth: int) -> DataFrame:

@@ -42,6 +42,20 @@ def test_one_candidate_is_best_for_every_job(spark):
     assert picks(greedy_assign(frame(spark, scores), 2)) == sequential(scores, 2)
 
 
+@pytest.mark.parametrize("capacity", [1, 2])
+def test_rounds_grow_with_the_logarithm_of_contested_pairs(spark, capacity):
+    """One order of candidates for 40 jobs would take a round per candidate without blocks."""
+    scores = {(j, c): 1.0 - c / 100 - j / 100_000 for j in range(40) for c in range(30)}
+    assert picks(greedy_assign(frame(spark, scores), capacity, max_rounds=11, first_block=16)) == sequential(scores, capacity)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_small_blocks_with_ties(spark, seed):
+    rng = random.Random(seed)
+    scores = {(j, c): rng.choice([0.2, 0.4, 0.4]) - (c // 4) / 10 for j in range(24) for c in range(9)}
+    assert picks(greedy_assign(frame(spark, scores), 2, first_block=5)) == sequential(scores, 2)
+
+
 def test_nothing_positive(spark):
     assert greedy_assign(frame(spark, {(0, 0): 0.0, (1, 0): -1.0, (2, 0): float("nan")})).count() == 0
 
@@ -57,7 +71,7 @@ def test_too_few_rounds_raise(spark):
         greedy_assign(frame(spark, scores), 1, max_rounds=2)
 
 
-@pytest.mark.parametrize("options", [{}, {"small_side_bytes": 0, "cell_bytes": 300}])
+@pytest.mark.parametrize("options", [{}, {"small_side_bytes": 0, "cell_bytes": 300}, {"first_block": 3}])
 def test_from_vectors_fetching_few_candidates_at_a_time(spark, options):
     rng = np.random.default_rng(11)
     people, jobs = rng.integers(-2, 4, (8, 3)).astype(float), rng.integers(-2, 4, (21, 3)).astype(float)
