@@ -22,10 +22,11 @@ from pairrank.functions.chunks import split_fixed, split_recursive
 from pairrank.functions.text import clean_id, safe_id
 from pairrank.functions.vectors import cosine
 from pairrank.models.embedders import HashingEmbedder
+from pairrank.models.patterns import PatternModel
 from pairrank.operators import assignment, cleaning, membership, pruning, ranking, report, similarity, snapshots, statistics, store
 from pairrank.operators.embedding import embed_both, embed_table
-from pairrank.operators.extraction import extract_fields
-from pairrank.plans.matching import match_tables
+from pairrank.operators.extraction import PROMPTS, extract_fields, model_fields
+from pairrank.plans.matching import match_tables, run_match
 from pairrank.runtime import checkpoint_folder, materialise, ship, spread
 from pairrank.sinks import save_results, write_csv, write_wide_matrix
 from pairrank.sources.documents import with_text
@@ -396,6 +397,74 @@ def pair_similarity_cells(spark, sf_dir):
     return pairs.select("candidate_id", "job_id", "similarity")
 
 
+# --- whole runs, from files to files ---
+
+
+def written_listings(spark, sf_dir, folder):
+    """The passages as a CSV of open positions."""
+    listings = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("Role"), F.col("text").alias("Description"))
+    return write_csv(listings.repartitionByRange(3, "Role").sortWithinPartitions("Role"), f"{folder}/listings.csv")
+
+
+def saved_matches(spark, paths):
+    saved = read_csv(spark, paths["top_matches"])
+    return saved.select(*(F.col(c).cast(t).alias(c) for c, t in (("Job", "long"), ("Candidate", "long"), ("Similarity", "double"), ("Rank", "int"))))
+
+
+def match_files(spark, sf_dir):
+    """All documents and passages as CSV files, matched by a whole run; the saved matches read back."""
+    folder = f"{checkpoint_folder(spark)}/pairrank/run-{materialise_id()}"
+    people = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias(S.NAME), F.col("lang").alias(S.DEGREE), F.col("text").alias(S.SUMMARY))
+    candidates = write_csv(people.repartitionByRange(5, S.NAME).sortWithinPartitions(S.NAME), f"{folder}/people.csv")
+    result = run_match(spark, HashingEmbedder(), written_listings(spark, sf_dir, folder), candidates,
+                       folder=f"{folder}/out", decimals=DECIMALS, save_pairs=False)
+    return saved_matches(spark, result["output_paths"])
+
+
+def folder_run(spark, sf_dir):
+    """Every document a text file, its fields asked of a model, then matched through a vector store."""
+    folder = f"{checkpoint_folder(spark)}/pairrank/run-{materialise_id()}"
+    texts = table(spark, sf_dir, "documents").select(F.concat_ws("\n", F.col("doc_id").cast("string"), "text").alias("value"))
+    texts.write.option("maxRecordsPerFile", 1).text(f"{folder}/texts")
+    patterns = {"name": r"[0-9]+", "years_of_experience": r"(?s)\n.*?([0-9]+)", "degree": r"@([A-Za-z0-9_.]+)",
+                "experience_summary": r"(?s)\n(.*)"}
+    model = PatternModel({PROMPTS[name]: pattern for name, pattern in patterns.items()})
+    return folder, run_match(
+        spark, HashingEmbedder(), written_listings(spark, sf_dir, folder), document_folder=f"{folder}/texts",
+        fields=model_fields(model), store_path=f"{folder}/store", folder=f"{folder}/out", decimals=DECIMALS, save_pairs=False,
+        document_options={"suffixes": [".txt"], "max_workers": 8})
+
+
+def folder_match(spark, sf_dir):
+    """The scores of the five best per position; files have no order, so equal scores tie between any of them."""
+    _, result = folder_run(spark, sf_dir)
+    return saved_matches(spark, result["output_paths"]).drop("Candidate")
+
+
+def folder_candidates(spark, sf_dir):
+    """What the model extracted, as the run saved it."""
+    folder, _ = folder_run(spark, sf_dir)
+    saved = read_csv(spark, f"{folder}/out/extracted_candidates.csv")
+    summary = F.md5(F.regexp_replace(F.col(f"`{S.SUMMARY}`"), r"[ \t\n\r]+", "")).alias("summary_md5")
+    return saved.select(F.col(f"`{S.NAME}`").alias("name"), F.col(f"`{S.YEARS}`").alias("years"), F.col(S.DEGREE).alias("degree"), summary)
+
+
+def dashboard_tables(spark, sf_dir):
+    """The dashboard's three tables, written and read back: heat-map cells, listed matches, listed candidates."""
+    folder = f"{checkpoint_folder(spark)}/pairrank/dashboard-{materialise_id()}"
+    people = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(S.NAME), F.col("label").cast("string").alias(S.DEGREE))
+    written = report.dashboard(heatmap_cells(spark, sf_dir), top_five(spark, sf_dir, None), people, folder)
+    saved = {name: spark.read.parquet(f"{folder}/{name}") for name in written}
+    score = F.col("similarity").cast("double").alias("score")
+    parts = [
+        saved["similarity_heatmap"].select(F.lit("cell").alias("kind"), F.col("y").cast("long").alias("of"), F.col("x").cast("string").alias("with"), score),
+        saved["top_matches_table"].select(F.lit("match"), F.col("Job").cast("long"), F.col("Candidate").cast("string"), score),
+        saved["candidate_table"].select(F.lit("candidate"), F.col(f"`{S.NAME}`").cast("long"), F.col(S.DEGREE), F.lit(None).cast("double")),
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 # --- files ---
 
 
@@ -603,6 +672,10 @@ def queries() -> dict[str, Query]:
         "embed_texts_of_both": embed_texts_of_both,
         "greedy_assign": greedy_assign,
         "assign_contested": assign_contested,
+        "match_files": match_files,
+        "folder_match": folder_match,
+        "folder_candidates": folder_candidates,
+        "dashboard_tables": dashboard_tables,
         "csv_round_trip": csv_round_trip,
         "csv_large_round_trip": csv_large_round_trip,
         "save_results_round_trip": save_results_round_trip,
@@ -659,10 +732,11 @@ LABEL_PAIRS = MEANS + """, p AS (
   FROM embeddings e CROSS JOIN means m)"""
 
 
-# A vector's best match is itself, with similarity 1; its copies follow by position. The
-# data has no two vectors of one direction, or the ranks would show it.
-EXACT_SQL = """SELECT vec_id AS job_id, c * (SELECT count(*) FROM embeddings) + vec_id AS candidate_id, (c + 1)::INTEGER AS rank
-    FROM embeddings, range(3) t(c)"""
+# Every vector three times; of equal scores the lower position comes first.
+EXACT_SQL = f"""WITH {PAIRS}, copies AS (
+  SELECT job_id, c * (SELECT count(*) FROM embeddings) + candidate_id AS candidate_id, exact FROM p, range(3) t(c))
+SELECT job_id, candidate_id, (row_number() OVER (PARTITION BY job_id ORDER BY exact DESC, candidate_id))::INTEGER AS rank
+FROM copies QUALIFY rank <= 3"""
 
 
 def hash_sql(name: str, source: str, id: str, text: str = "text") -> str:
@@ -681,15 +755,28 @@ def hash_sql(name: str, source: str, id: str, text: str = "text") -> str:
 {name} AS (SELECT id, list(x::DOUBLE ORDER BY i) AS v FROM {name}_cells GROUP BY id)"""
 
 
-def text_pairs_sql(candidates: str, jobs: str) -> str:
+def text_pairs_sql(candidates: str, jobs: str, text: str = "text") -> str:
     """CTEs ending in ``p``: documents and passages scored against each other."""
-    ids = {"documents": "doc_id", "benchmark": "item_id"}
-    return f"""{hash_sql('c', candidates, ids[candidates])}, {hash_sql('j', jobs, ids[jobs])},
+    ids = {"documents": "doc_id", "people": "doc_id", "benchmark": "item_id", "listings": "item_id"}
+    return f"""{hash_sql('c', candidates, ids[candidates], text)}, {hash_sql('j', jobs, ids[jobs], text)},
 p AS (SELECT c.id AS candidate_id, j.id AS job_id,
              round(coalesce(CASE WHEN isnan(list_cosine_similarity(c.v, j.v)) THEN 0 ELSE list_cosine_similarity(c.v, j.v) END, 0), 6) + 0.0 AS similarity
       FROM c CROSS JOIN j)"""
 
 
+# What the patterns of ``folder_run`` find in a document.
+FOUND_YEARS = "coalesce(regexp_extract(text, '[0-9]+'), '')"
+FOUND_DEGREE = "coalesce(regexp_extract(text, '@([A-Za-z0-9_.]+)', 1), '')"
+
+
+def run_sql(person: str) -> str:
+    """CTEs ending in ``best``: the five best people per listing, people read by the text ``person``."""
+    return f"""WITH people AS (SELECT doc_id, {person} AS t FROM documents),
+listings AS (SELECT item_id, item_id || ' ' || coalesce(nullif(text, ''), 'nan') AS t FROM benchmark),
+{text_pairs_sql('people', 'listings', 't')},
+best AS (SELECT *, (row_number() OVER (PARTITION BY job_id ORDER BY similarity DESC, candidate_id))::INTEGER AS rank FROM p QUALIFY rank <= 5)"""
+
+
 def assign_sql(candidates: str, jobs: str) -> str:
     """The sequential rule: one best remaining pair per step."""
     return f"""WITH RECURSIVE {text_pairs_sql(candidates, jobs)},
@@ -811,6 +898,17 @@ def oracle_sql() -> dict[str, str]:
             {hash_sql('c', 'people', 'doc_id', 't')}, {hash_sql('j', 'listings', 'p_partkey', 't')}
             SELECT kind, id, i::INTEGER AS i, round(x, 6) + 0.0 AS v
             FROM (SELECT 'candidate' AS kind, id, i, x FROM c_cells UNION ALL SELECT 'job', id, i, x FROM j_cells)""",
+        "match_files": run_sql("coalesce(lang, 'nan') || ' ' || coalesce(nullif(text, ''), 'nan')") + """
+            SELECT job_id AS "Job", candidate_id AS "Candidate", similarity AS "Similarity", rank AS "Rank" FROM best""",
+        "folder_match": run_sql(f"{FOUND_YEARS} || ' ' || {FOUND_DEGREE} || ' ' || coalesce(text, '')") + """
+            SELECT job_id AS "Job", similarity AS "Similarity", rank AS "Rank" FROM best""",
+        "folder_candidates": f"""SELECT doc_id::VARCHAR AS name, nullif({FOUND_YEARS}, '') AS years, nullif({FOUND_DEGREE}, '') AS degree,
+            md5(nullif(regexp_replace(coalesce(text, ''), '[ \t\n\r]+', '', 'g'), '')) AS summary_md5 FROM documents""",
+        "dashboard_tables": f"""WITH {RANKED_EXACT}, o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM embeddings)
+            SELECT 'cell' AS kind, c.n AS "of", j.n::VARCHAR AS "with", similarity AS score FROM p
+            JOIN o c ON c.vec_id = candidate_id JOIN o j ON j.vec_id = job_id
+            UNION ALL SELECT 'match', job_id, candidate_id::VARCHAR, printf('%.3f', exact)::DOUBLE FROM r
+            UNION ALL SELECT 'candidate', vec_id, label::VARCHAR, NULL FROM embeddings""",
         "greedy_assign": assign_sql("documents", "benchmark"),
         "assign_contested": assign_sql("benchmark", "documents"),
         "save_results_round_trip": f"WITH {LABEL_PAIRS} SELECT candidate_id::VARCHAR AS name, any_value(label)::VARCHAR AS label, "
