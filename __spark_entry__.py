@@ -25,7 +25,7 @@ from pairrank.models.embedders import HashingEmbedder
 from pairrank.models.patterns import PatternModel
 from pairrank.operators import assignment, cleaning, membership, pruning, ranking, report, similarity, snapshots, statistics, store
 from pairrank.operators.embedding import embed_both, embed_table
-from pairrank.operators.extraction import PROMPTS, extract_fields, model_fields
+from pairrank.operators.extraction import PROMPTS, extract_fields, in_lanes, model_fields
 from pairrank.plans.matching import match_tables, run_match
 from pairrank.runtime import checkpoint_folder, materialise, ship, spread
 from pairrank.sinks import save_results, write_csv, write_wide_matrix
@@ -540,6 +540,25 @@ def store_counts(spark, sf_dir):
     )
 
 
+def store_counts_observed(spark, sf_dir):
+    """The same counts, taken by the job that writes the looked-up documents."""
+    documents = table(spark, sf_dir, "documents").select("doc_id")
+    found = store.load_vectors(documents, given_entries(spark, sf_dir), "candidate", "doc_id", "given")
+    observed, counts = statistics.observe_store_counts(found)
+    materialise(observed, "looked-up")
+    return spark.range(1).select(*(F.lit(counts.get.get(c, 0)).cast("long").alias(c) for c in ("loaded", "pending")))
+
+
+def call_lanes(spark, sf_dir):
+    """Documents dealt over 12 lanes of model calls: how many lanes, and whether they are as even as promised."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    dealt = in_lanes(texts, F.length("text"), 12, "doc_id").select(F.spark_partition_id().alias("lane"), F.length("text").alias("cost"))
+    lanes = dealt.groupBy("lane").agg(F.sum("cost").alias("cost"), F.count("*").alias("n"), F.max("cost").alias("longest"))
+    return lanes.agg(
+        F.count("*").alias("lanes"), F.sum("cost").alias("cost"), F.sum("n").alias("n"),
+        (F.max("cost") - F.min("cost") <= F.max("longest")).alias("even_cost"), (F.max("n") - F.min("n") <= 1).alias("even_rows"))
+
+
 def store_upsert(spark, sf_dir):
     passages = embed_table(table(spark, sf_dir, "benchmark"), "text", HashingEmbedder())
     newer = store.as_entries(passages, "candidate", "item_id", "given").withColumn(
@@ -684,6 +703,8 @@ def queries() -> dict[str, Query]:
         "store_lookup": store_lookup,
         "store_pending": store_pending,
         "store_counts": store_counts,
+        "store_counts_observed": store_counts_observed,
+        "call_lanes": call_lanes,
         "store_upsert": store_upsert,
         "store_round_trip": store_round_trip,
         "snapshot_merge": snapshot_merge,
@@ -764,6 +785,9 @@ p AS (SELECT c.id AS candidate_id, j.id AS job_id,
       FROM c CROSS JOIN j)"""
 
 
+COUNTED = """SELECT count(vec_id) AS loaded, count(*) - count(vec_id) AS pending
+    FROM documents LEFT JOIN embeddings ON vec_id = doc_id"""
+
 # What the patterns of ``folder_run`` find in a document.
 FOUND_YEARS = "coalesce(regexp_extract(text, '[0-9]+'), '')"
 FOUND_DEGREE = "coalesce(regexp_extract(text, '@([A-Za-z0-9_.]+)', 1), '')"
@@ -924,8 +948,9 @@ def oracle_sql() -> dict[str, str]:
         "store_lookup": """SELECT doc_id, vec_id IS NULL AS needs_embedding, i::INTEGER AS i, round(x, 6) + 0.0 AS v
             FROM documents LEFT JOIN (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) ON vec_id = doc_id""",
         "store_pending": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
-        "store_counts": """SELECT count(vec_id) AS loaded, count(*) - count(vec_id) AS pending
-            FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
+        "store_counts_observed": COUNTED,
+        "call_lanes": "SELECT 12::BIGINT AS lanes, sum(length(text))::BIGINT AS cost, count(*) AS n, true AS even_cost, true AS even_rows FROM documents",
+        "store_counts": COUNTED,
         "store_upsert": f"""WITH {hash_sql('c', 'benchmark', 'item_id')},
             m AS (SELECT id, i, x FROM c_cells UNION ALL SELECT vec_id, unnest(range(len(embedding))), unnest(embedding)::DOUBLE FROM embeddings
                   WHERE vec_id NOT IN (SELECT item_id FROM benchmark))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pairrank.functions.text import fixed_decimals
@@ -53,7 +53,17 @@ def match_summary(ranked: DataFrame, lines: int = 5) -> DataFrame:
 
 def store_counts(looked_up: DataFrame, embedding: str = "embedding") -> DataFrame:
     """How many vectors were loaded and how many are still to be made."""
-    return looked_up.agg(
-        F.count_if(F.col(embedding).isNotNull()).alias("loaded"),
-        F.count_if(F.col(embedding).isNull()).alias("pending"),
-    )
+    return looked_up.agg(*_store_counts(embedding))
+
+
+def observe_store_counts(looked_up: DataFrame, embedding: str = "embedding") -> tuple[DataFrame, Observation]:
+    """The same counts without a pass of their own: the first job that writes the returned table counts its rows.
+
+    ``observation.get`` then holds ``loaded`` and ``pending``.
+    """
+    observation = Observation()
+    return looked_up.observe(observation, *_store_counts(embedding)), observation
+
+
+def _store_counts(embedding: str):
+    return F.count_if(F.col(embedding).isNotNull()).alias("loaded"), F.count_if(F.col(embedding).isNull()).alias("pending")

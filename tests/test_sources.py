@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pairrank import schemas as S
 from pairrank.models.retry import RetryPolicy
-from pairrank.operators.extraction import candidates_from_folder, extract_fields, model_fields
+from pairrank.operators.extraction import candidates_from_folder, extract_fields, in_lanes, model_fields
 from pairrank.sinks import save_extracted, save_results, save_top_matches, write_csv
 from pairrank.sources.documents import load_and_split, load_documents, with_text
 from pairrank.sources.files import latest_file, list_files
@@ -169,3 +169,24 @@ def test_positions_follow_the_files(spark, tmp_path):
         assert [r["name"] for r in rows] == want and [r.position for r in rows] == list(range(len(want)))
     unplaced = with_position(spark.createDataFrame([("x",), ("y",)], "name string"))
     assert unplaced.columns == ["name", "position"] and unplaced.count() == 2
+
+
+@pytest.mark.parametrize("lanes", [1, 3, 8])
+@pytest.mark.parametrize("costs", [[5] * 40, [900, 1, 1, 1, 1], list(range(1, 60)), [None, 7, 7, 0], []])
+def test_lanes_cost_the_same_but_for_one_row(spark, lanes, costs):
+    rows = spark.createDataFrame([(f"f{i}", c) for i, c in enumerate(costs)], "name string, cost int")
+    dealt = in_lanes(rows, F.col("cost"), lanes, "name")
+    assert dealt.columns == ["name", "cost"] and dealt.rdd.getNumPartitions() == lanes
+    found = dealt.select("*", F.spark_partition_id().alias("lane")).collect()
+    assert sorted((r.name, r.cost) for r in found) == sorted((r.name, r.cost) for r in rows.collect()) if None not in costs else len(found) == len(costs)
+    totals, counts = [0] * lanes, [0] * lanes
+    for r in found:
+        totals[r.lane] += r.cost or 0
+        counts[r.lane] += 1
+    assert max(totals) - min(totals) <= max([c or 0 for c in costs], default=0)
+    assert max(counts) - min(counts) <= 1
+
+
+def test_no_lanes(spark):
+    with pytest.raises(ValueError):
+        in_lanes(spark.range(3), F.col("id"), 0, "id")
