@@ -34,8 +34,10 @@ LINKED = 0.6
 EVIDENCE = 4
 # So many lines in a row that are links alone are a list of links, judged for itself outside articles.
 LINK_LINES = 3
-# Elements climbed at most to find the one that holds an area; beyond that it is the page.
-MAX_CLIMB = 64
+# So many in a row are one if each is this short.
+SHORT_LINKS, SHORT_LINK = 2, 25
+# A line about rights with at most so many characters, and no longer text after it, closes the page.
+CLOSING = 2 * SURGE
 
 # HTML's own element names by what they do here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,6 +62,10 @@ SURE = frozenset(
     "ad ads adsense adv advert advertisement advertising adverts breadcrumb breadcrumbs commentlist comments consent cookie cookies "
     "disqus gdpr login menu menus nav navbar navigation newsletter pager pagination popup reply replies respond signup sponsor "
     "sponsored subscribe".split())
+# Those whose boxes, sections apart, go if the name is a class; as an id it may be that of a chapter.
+CLASSED = frozenset("alert comment discussion notice notices reactions responses".split())
+# Elements of forms that may stand in running text.
+CONTROLS = frozenset(["button", "label"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TITLES = frozenset(["h1", "h2"])
 # A word after one of these says what a box stands beside: with-sidebar.
@@ -70,6 +76,12 @@ SELF_CLOSING = frozenset("p li dt dd option tr td th".split())
 
 _TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_NOT_SHOWN = re.compile(r"""\bstyle\s*=\s*["']?[^"']*display\s*:\s*none""", re.I)
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b).*[0-9]{4}|.*\ball rights reserved\b", re.I)
+# What running text ends with before an element that belongs to it, and goes on with after it.
+_GOES_ON = re.compile(r"[\w,;(\[“‘«\-]\s*$"), re.compile(r"\s*(?:[,.;:!?)\]”’»]|(?![A-Z])[^\W_])")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -92,9 +104,26 @@ class Line:
     container: int = -1
     nest: int = -1
     title: bool = False
+    # Texts of elements with doubtful names within the line, by the part they come before.
+    doubtful: list[tuple[int, str]] = field(default_factory=list)
 
     def text(self) -> str:
-        return " ".join(html.unescape("".join(self.parts)).split())
+        """The line's text. An element with a doubtful name belongs to it in the middle of a sentence."""
+        parts = self.parts
+        if self.doubtful:
+            # The last part that is not blank before each place, and the next one after it.
+            before, after = [""], [""]
+            for part in parts:
+                before.append(part if part.strip() else before[-1])
+            for part in reversed(parts):
+                after.append(part if part.strip() else after[-1])
+            pieces: dict[int, str] = {}
+            for k, piece in self.doubtful:
+                sides = html.unescape(before[k]), html.unescape(after[len(parts) - k])
+                if _GOES_ON[0].search(sides[0]) and _GOES_ON[1].match(sides[1]):
+                    pieces[k] = pieces.get(k, "") + piece
+            parts = [text for k, part in enumerate([*parts, ""]) for text in (pieces.get(k, ""), part)]
+        return " ".join(html.unescape("".join(parts)).split())
 
 
 @dataclass(slots=True)
@@ -194,9 +223,11 @@ def named_otherwise(tag: Tag, inside: bool) -> str | None:
         return None if inside else "always"
     if tag.name == "form":
         return "maybe"
+    if _HIDDEN.search(_QUOTED.sub("", tag.attributes)) or _NOT_SHOWN.search(tag.attributes):
+        return "sure"
     if tag.name in CONTAINERS and "comment" not in tag.attributes.lower() or tag.name in ("html", "body") or tag.name in HEADINGS:
         return None
-    found = set()
+    found, classes = set(), set()
     for key, *values in _ATTRIBUTE.findall(tag.attributes):
         value = "".join(values)
         if key.lower() == "role":
@@ -205,10 +236,12 @@ def named_otherwise(tag: Tag, inside: bool) -> str | None:
             continue
         for token in value.split():
             words = [w.lower() for w in _WORD.findall(token)]
-            found.update(w for before, w in zip(["", *words], words) if before not in BESIDE)
-    if found & SURE or tag.name in CONTAINERS and found & NAMES | found & {"comment"}:
+            named = [w for before, w in zip(["", *words], words) if before not in BESIDE]
+            found.update(named)
+            classes.update(named if key.lower() == "class" else ())
+    if tag.name != "section" and classes & CLASSED or found & SURE or tag.name in CONTAINERS and found & NAMES | found & {"comment"}:
         return "sure"
-    return "maybe" if found & NAMES or (not inside and "header" in found) else None
+    return "maybe" if found & NAMES or classes & CLASSED or (not inside and "header" in found) else None
 
 
 def lines_of(page: str) -> tuple[list[Line], list[Container], list[Box], list[Nest]]:
@@ -217,6 +250,7 @@ def lines_of(page: str) -> tuple[list[Line], list[Container], list[Box], list[Ne
     pair_up(tags)
     containers = [i for i, t in enumerate(tags) if t.name in CONTAINERS and not t.closes]
     breaks = [i for i, t in enumerate(tags) if t.name in BREAKS]
+    solid = [i for i, t in enumerate(tags) if t.name in BREAKS or (t.name in DROPPED and t.name not in CONTROLS)]
     lines, depth, link = [Line()], 0, 0
     boxes: list[Box] = []
     box, ends = -1, {}
@@ -229,6 +263,16 @@ def lines_of(page: str) -> tuple[list[Line], list[Container], list[Box], list[Ne
         lines.extend(Line() for _ in range(blanks))
         lines.append(Line(inside=depth > 0, box=box, container=open_containers[-1] if open_containers else -1, nest=nest))
 
+    def inline(first: int, last: int | None) -> str | None:
+        """The text of an element that holds no block; None for others."""
+        if last is None or not tags[last].closes or (tags[first].name in DROPPED and tags[first].name not in CONTROLS):
+            return None
+        inner = after(solid, first)
+        if inner is not None and inner < last:
+            return None
+        held_tags = tags[first : last + 1]
+        return "".join(page[t.end : u.start] for t, u in zip(held_tags, held_tags[1:]))
+
     def after(places: list[int], i: int) -> int | None:
         k = bisect_right(places, i)
         return places[k] if k < len(places) else None
@@ -249,6 +293,10 @@ def lines_of(page: str) -> tuple[list[Line], list[Container], list[Box], list[Ne
             inner = after(containers, here)
             boxes.append(Box(box, kind == "sure", tag.name == "section" and depth > 0, inner is not None and inner < tag.partner))
             ends[tag.partner], box = box, len(boxes) - 1
+        elif kind and tag.name not in BREAKS and (piece := inline(here, tag.partner)) is not None:
+            lines[-1].doubtful.append((len(lines[-1].parts), piece))
+            at, i = tags[tag.partner].end, tag.partner + 1
+            continue
         elif kind:
             nested = after(containers, i - 1)
             end = tag.partner
@@ -325,6 +373,17 @@ def without_boxes(lines: list[Line], boxes: list[Box], lengths: list[int]) -> se
     return gone
 
 
+def closing_lines(lines: list[Line], texts: list[str]) -> list[int]:
+    """The lines about rights, outside articles, that close the page."""
+    found = []
+    for i in range(len(lines) - 1, -1, -1):
+        if lines[i].inside or len(texts[i]) > CLOSING:
+            break
+        if _RIGHTS.match(texts[i]):
+            found.append(i)
+    return found
+
+
 def areas_of(lines: list[Line], lengths: list[int], containers: list[Container]) -> list[Area]:
     """The areas with text. An area runs from a surge, the first window with text, to the dive, the next one without."""
     sums, window = [], sum(lengths[:WINDOW])
@@ -346,7 +405,7 @@ def areas_of(lines: list[Line], lengths: list[int], containers: list[Container])
 
 
 def link_lists(lines: list[Line], lengths: list[int], containers: list[Container]) -> set[int]:
-    """The lines outside articles that lie in a run of lines of which each is a link."""
+    """The lines outside articles that lie in a run of lines of which each is a link: of three, or of two short ones."""
     found, run = set(), []
     for i, line in enumerate([*lines, None]):
         if line is not None and not lengths[i]:
@@ -355,7 +414,7 @@ def link_lists(lines: list[Line], lengths: list[int], containers: list[Container
         if linked:
             run.append(i)
             continue
-        if len(run) >= LINK_LINES:
+        if len(run) >= LINK_LINES or (len(run) >= SHORT_LINKS and all(lengths[k] <= SHORT_LINK for k in run)):
             found.update(run)
         run = []
     return found
@@ -377,6 +436,7 @@ def chosen(areas: list[Area], containers: list[Container]) -> set[int]:
     high = [i for i in unlinked if areas[i].peak >= max(min(SURGE, best), SHARE * best) and areas[i].linked < LINKED * areas[i].size]
 
     articles: dict[int, int] = {}
+    linking = {outer[a.container] for a in areas if in_article(a) and a.linked}
     for i in unlinked:
         if in_article(areas[i]):
             top = outer[areas[i].container]
@@ -385,7 +445,9 @@ def chosen(areas: list[Area], containers: list[Container]) -> set[int]:
     outside = [i for i in high if not in_article(areas[i])]
     rest = sum(areas[i].size for i in outside)
     if most and most * EVIDENCE >= rest:
-        won = {i for i in unlinked if in_article(areas[i]) and articles[outer[areas[i].container]] >= SHARE * most}
+        # A short article besides the largest counts if it links to nothing, as teasers do.
+        tops = {top for top, size in articles.items() if size >= SHARE * most or (top not in linking and size >= SURGE)}
+        won = {i for i in unlinked if in_article(areas[i]) and outer[areas[i].container] in tops}
         around = {containers[outer[areas[i].container]].parent for i in won}
         # Text beside an article within its main element belongs to it if it is high enough.
         return won | {i for i in outside if areas[i].container >= 0 and areas[i].container in around}
@@ -407,11 +469,9 @@ def neighbours(areas: list[Area], kept: set[int], lines: list[Line], nests: list
 
     def holder(a: Area) -> int:
         nest = lines[a.lines[0]].nest
-        for _ in range(MAX_CLIMB):
-            if nest < 0 or nests[nest].last >= a.lines[-1]:
-                return nest
+        while nest >= 0 and nests[nest].last < a.lines[-1]:
             nest = nests[nest].parent
-        return -1
+        return nest
 
     def lies_in(a: Area, nest: int) -> bool:
         return nest < 0 or (nests[nest].first <= a.lines[0] and a.lines[-1] <= nests[nest].last)
@@ -460,6 +520,8 @@ def main_text(page: str | None) -> str:
         gone = without_boxes(lines, boxes, lengths)
         texts = ["" if line.box in gone else t for line, t in zip(lines, texts)]
         lengths = [len(t) for t in texts]
+    for i in closing_lines(lines, texts):
+        texts[i], lengths[i] = "", 0
     areas = areas_of(lines, lengths, containers)
     kept = chosen(areas, containers)
     kept |= neighbours(areas, kept, lines, nests, containers)

@@ -81,9 +81,31 @@ def test_short_areas_beside_the_text(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>The market <span class='share'>share</span> grew, see the <a class='menu-item'>File</a> menu.</p></article>",
+     "The market share grew, see the File menu."),
+    ("<article><p>Press <button>Start</button> and wait for the <label>name</label>.</p></article>", "Press Start and wait for the name."),
+    ("<article><p>It ended. <a class='ad'>Buy now</a></p><p><span class='share'>Share</span></p></article>", "It ended."),
+    ("<article><p>a <span class='share'>b <script>no</script></span>c</p></article>", "a c"),
+    (f"<div><p>{LONG * 3}</p></div><div class='discussion'><p>{LONG}</p><p>{LONG}</p></div>", (LONG * 3).strip()),
+    (f"<article><p>{LONG * 2}</p><div class='responses'><p>{LONG}</p></div></article>", (LONG * 2).strip()),
+    (f"<div><p>{LONG * 3}</p></div><div class='notice'><p>{LONG}</p></div>", (LONG * 3).strip()),
+    (f"<table><tr><td><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></td><td><p>{LONG}</p></td></tr></table>", LONG.strip()),
+    (f"<div><p>{LONG}</p><p>© 2024 The Paper</p></div>", LONG.strip()),
+    (f"<div><p>{LONG}</p></div><div><p>Copyright 2024 The Paper. All rights reserved.</p></div>", LONG.strip()),
+    (f"<article><p>{LONG}</p><p>© 1990 is what the sign said</p></article>", LONG + "© 1990 is what the sign said"),
+    (f"<div><p>Copyright 1710 was new.</p><p>{LONG}</p></div>", "Copyright 1710 was new. " + LONG.strip()),
+    (f"<article><p>{LONG}</p><p hidden>no</p><div style='display: none'><p>no</p></div><p class='hidden x'>y</p></article>", LONG + "y"),
+    (f"<article><p>{LONG * 9}</p></article><article><p>{LONG}</p></article>", (LONG * 10).strip()),
+])
+def test_running_text_and_unnamed_boilerplate(page, text):
+    assert main_text(page) == text
+
+
 def test_long_and_odd_pages_end():
     assert len(main_text("<p>" + prose(1, 200_000) + "</p>")) > 500_000
-    for odd in ("<" * 200_000, "<a " * 100_000, "<div class='ad'>" * 20_000, "<p '" * 50_000, "&" * 100_000):
+    for odd in ("<" * 200_000, "<a " * 100_000, "<div class='ad'>" * 20_000, "<p '" * 50_000, "&" * 100_000,
+                "<b class='ad'>" * 20_000, "<b class='ad'>x</b> " * 50_000, "<b class='ad'>" * 9_000 + "<p>x" + "</b>" * 9_000):
         main_text(odd)
 
 
