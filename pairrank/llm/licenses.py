@@ -10,7 +10,7 @@ words that tell the license and its version from others (``MARKS``) must be in t
 notice may lack one if no other license's stands there.
 
 Whole license texts are looked for where a stretch holds a fifth of their fingerprints, and
-are matched there by longest common runs instead of a banded alignment.
+are aligned there in the same way, a row of the band at a time.
 
 The index depends on the templates alone, whose number of words is checked, and goes to
 every task. Documents are scanned in one pass in Arrow batches, without a shuffle.
@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import cached_property
 from importlib import resources
 
@@ -61,6 +60,30 @@ _BSD_NAMES = (
     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
     "derived from this software without specific prior written permission.")
 
+_BSD_ADVERTISING = (
+    "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product "
+    "includes software developed by ")
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+    'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
+    "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+    "Software is furnished to do so")
+_MIT_NOTICE = (
+    ", subject to the following conditions: The above copyright notice and this permission notice "
+    "shall be included in all copies or substantial portions of the Software.")
+_X11_NAMES = (
+    " Except as contained in this notice, the name of the copyright holders shall not be used in advertising or otherwise to promote "
+    "the sale, use or other dealings in this Software without prior written authorization.")
+
+
+def _only(name: str, version: str) -> str:
+    """The terms of the same notice without a later version."""
+    return f"under the terms of the GNU {name} version {version} as published by the Free Software Foundation."
+
+
+def _creative(short: str, long: str) -> list[str]:
+    return [f"Licensed under CC {short} 4.0.", f"This work is licensed under a Creative Commons {long} 4.0 International License."]
+
 
 def _program(what: str, name: str, version: str, mark: str) -> str:
     """The notice that the FSF's licenses tell programs to carry."""
@@ -87,11 +110,15 @@ TEMPLATES = {
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         _BSD_NAMES, f"{_BSD_CLAUSES}3. {_BSD_NAMES} {_BSD_WARRANTY}",
     ],
+    "BSD-4-Clause": [f"{_BSD_CLAUSES}{_BSD_ADVERTISING.strip()}", f"{_BSD_CLAUSES}{_BSD_ADVERTISING} 4. {_BSD_NAMES} {_BSD_WARRANTY}"],
     "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "CC-BY-NC-ND-4.0": _creative("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    "CC-BY-NC-SA-4.0": _creative("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-ND-4.0": _creative("BY-ND", "Attribution-NoDerivatives"),
     "CC-BY-SA-4.0": [
         "Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ],
@@ -102,12 +129,13 @@ TEMPLATES = {
     ],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
-        _program("program", "General Public License", "2", ";"),
+        _program("program", "General Public License", "2", ";"), _only("General Public License", "2"),
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
         "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        _only("General Public License", "3"),
     ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
@@ -123,17 +151,15 @@ TEMPLATES = {
     ],
     "MIT": [
         "Released under the MIT License.", "This project is licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
-        'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, '
-        "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
-        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
-        "shall be included in all copies or substantial portions of the Software.",
+        _MIT_GRANT + _MIT_NOTICE,
     ],
+    "MIT-0": [_MIT_GRANT + "."],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
         "with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "X11": [_MIT_GRANT + _MIT_NOTICE + _X11_NAMES],
     "Zlib": [
         "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
         "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
@@ -145,11 +171,19 @@ TEMPLATES = {
     ],
 }
 
+# The tag by which a file names its license stands for a notice as well.
+TAG = "SPDX-License-Identifier:"
+TEMPLATES = {name: [*texts, f"{TAG} {name}"] for name, texts in TEMPLATES.items()}
+
 # The words that tell a license from its relatives. Those of them that a template has must stand in a match.
 MARKS = {
     "AGPL-3.0": "gnu affero general public 3", "BSL-1.0": "boost 1 0", "EPL-2.0": "eclipse 2 0", "LGPL-2.1": "gnu lesser general public 2 1",
     "Apache-2.0": "apache 2 0", "BSD-2-Clause": "bsd 2", "BSD-3-Clause": "bsd 3", "CC-BY-4.0": "creative commons cc by attribution 4 0",
     "CC-BY-NC-4.0": "creative commons cc by attribution nc noncommercial 4 0", "CC-BY-SA-4.0": "creative commons cc by attribution sa sharealike 4 0",
+    "BSD-4-Clause": "bsd 4 advertising acknowledgement", "X11": "x11 advertising promote",
+    "CC-BY-NC-ND-4.0": "creative commons cc by attribution nc noncommercial nd noderivatives 4 0",
+    "CC-BY-NC-SA-4.0": "creative commons cc by attribution nc noncommercial sa sharealike 4 0",
+    "CC-BY-ND-4.0": "creative commons cc by attribution nd noderivatives 4 0",
     "CC0-1.0": "waived", "GPL-2.0": "gnu general public 2", "GPL-3.0": "gnu general public 3", "ISC": "isc", "LGPL-3.0": "gnu lesser general public 3",
     "MIT": "mit", "MPL-2.0": "mozilla 2 0", "Unlicense": "unencumbered",
 }
@@ -162,6 +196,8 @@ _NAMES = {w for words in MARKS.values() for w in words.split() if not w.isdigit(
     "academic", "artistic", "boost", "eclipse", "epl", "european", "gpl", "zlib"}
 # Enumerations are digits too, so numbers count as marks only in templates of fewer words, or that name a version.
 _SHORT = 25
+# Before a short notice, or in it, these say that it is not granted.
+_NEGATIONS = frozenset("not never nor isn aren neither".split())
 _VERSION = re.compile(rb"\.([0-9]+)")
 
 # Words are runs of ASCII letters and digits and of any other characters beyond ASCII.
@@ -194,7 +230,7 @@ def fingerprints(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
     """The best local alignment with word j - i within ``band`` of ``diagonal``: words matched, and the span in ``words``.
 
-    A match scores 2, a mismatch or a gap -1; of equal scores the earliest end wins.
+    A match scores 2, a mismatch or a gap -1; of equal scores the one of more matched words wins, then the earliest end.
     """
     best, cells = (0, 0, 0, 0), {}
     template, lower, upper = template.tolist(), diagonal - band, diagonal + band
@@ -215,12 +251,41 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) ->
             # An alignment whose score has fallen to zero is not dropped for a new one, which has matched less.
             if cell[0] >= 0 and cell[1]:
                 row[j] = cell
-                if equal and cell[0] > best[0]:
+                if equal and cell[:2] > best[:2]:
                     best = (cell[0], cell[1], cell[2], j + 1)
         cells = row
     return best[1:]
 
 
+def align_long(template: np.ndarray, words: np.ndarray, slack: int) -> tuple[int, int, int]:
+    """``align`` for whole texts: all diagonals between the two lengths, and ``slack`` more, a row at a time.
+
+    A cell is one number: score, matched words and how late the alignment began, in this order.
+    """
+    size, drift = len(template), len(words) - len(template)
+    lower, width = min(0, drift) - slack, abs(drift) + 2 * slack + 1
+    point, match, late = 1 << 42, 1 << 22, (1 << 22) - 1
+    offsets = np.arange(width)
+    gaps = offsets * point
+    none = np.full(1, -(1 << 61))
+    row, best, end = np.full(width, none[0]), 0, 0
+    for i in range(size):
+        at = i + lower + offsets
+        inside = (at >= 0) & (at < len(words))
+        equal = inside & (words[np.clip(at, 0, len(words) - 1)] == template[i])
+        # An alignment goes on, or begins here.
+        begun = np.maximum(row, late - np.clip(at, 0, late))
+        cells = np.where(equal, begun + 2 * point + match, np.maximum(row, none[0] + point) - point)
+        cells = np.maximum(cells, np.concatenate((row[1:], none)) - point)
+        # Words of the text that are passed over: the best cell before, less a point for each.
+        cells = np.maximum(cells, np.maximum.accumulate(cells + gaps) - gaps)
+        row = np.where(inside, np.maximum(cells, none[0] + point), none[0])
+        top = int(np.where(equal, row, none[0]).argmax())
+        if equal[top] and row[top] >> 22 > best >> 22:
+            best, end = int(row[top]), int(at[top]) + 1
+    return (best >> 22) & ((1 << 20) - 1), late - (best & late) if best else 0, end
+
+
 def body_texts() -> dict[str, str]:
     """The whole texts of licenses, per SPDX identifier, from the package's folder or archive."""
     folder = resources.files("pairrank.llm") / "license_texts"
@@ -229,6 +294,10 @@ def body_texts() -> dict[str, str]:
 
 def marks_of(name: str, words: list[str]) -> tuple[set[str], set[str], set[str]]:
     """The words that a match of a template must hold, those it must not, and the version numbers of the template."""
+    if words[:3] == ["spdx", "license", "identifier"]:
+        # A tag is matched as it is.
+        return set(words), {w for family, others in _RELATIVES.items() if family in words for w in others.split()} - set(words), {
+            w for w in words if w.isdigit()}
     marks = set(MARKS.get(name, "").split()) & set(words)
     if len(words) >= _SHORT and "version" not in words and "v" not in words:
         marks = {w for w in marks if not w.isdigit()}
@@ -273,8 +342,8 @@ class Index:
     def whole_texts(self, prints: np.ndarray, at: np.ndarray, words: np.ndarray, word_of, coverage: float) -> list[tuple]:
         """Matches of whole license texts, as those of notices in ``scan``.
 
-        Where enough of a text's fingerprints lie within its length, its words are matched
-        in order, by longest common runs.
+        Where enough of a text's fingerprints lie within its length, its words are aligned
+        within a band about the diagonals that the two lengths leave.
         """
         if not self.bodies:
             return []
@@ -297,13 +366,11 @@ class Index:
                 first, last = places[best], places[best + count[best] - 1]
                 slack = int(len(text) * BAND_SHARE)
                 low, high = max(0, int(first) - slack), int(last) + GRAM + slack
-                runs = SequenceMatcher(None, text.tolist(), words[low:high].tolist(), autojunk=False).get_matching_blocks()
-                solid = [r for r in runs if r.size >= GRAM]
-                if solid:
-                    runs = [r for r in runs if r.size and solid[0].b <= r.b <= solid[-1].b]
-                    matched, begin, end = sum(r.size for r in runs), low + solid[0].b, low + solid[-1].b + solid[-1].size
+                matched, begin, end = align_long(text, words[low:high], slack)
+                begin, end = low + begin, low + end
+                if matched >= coverage * len(text):
                     title = {word_of(j) for j in range(max(0, begin - TITLE_WORDS), min(len(words), begin + TITLE_WORDS))}
-                    if matched >= coverage * len(text) and not title & self.body_foreign[k]:
+                    if not title & self.body_foreign[k]:
                         found.append((-matched, -matched / len(text), len(self.names) + k, begin, end))
                 places = places[(places < first) | (places > last)]
         return found
@@ -334,6 +401,14 @@ class Index:
                 return False
         return True
 
+    def negated(self, t: int, starts: np.ndarray, ends: np.ndarray, begin: int, end: int, data: bytes) -> bool:
+        """Whether a short notice is denied, by a word in it or one of the two before it."""
+        if len(self.words[t]) >= _SHORT:
+            return False
+        first = max(0, begin - 2)
+        spoken = {data[b:e].lower().decode("utf-8", "replace") for b, e in zip(starts[first:end].tolist(), ends[first:end].tolist())}
+        return bool(spoken & _NEGATIONS - self.own[t])
+
     def scan(self, text: str | None, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
         """License, coverage, matched words, and span [start, end) in code points, in text order.
 
@@ -363,7 +438,8 @@ class Index:
                     continue
                 last = diagonal
                 matched, begin, end = align(self.words[t], words, diagonal, 2 * band)
-                if matched >= coverage * size and self.of_this_license(t, starts[begin:end], ends[begin:end], data):
+                if matched >= coverage * size and not self.negated(t, starts, ends, begin, end, data) and self.of_this_license(
+                        t, starts[begin:end], ends[begin:end], data):
                     found.append((-matched, -matched / size, t, begin, end))
         taken: list[tuple[int, int, int, float, int]] = []
         for matched, share, t, begin, end in sorted(found):

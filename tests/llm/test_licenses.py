@@ -80,9 +80,10 @@ def test_table(spark):
     *(f"This project is licensed under the {n} License." for n in ("BSD", "ISC", "GPL", "EPL", "Zlib")),
     "Released under the BSD License.", "Licensed under the Apache License, Version 1.1.", "Licensed under the Academic License, Version 2.0.",
     "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
-    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
-    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
-    "Licensed under CC BY 3.0.", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY-SA 3.0.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 3.0 Unported License.",
+    "Licensed under CC BY 3.0.", "Licensed under CC BY-ND 3.0.", "Licensed under CC BY-SA 3.0.",
+    "This code is not licensed under the MIT License.", "This project is never licensed under the MIT License.",
+    "SPDX-License-Identifier: MPL-1.1", "SPDX-License-Identifier: BSD-1-Clause", "SPDX-License-Identifier: Apache-1.1",
     "This work is licensed under the GNU General Public License, version 1.",
     "This work is licensed under the GNU Lesser General Public License, version 2.2.",
     "This work is licensed under the GNU General Public License, version 2.1.",
@@ -96,6 +97,31 @@ def test_notices_of_other_licenses_are_not_ours(notice):
     assert INDEX.scan(f"{prose(1, 30)}\n{notice}\n{prose(2, 30)}") == []
 
 
+@pytest.mark.parametrize("notice, name", [
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+    ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+    ("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("# SPDX-License-Identifier: MIT-0", "MIT-0"),
+    ("/* spdx-license-identifier: bsd-2-clause */", "BSD-2-Clause"), ("SPDX-License-Identifier: LGPL-2.1-only", "LGPL-2.1"),
+    ("You may use it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "GPL-2.0"),
+    (licenses.TEMPLATES["BSD-4-Clause"][1], "BSD-4-Clause"), (licenses.TEMPLATES["X11"][0], "X11"), (licenses.TEMPLATES["MIT-0"][0], "MIT-0"),
+    (licenses.TEMPLATES["MIT"][2] + ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.', "MIT"),
+])
+def test_relatives_are_told_apart(notice, name):
+    assert [m[0] for m in INDEX.scan(f"{prose(1, 30)}\n{notice}\n{prose(2, 30)}")] == [name]
+
+
+def test_whole_texts_against_the_full_matrix():
+    text = " ".join(licenses.body_texts()["LGPL-3.0"].split()[:400])
+    index, draw, words = licenses.Index({}, {"mine": text}), random.Random(9), text.split()
+    index.places[0] = []
+    for share in (0.0, 0.02, 0.05):
+        edited = [w if draw.random() >= share else draw.choice(["", "changed", f"{w} more"]) for w in words]
+        doc = f"{prose(1, 80)} {' '.join(edited)} {prose(2, 80)}"
+        want = best_alignment(licenses.split(text)[0].tolist(), licenses.split(doc)[0].tolist())
+        assert [m[2] for m in index.scan(doc)] == [want]
+
+
 def test_names_and_versions_exchanged():
     for name, texts in licenses.TEMPLATES.items():
         for text in texts:
