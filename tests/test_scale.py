@@ -1,0 +1,53 @@
+"""Figures that must not grow faster than the input: copies, rows that leave a task, rows that meet in one."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from pairrank.operators import similarity as sim
+
+
+def side(spark, names, rows, width=8, seed=1):
+    draw = np.random.default_rng(seed)
+    values = [(i, i, [float(x) for x in v]) for i, v in enumerate(draw.normal(size=(rows, width)))]
+    return spark.createDataFrame(values, f"{names[0]} long, {names[1]} long, embedding array<double>")
+
+
+def held(names, rows, width, seed):
+    values = pa.array(np.random.default_rng(seed).normal(size=rows * width))
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * width + 1, width), pa.int32()), values)
+    return sim._Vectors(pa.table({names[0]: pa.array(np.arange(rows)), names[1]: pa.array(np.arange(rows)), "embedding": vectors}))
+
+
+def test_a_grid_with_bounded_jobs_makes_few_copies():
+    """Before, both sides of a cell were bounded by what is held, and cells went by the shuffle partitions."""
+    people, jobs, rows = 1_846_000, 615_000, sim.CELL_BYTES // (8 * 64)
+    down, across = sim._grid(people, jobs, rows, sim.CELLS_PER_SLOT * 12, sim.CELL_STREAM * rows)
+    assert people * across + jobs * down < 30_000_000 and jobs / across <= rows
+
+
+@pytest.mark.parametrize("options", [{}, {"small_side_bytes": 0, "cell_bytes": 1000}])
+def test_pairs_are_counted_where_they_are_scored(spark, options):
+    candidates, jobs = side(spark, sim.CANDIDATE, 90), side(spark, sim.JOB, 40, seed=2)
+    counted = sim.pairs_above(candidates, jobs, 0.2, counted=True, decimals=3, **options)
+    got = {r.job_id: r.n for r in counted.groupBy("job_id").agg(F.sum("n").alias("n")).collect()}
+    pairs = sim.pairs_above(candidates, jobs, 0.2, decimals=3, **options)
+    assert got == {r.job_id: r["count"] for r in pairs.groupBy("job_id").count().collect()}
+
+
+@pytest.mark.parametrize("decimals", [0, 3, 6, 9])
+def test_products_round_as_sums_do(decimals, monkeypatch):
+    """Scores half way between two roundings are scored again, element by element."""
+    jobs, people = held(sim.JOB, 50, 64, 1), held(sim.CANDIDATE, 3000, 64, 2)
+    tiles = sim._Tiles(jobs, decimals)
+    here, there = slice(0, 50), slice(0, 3000)
+    fast = tiles.scores(people, here, there)
+    again = []
+    exact = sim._Tiles._exact
+    monkeypatch.setattr(sim._Tiles, "_exact", lambda self, ours, theirs, j, r: again.append(len(j)) or exact(self, ours, theirs, j, r))
+    tiles.unsure = 0.5
+    all_again = tiles.scores(people, here, there)
+    tiles.unsure = None
+    plain = tiles.scores(people, here, there)
+    assert again == [150_000] and (fast == plain).all() and (all_again == plain).all()
