@@ -9,6 +9,9 @@ from pairrank import schemas as S
 from pairrank.functions.text import quoted
 from pairrank.operators.lookup import lookup
 
+# Statuses that are copied to the pairs, counted first; more are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+
 
 def distinct_names(members: DataFrame) -> DataFrame:
     """The distinct values of a table's first column."""
@@ -42,12 +45,16 @@ def attach_status(pairs: DataFrame, candidates: DataFrame, status: str = S.CONTI
     Candidates are matched by id, and by ``candidate_position`` too where both tables have it,
     so that people of one name keep their own status. Pairs never multiply.
 
-    A plain join: pairs are dear to compute, so their keys are not counted beforehand, and
-    a candidate with very many pairs is left to Spark's adaptive skew join.
+    Pairs are many, so they stay where they are, and the candidates, if counted few, are
+    copied to them. Otherwise a plain join: pairs are dear to compute, so their keys are not counted
+    beforehand, and a candidate with very many pairs is left to Spark's adaptive skew join.
     """
     keys = [candidate_id]
     if "candidate_position" in pairs.columns and "candidate_position" in candidates.columns:
         keys.append("candidate_position")
     # A candidate listed several times carries the status if any of its rows does.
     known = candidates.groupBy(*map(quoted, keys)).agg(F.max(quoted(status)).alias(status))
-    return pairs.join(known, keys, "left")
+    key_bytes = sum((F.coalesce(F.octet_length(quoted(k).cast("string")), F.lit(0)) for k in keys), F.lit(16))
+    rows, size = known.agg(F.count(F.lit(1)), F.sum(key_bytes.cast("long"))).first()
+    few = rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+    return pairs.join(F.broadcast(known) if few else known, keys, "left")

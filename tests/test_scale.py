@@ -51,3 +51,19 @@ def test_products_round_as_sums_do(decimals, monkeypatch):
     tiles.unsure = None
     plain = tiles.scores(people, here, there)
     assert again == [150_000] and (fast == plain).all() and (all_again == plain).all()
+
+
+def test_pairs_stay_where_they_are_when_a_status_is_attached(spark, plan):
+    """Before, all pairs were shuffled to meet their candidates."""
+    from pairrank.operators.membership import attach_status
+
+    people = spark.createDataFrame([(1, 1, True), (1, 1, False), (2, 2, False)], "candidate_id long, candidate_position long, `Contingent` boolean")
+    pairs = spark.createDataFrame([(1, 1, 7), (2, 2, 7), (3, 3, 7), (None, 4, 7)], "candidate_id long, candidate_position long, job_id long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = attach_status(pairs, people)
+        assert "SortMergeJoin" not in plan(found)
+        assert {r.candidate_position: r.Contingent for r in found.collect()} == {1: True, 2: False, 3: None, 4: None}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
