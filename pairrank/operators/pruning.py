@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from pairrank.operators import similarity as sim
 from pairrank.operators.similarity import CANDIDATE, JOB
-from pairrank.runtime import materialise
+from pairrank.runtime import materialise, measure, spread
 
 # Pivots, and the jobs among which they are looked for: those of the least hash.
 PIVOTS, SAMPLE = 64, 4_096
 # Vectors of one side that meet in a task.
 BLOCK_BYTES = 8 << 20
+# Of the bounds of candidates in groups that a task holds at once.
+BOUNDS_BYTES = 4 << 20
 # Jobs of a group are split by what they still take, in bands of this width.
 BAND = 0.1
 # Room for rounding, in angles and in scores.
@@ -81,7 +83,7 @@ def near_pivot(df: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def sent(candidates: DataFrame, groups: list, pivots: np.ndarray) -> DataFrame:
-    """The candidates once for each ``group`` in which they can reach a score that is still taken.
+    """The candidates with ``groups``: those in which they can reach a score that is still taken.
 
     ``groups`` lists number, cell, radius and floor (the least score taken) of each.
     """
@@ -92,15 +94,18 @@ def sent(candidates: DataFrame, groups: list, pivots: np.ndarray) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def reach(vectors: pd.Series) -> pd.Series:
-        units, norms = unit_rows(vectors, pivots.shape[1])
-        least = np.maximum(angles(units, pivots)[:, np.maximum(cells, 0)] - radii - ANGLE_SLACK, 0.0)
-        best = np.cos(least)
-        best[norms == 0] = 0.0
-        best[~np.isfinite(norms)] = -np.inf
-        goes = (best + SCORE_SLACK >= floors) | everywhere
-        return pd.Series([np.flatnonzero(row).astype(np.int32) for row in goes], dtype=object)
+        found, step = [], max(1, BOUNDS_BYTES // (8 * len(cells)))
+        for start in range(0, len(vectors), step):
+            units, norms = unit_rows(vectors.iloc[start:start + step], pivots.shape[1])
+            least = np.maximum(angles(units, pivots)[:, np.maximum(cells, 0)] - radii - ANGLE_SLACK, 0.0)
+            best = np.cos(least)
+            best[norms == 0] = 0.0
+            best[~np.isfinite(norms)] = -np.inf
+            goes = (best + SCORE_SLACK >= floors) | everywhere
+            found += [np.flatnonzero(row).astype(np.int32) for row in goes]
+        return pd.Series(found, index=vectors.index, dtype=object)
 
-    return candidates.withColumn("group", F.explode(reach("embedding")))
+    return candidates.withColumn("groups", reach("embedding"))
 
 
 def _partitions(df: DataFrame, n_cells: int) -> int:
@@ -118,8 +123,10 @@ def _joined(candidates: DataFrame, jobs: DataFrame, pivots: np.ndarray, collecto
         F.max("angle").alias("radius"), F.coalesce(F.min("floor"), F.lit(-math.inf)).alias("floor"), F.count("*").alias("n")
     ).orderBy("cell", "band").collect()  # at most some bands for each pivot
     numbers = candidates.sparkSession.createDataFrame([(g.cell, g.band, i) for i, g in enumerate(groups)], "cell int, band long, group int")
-    routed = materialise(sent(candidates, groups, pivots), "sent-candidates")
-    n_sent = {r.group: r.n for r in routed.groupBy("group").agg(F.count("*").alias("n")).collect()}
+    # Written once per candidate: copies would shrink to little in a file, and a task that reads many of them
+    # would hold them all for the shuffle.
+    routed = materialise(sent(spread(candidates, CANDIDATE[1]), groups, pivots), "sent-candidates")
+    n_sent = {r.group: r.n for r in routed.select(F.explode("groups").alias("group")).groupBy("group").agg(F.count("*").alias("n")).collect()}
     rows = max(1, BLOCK_BYTES // (8 * max(1, width)))
 
     def blocks(counts: list[int]):
@@ -136,6 +143,11 @@ def _joined(candidates: DataFrame, jobs: DataFrame, pivots: np.ndarray, collecto
     def cells(df: DataFrame, *columns: str) -> DataFrame:
         return df.select(*columns, F.col("down").cast("long").alias("down"), (F.col("group").cast("long") * (1 << 32) + F.col("across")).alias("across"))
 
+    n_blocks = [(-(-max(n_sent.get(i, 0), 1) // rows), -(-g.n // rows)) for i, g in enumerate(groups)]
+    sizes = measure(routed, jobs)
+    routed = sim.for_copies(routed, *sizes[0], sum(n_sent.get(i, 0) * across for i, (_, across) in enumerate(n_blocks)), width)
+    jobs = sim.for_copies(jobs, *sizes[1], sum(g.n * down for g, (down, _) in zip(groups, n_blocks)), width)
+    routed = routed.withColumn("group", F.explode("groups")).drop("groups")
     left = cells(dealt(routed, "down", downs, "across", acrosses), *CANDIDATE, "embedding")
     numbered = jobs.join(F.broadcast(numbers), ["cell", "band"]).select(*JOB, "embedding", "group")
     right = cells(dealt(numbered, "across", acrosses, "down", downs), *JOB, "embedding")

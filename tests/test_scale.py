@@ -67,3 +67,20 @@ def test_pairs_stay_where_they_are_when_a_status_is_attached(spark, plan):
         assert {r.candidate_position: r.Contingent for r in found.collect()} == {1: True, 2: False, 3: None, 4: None}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_candidates_are_written_once_and_copied_by_many_tasks(spark, monkeypatch):
+    """Before, the copies for all groups were written, and shuffled by the few tasks that read them."""
+    from pairrank.operators import pruning
+
+    written, dealt = [], []
+    keep, copied = pruning.materialise, sim.for_copies
+    monkeypatch.setattr(pruning, "materialise", lambda df, label: written.append((label, t := keep(df, label))) or t)
+    monkeypatch.setattr(sim, "COPIED_BYTES", 512)
+    monkeypatch.setattr(sim, "for_copies", lambda df, *a: dealt.append(t := copied(df, *a)) or t)
+    candidates, jobs = side(spark, sim.CANDIDATE, 60), side(spark, sim.JOB, 30, seed=2)
+    got = pruning.pairs_above(candidates, jobs, 0.1, decimals=6, pivots=4)
+    want = sim.pairs_above(candidates, jobs, 0.1, decimals=6)
+    assert dict(written)["sent-candidates"].count() == 60
+    assert [t.rdd.getNumPartitions() > 4 for t in dealt] == [True, True]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
