@@ -84,3 +84,23 @@ def test_candidates_are_written_once_and_copied_by_many_tasks(spark, monkeypatch
     assert dict(written)["sent-candidates"].count() == 60
     assert [t.rdd.getNumPartitions() > 4 for t in dealt] == [True, True]
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_no_more_than_a_batch_of_texts_is_in_python():
+    """Before, all texts and vectors of an Arrow batch were Python objects at once."""
+    from pairrank.models.embedders import HashingEmbedder
+    from pairrank.operators.embedding import _vectors
+
+    given = []
+
+    class Seen(HashingEmbedder):
+        def embed(self, texts):
+            given.append(len(texts))
+            return super().embed(texts)
+
+    texts = pa.array([None, *(f"word {i}" for i in range(10)), None])
+    found = _vectors(Seen(4, batch_size=4), texts, None)
+    assert given == [4, 4, 2] and [v is None for v in found.to_pylist()] == [True, *[False] * 10, True]
+    assert found.to_pylist()[3] == HashingEmbedder(4).embed(["word 2"])[0].tolist()
+    assert _vectors(Seen(4), pa.array([None], pa.string()), None).to_pylist() == [None]
+    assert len(_vectors(Seen(4), pa.array([], pa.string()), None)) == 0
