@@ -104,3 +104,16 @@ def test_no_more_than_a_batch_of_texts_is_in_python():
     assert found.to_pylist()[3] == HashingEmbedder(4).embed(["word 2"])[0].tolist()
     assert _vectors(Seen(4), pa.array([None], pa.string()), None).to_pylist() == [None]
     assert len(_vectors(Seen(4), pa.array([], pa.string()), None)) == 0
+
+
+def test_csv_files_grow_in_number_not_in_size(spark, monkeypatch, tmp_path):
+    """Before, a table went to as many files whatever its size."""
+    import __spark_entry__ as entry
+
+    rows = spark.createDataFrame([(i, "some text, " * 10) for i in range(200)], "id long, text string")
+    few = entry.written_csv(rows, "id", str(tmp_path / "few"), 2)
+    monkeypatch.setattr(entry, "CSV_BYTES", 2048)
+    many = entry.written_csv(rows, "id", str(tmp_path / "many"), 2)
+    assert [len(list((tmp_path / name).glob("part-*"))) for name in ("few", "many")] == [2, 11]
+    for path in (few, many):
+        assert entry.with_position(entry.read_csv(spark, path)).selectExpr("max(abs(id - position))").first()[0] == 0
