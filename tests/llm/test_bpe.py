@@ -106,3 +106,33 @@ def test_digests(spark):
 def test_other_kinds_are_refused():
     with pytest.raises(ValueError):
         bpe.Vocabulary(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read())
+
+
+def test_short_pretokens_are_merged_together(monkeypatch):
+    """Those of up to 64 bytes, many at once, whatever their lengths; the rest in linear time as before."""
+    v, draw = bpe.Vocabulary(open(PATH, "rb").read()), random.Random(7)
+    words = ["".join(draw.choice("etaoinshrdluéßñ中 '1-") for _ in range(draw.randint(1, 64))) for _ in range(3_000)]
+    pretokens = {p for w in words for p in v.pretokens.findall(w)} | {"x" * 64, "é" * 32, "é" * 33, "x" * 65, "中" * 21}
+    one_by_one = {p: np.array(v.encode_pretoken(p), np.uint32).tobytes() for p in pretokens}
+    asked = []
+    v.encode_pretoken = lambda p: asked.append(p) or np.frombuffer(one_by_one[p], np.uint32).tolist()
+    monkeypatch.setattr(bpe, "MERGED_CELLS", 1 << 10)
+    assert v.ids_of(pretokens) == one_by_one
+    assert {"é" * 33, "x" * 65} <= set(asked) and all(len(p.encode()) > bpe.MERGED_BYTES for p in asked)
+
+
+def test_groups_of_pretokens(monkeypatch):
+    monkeypatch.setattr(bpe, "GROUP", 5)
+    monkeypatch.setattr(bpe, "CHUNK", 16)
+    monkeypatch.setattr(bpe, "CACHED", 4)
+    v = bpe.Vocabulary(open(PATH, "rb").read())
+    texts = ["some words and some more words of a longer text", "", "été\x1c\x85\xa0 x\x1f 12½ ª", "中文 <|endoftext|> it's", "a"] * 3
+    assert [np.frombuffer(i, np.uint32).tolist() for i in v.encode_all(texts)] == [ids_of(t) for t in texts]
+    assert v.encode_all([]) == []
+
+
+def test_latin_texts_are_cut_alike():
+    v = own()
+    for c in map(chr, range(256)):
+        for s in (f"a{c}b {c}{c} 1{c} {c} \n{c} x", f"{c} {c}", f" {c}", f"{c}'s", f"'{c}ll {c}{c}{c} "):
+            assert v.latin_pretokens.findall(s) == v.pretokens.findall(s), hex(ord(c))
