@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pairrank import schemas as S
 from pairrank.models.retry import RetryPolicy
 from pairrank.operators.extraction import candidates_from_folder, extract_fields, in_lanes, model_fields
-from pairrank.sinks import save_extracted, save_results, save_top_matches, write_csv
+from pairrank.sinks import save_extracted, save_results, save_top_matches, write_csv, write_text_files
 from pairrank.sources.documents import load_and_split, load_documents, with_text
 from pairrank.sources.files import latest_file, list_files
 from pairrank.sources.tables import load_data, read_csv, read_table, rows_as_text, with_position
@@ -190,3 +190,25 @@ def test_lanes_cost_the_same_but_for_one_row(spark, lanes, costs):
 def test_no_lanes(spark):
     with pytest.raises(ValueError):
         in_lanes(spark.range(3), F.col("id"), 0, "id")
+
+
+def test_text_files_are_written_by_tasks(spark, tmp_path):
+    """One file per row, no file of Spark's writer beside them, equal rows included; odd paths as they are."""
+    texts = ["1\ntext", "", "é中\r\n x ", "1\ntext"] * 5
+    scan = spark.createDataFrame([(t,) for t in texts], "value string").repartition(3)
+    folder = write_text_files(scan, f"file:{tmp_path}/a %20#b/texts")
+    files = list((tmp_path / "a %20#b" / "texts").iterdir())
+    assert len(files) == len(texts) and {f.suffix for f in files} == {".txt"}
+    assert sorted(f.read_bytes().decode() for f in files) == sorted(t + "\n" for t in texts)
+    assert folder.endswith("/texts")
+    elsewhere = write_text_files(scan, f"{tmp_path}/spark")
+    assert sorted(r.text for r in load_documents(spark, elsewhere, [".txt"], page_sep="").collect()) == sorted(t + "\n" for t in texts)
+
+
+def test_many_splits_are_read_by_few_tasks(spark, tmp_path):
+    count = 33 * 4 * spark.sparkContext.defaultParallelism
+    for i in range(count):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}")
+    loaded = load_documents(spark, str(tmp_path), [".txt"], page_sep="")
+    assert loaded.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert {r.text for r in loaded.collect()} == {f"text {i}" for i in range(count)}
