@@ -1,9 +1,14 @@
+import re
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pairrank.operators import similarity
 from pairrank.operators.similarity import CANDIDATE, JOB
 from pairrank.schemas import NAME
-from pairrank.sinks import write_wide_matrix
+from pairrank.sinks import _packed, write_wide_matrix
+from pairrank.sources import large_csv
 from pairrank.sources.large_csv import read_wide_matrix
 from pairrank.sources.tables import read_csv
 
@@ -56,3 +61,57 @@ def test_wide(spark, tmp_path, plan):
     both = back.join(pairs.select(*CANDIDATE, JOB[0], F.col("similarity").alias("want")), [*CANDIDATE, JOB[0]], "full")
     assert both.where("NOT (similarity <=> want)").count() == 0
     assert back.count() == pairs.count() > 250_000
+
+
+def test_many_titles_move_no_cell(spark, tmp_path, plan, monkeypatch):
+    """More titles than were once broadcast: the cells are not shuffled to meet them, nor the lines sorted and written to be numbered."""
+    monkeypatch.setattr(large_csv, "dense_positions", None)
+    titles = [f"j{i}" for i in range(100_002)]
+    path = tmp_path / "wide.csv"
+    path.mkdir()
+    for n, row in enumerate((f"a,0.5{',' * 100_001}", f"b{',' * 100_002}-1.0")):
+        (path / f"part-{n}.csv").write_text(",".join([NAME, *titles]) + "\n" + row + "\n")
+    back = read_wide_matrix(spark, str(path))
+    assert not re.search(r"SortMergeJoin.* \[x#|hashpartitioning\(x#", plan(back))
+    assert sorted(tuple(r) for r in back.collect()) == [(0, "a", "j0", 0.5), (1, "b", "j100001", -1.0)]
+
+
+def test_positions_without_gaps(spark, tmp_path):
+    """Records that lie across splits and blank lines, in two files, are numbered by file and place."""
+    names = [f"n{i}" if i % 3 else f'"n\n{i}"' for i in range(120)]
+    path = tmp_path / "wide.csv"
+    path.mkdir()
+    for n, part in enumerate((names[:70], names[70:])):
+        (path / f"part-{n}.csv").write_text("".join([f"{NAME},cook\n", *(f"{name},{i}.5\n" + "\n" * (i % 5 == 0) for i, name in enumerate(part))]))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = sorted((r.candidate_position, r.candidate_id) for r in read_wide_matrix(spark, str(path)).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [(i, name.strip('"')) for i, name in enumerate(names)]
+
+
+def test_packed():
+    """A candidate's cells of a batch become one row, null ids and positions included."""
+    given = pa.RecordBatch.from_arrays([
+        pa.array(["b", "a", None, "b", "a", None, "c"]), pa.array([2, 1, None, 2, 1, None, 2], pa.int64()),
+        pa.array([0, 1, 2, 3, 4, 5, 6], pa.int32()), pa.array([0.0, 0.1, 0.2, None, 0.4, 0.5, 0.6])], names=[*CANDIDATE, "x", "similarity"])
+    (got,) = _packed([given, given.slice(0, 0)], [1])
+    rows = {(r[CANDIDATE[0]], r[CANDIDATE[1]], r["part"]): list(zip(r["xs"], r["scores"])) for r in got.to_pylist()}
+    assert rows[("a", 1, 0)] == [(1, 0.1), (4, 0.4)]
+    assert rows[(None, None, 0)] == [(2, 0.2), (5, 0.5)]
+    assert sorted(c for k, v in rows.items() if k[1] == 2 for c in v) == [(0, 0.0), (3, None), (6, 0.6)]
+    assert all(k[2] == 1 for k in rows if k[1] == 2)
+
+
+def test_cells_are_shuffled_in_lists(spark, tmp_path):
+    """The scores of a candidate lie side by side, so one row per candidate and batch is shuffled, not one per pair."""
+    people = spark.range(40).select(F.col("id").cast("string").alias("i"), "id", F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    pairs = similarity.pair_similarity(
+        similarity.as_candidates(people, "i", "id"), similarity.as_jobs(people, "i", "id"), decimals=6)
+    ids = [r[0] for r in pairs.coalesce(1).select(CANDIDATE[0]).collect()]
+    tasks = people.rdd.getNumPartitions()
+    assert len(ids) == 1600 and sum(a != b for a, b in zip(ids, ids[1:])) < 40 + tasks
