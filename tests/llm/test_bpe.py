@@ -136,3 +136,28 @@ def test_latin_texts_are_cut_alike():
     for c in map(chr, range(256)):
         for s in (f"a{c}b {c}{c} 1{c} {c} \n{c} x", f"{c} {c}", f" {c}", f"{c}'s", f"'{c}ll {c}{c}{c} "):
             assert v.latin_pretokens.findall(s) == v.pretokens.findall(s), hex(ord(c))
+
+
+def test_short_pretokens_are_encoded_by_backtracking():
+    """As the long ones: tokens follow each other only where they are compatible, whatever has to be taken back."""
+    v, draw = bpe.Vocabulary(open(PATH, "rb").read()), random.Random(11)
+    words = {"".join(draw.choice("abcdeghinorst") for _ in range(draw.randint(1, 40))) for _ in range(2_000)} | {"a" * n for n in range(1, 65)}
+    asked, tells = set(), v.compatible.make
+    v.compatible.make = lambda pair: asked.add(pair) or tells(pair)
+    got = {w: np.frombuffer(i, np.uint32).tolist() for w, i in v.ids_of(words).items()}
+    assert got == {w: ids_of(w) for w in words}
+    assert {a << 32 | b for ids in got.values() for a, b in zip(ids, ids[1:])} <= asked
+
+
+def test_a_task_encodes_all_it_is_given():
+    with open(PATH, "rb") as file:
+        content = file.read()
+    texts = ["some unremembered words", "and " + "x" * 70]
+    for _ in range(2):
+        v, encoded = bpe.for_task(content), []
+        together, alone = type(v)._together, type(v).encode_pretoken
+        v._together = lambda t: encoded.extend(t) or together(v, t)
+        v.encode_pretoken = lambda p: encoded.append(p.encode()) or alone(v, p)
+        v.encode_all(texts)
+        del v._together, v.encode_pretoken
+        assert set(encoded) >= {b"some", b" unremembered", b" words", b"and", b" " + b"x" * 70}
