@@ -212,3 +212,43 @@ def test_many_splits_are_read_by_few_tasks(spark, tmp_path):
     loaded = load_documents(spark, str(tmp_path), [".txt"], page_sep="")
     assert loaded.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     assert {r.text for r in loaded.collect()} == {f"text {i}" for i in range(count)}
+
+
+def test_files_of_a_mounted_folder_are_listed_by_a_task(spark, folder, plan):
+    """The same rows as of Spark's scan; before, the driver held every file in the plan's list of files."""
+    (folder / "a %20#b.txt").write_text("odd name\r\n")
+    (folder / "nothing.txt").write_bytes(b"")
+    (folder / "_hidden.txt").write_text("not read")
+    (folder / ".hidden.txt").write_text("not read")
+    (folder / "_a=b.txt").write_text("read")
+    (folder / "txt").write_text("no suffix")
+    (folder / "to.txt").symlink_to(folder / "notes.txt")
+    (folder / "gone.txt").symlink_to(folder / "nowhere")
+    for options in ({}, {"suffixes": [".txt"]}, {"page_sep": "", "page_readers": {".pdf": pdf_pages}}, {"suffixes": [".none"]}):
+        scanned = load_documents(spark, str(folder), **options)
+        for name in (f"file:{folder}", f"file://{folder}/", f"file:{folder}//"):
+            listed = load_documents(spark, name, **options)
+            assert listed.columns == scanned.columns
+            assert sorted(map(str, listed.collect())) == sorted(map(str, scanned.collect()))
+            assert "binaryfile" not in plan(listed).lower() and not any(str(folder) in f for f in listed.inputFiles())
+
+
+def test_listed_files_where_spark_finds_partitions_or_patterns(spark, folder, tmp_path):
+    for name in (f"file:{tmp_path}/cv*", f"file:{tmp_path}/nowhere"):
+        assert sorted(map(str, load_documents(spark, name).collect())) == sorted(map(str, load_documents(spark, name[5:]).collect()))
+    (tmp_path / "parts" / "kind=a").mkdir(parents=True)
+    (tmp_path / "parts" / "kind=a" / "x.txt").write_text("x")
+    assert [r.text for r in load_documents(spark, f"file:{tmp_path}/parts", page_sep="").collect()] == ["x"]
+
+
+def test_many_files_of_a_mounted_folder(spark, tmp_path, monkeypatch):
+    from pairrank.sources import documents, files
+
+    for i in range(60):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}")
+    monkeypatch.setattr(documents, "TASK_FILES", 3)
+    monkeypatch.setattr(documents, "SENT_FILES", 2)
+    monkeypatch.setattr(files, "LISTED", 7)
+    loaded = load_documents(spark, f"file:{tmp_path}", [".txt"], page_sep="")
+    assert loaded.rdd.getNumPartitions() == 20
+    assert sorted(r.text for r in loaded.collect()) == sorted(f"text {i}" for i in range(60))
