@@ -117,3 +117,24 @@ def test_csv_files_grow_in_number_not_in_size(spark, monkeypatch, tmp_path):
     assert [len(list((tmp_path / name).glob("part-*"))) for name in ("few", "many")] == [2, 11]
     for path in (few, many):
         assert entry.with_position(entry.read_csv(spark, path)).selectExpr("max(abs(id - position))").first()[0] == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"small_side_bytes": 0, "cell_bytes": 1000}])
+def test_all_pairs_leave_a_task_in_blocks(spark, options, monkeypatch):
+    """Before, a row left the task for every pair, with both ids and both positions."""
+    tiles = sim._AllPairs(held(sim.JOB, 700, 8, 1), 6)
+    blocks = list(tiles.add(held(sim.CANDIDATE, 300, 8, 2)))
+    assert sum(b.num_rows for b in blocks) < 10 and sum(len(b.column(4).values) for b in blocks) == 210_000
+    assert max(len(b.column(4).values) for b in blocks) <= sim.ROWS_PER_BATCH
+
+    monkeypatch.setattr(sim, "ROWS_PER_BATCH", 64)
+    draw = np.random.default_rng(3)
+    sides = [[(None if i % 5 == 0 else f"{name}{i // 2}", i, [float(x) for x in draw.normal(size=4)]) for i in range(n)] for name, n in (("c", 45), ("j", 23))]
+    candidates, jobs = (spark.createDataFrame(rows, f"{names[0]} string, {names[1]} long, embedding array<double>")
+                        for rows, names in zip(sides, (sim.CANDIDATE, sim.JOB)))
+    got = sim.pair_similarity(candidates, jobs, decimals=6, **options)
+    assert got.columns == [*sim.CANDIDATE, *sim.JOB, "similarity"]
+    want = [(*c[:2], *j[:2], round(float(np.dot(c[2], j[2]) / np.linalg.norm(c[2]) / np.linalg.norm(j[2])), 6)) for c in sides[0] for j in sides[1]]
+    key = lambda r: (r[1], r[3])
+    for a, b in zip(sorted(map(tuple, got.collect()), key=key), sorted(want, key=key), strict=True):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) < 2e-6
